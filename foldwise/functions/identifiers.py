@@ -1,29 +1,29 @@
-"""File names for single conversations."""
+"""File names for single conversations, as Spark SQL expression text."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
+from foldwise.functions.text import raw, strip
 
-from foldwise.functions.text import strip
+# Characters kept in a file name, and those stripped from its ends.
+NOT_KEPT = r"[^A-Za-z0-9._-]+"
+NAME_EDGES = r"\A[-._]+|[-._]+\z"
 
 
-def sanitize(value: Column) -> Column:
+def sanitize(value: str) -> str:
     """Letters, digits, dot, underscore and dash only; never empty."""
-    token = F.regexp_replace(value, r"[^A-Za-z0-9._-]+", "-")
-    token = F.regexp_replace(token, r"\A[-._]+|[-._]+\z", "")
-    return F.when(token == "", F.lit("conversation")).otherwise(token)
+    token = f"regexp_replace(regexp_replace({value}, {raw(NOT_KEPT)}, '-'), {raw(NAME_EDGES)}, '')"
+    return f"if({token} = '', 'conversation', {token})"
 
 
-def numbered(index: Column) -> Column:
-    return F.format_string("%04d", index)
+def numbered(index: str) -> str:
+    return f"format_string('%04d', {index})"
 
 
-def derive_identifier(conversation_id: Column, id_: Column, title: Column, index: Column) -> Column:
+def derive_identifier(conversation_id: str, id_: str, title: str, index: str) -> str:
     """First non-blank string of the three, sanitised; else a numbered default."""
-    named = F.coalesce(*[F.when(strip(c) != "", c) for c in (conversation_id, id_, title)])
-    return F.coalesce(sanitize(named), F.concat(F.lit("conversation-"), numbered(index)))
+    named = ", ".join(f"if({strip(c)} != '', {c}, null)" for c in (conversation_id, id_, title))
+    return f"coalesce({sanitize(f'coalesce({named})')}, concat('conversation-', {numbered(index)}))"
 
 
-def file_name(identifier: Column, index: Column) -> Column:
-    return F.concat(numbered(index), F.lit("-"), identifier, F.lit(".json"))
+def file_name(identifier: str, index: str) -> str:
+    return f"concat({numbered(index)}, '-', {identifier}, '.json')"

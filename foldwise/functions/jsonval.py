@@ -2,79 +2,68 @@
 
 A field is judged by the VARIANT's own type and, for truth tests, by its JSON text, in which a string
 keeps its quotes.  That separates ``7`` from ``"7"`` and null from a missing key without a Python UDF.
+All functions take and return Spark SQL expression text.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import Column
-from pyspark.sql import functions as F
+from foldwise.functions.text import let, raw
 
 FALSY = r'^(null|false|""|\[\]|\{\}|-?0(\.0*)?([eE][+-]?[0-9]+)?)$'
+NO_ITEMS = "cast(array() as array<variant>)"
 
 
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """Bind a value to a name inside an expression, so it appears (and is computed) once."""
-    return F.transform(F.array(value), body)[0]
-
-
-def field(value: Column, path: str) -> Column:
+def field(value: str, path: str) -> str:
     """Member of a VARIANT as VARIANT; null when the path is missing or the value is no container."""
-    return F.try_variant_get(value, path, "variant")
+    return f"try_variant_get({value}, '$.{path}', 'variant')"
 
 
-def text_of(value: Column) -> Column:
-    return F.to_json(value)
+def _of_type(value: str, kind: str) -> str:
+    return f"coalesce(startswith(schema_of_variant({value}), '{kind}'), false)"
 
 
-def is_string(value: Column) -> Column:
-    return F.coalesce(F.schema_of_variant(value) == "STRING", F.lit(False))
+def is_string(value: str) -> str:
+    return _of_type(value, "STRING")
 
 
-def is_object(value: Column) -> Column:
-    return F.coalesce(F.startswith(F.schema_of_variant(value), F.lit("OBJECT<")), F.lit(False))
+def is_object(value: str) -> str:
+    return _of_type(value, "OBJECT<")
 
 
-def is_array(value: Column) -> Column:
-    return F.coalesce(F.startswith(F.schema_of_variant(value), F.lit("ARRAY<")), F.lit(False))
+def is_array(value: str) -> str:
+    return _of_type(value, "ARRAY<")
 
 
-def is_true(value: Column) -> Column:
-    return F.coalesce(text_of(value) == "true", F.lit(False))
+def is_true(value: str) -> str:
+    return f"coalesce(to_json({value}) = 'true', false)"
 
 
-def truthy(value: Column) -> Column:
+def truthy(value: str) -> str:
     """False for missing, null, false, zero and empty values."""
-    text = text_of(value)
-    return text.isNotNull() & ~text.rlike(FALSY)
+    return let(f"to_json({value})", "js", f"js is not null and not js rlike {raw(FALSY)}")
 
 
-def string_or_null(value: Column) -> Column:
+def string_or_null(value: str) -> str:
     """Content of a JSON string; null for every other type."""
-    return let(value, lambda v: F.when(is_string(v), F.try_variant_get(v, "$", "string")))
+    return let(value, "sv", f"case when {is_string('sv')} then try_variant_get(sv, '$', 'string') end")
 
 
-def as_text(value: Column) -> Column:
+def as_text(value: str) -> str:
     """Text form of any value: strings as they are, booleans capitalised, the rest as JSON."""
-
-    def form(v: Column) -> Column:
-        text = text_of(v)
-        return (
-            F.when(is_string(v), F.try_variant_get(v, "$", "string"))
-            .when(text.isin("true", "false"), F.initcap(text))
-            .otherwise(text)
-        )
-
-    return let(value, form)
+    return let(
+        value,
+        "av",
+        f"case when {is_string('av')} then try_variant_get(av, '$', 'string') "
+        "when to_json(av) in ('true', 'false') then initcap(to_json(av)) else to_json(av) end",
+    )
 
 
-def first_truthy(*values: Column) -> Column:
+def first_truthy(*values: str) -> str:
     """First truthy VARIANT of the list, else null."""
-    return F.get(F.filter(F.array(*values), truthy), F.lit(0))
+    return f"get(filter(array({', '.join(values)}), tv -> {truthy('tv')}), 0)"
 
 
-def array_items(value: Column) -> Column:
+def array_items(value: str) -> str:
     """Elements of a JSON array as array<variant>; an empty array for other types."""
-    items = F.try_variant_get(value, "$", "array<variant>")
-    return F.coalesce(F.when(is_array(value), items), F.array().cast("array<variant>"))
+    items = let(value, "iv", f"case when {is_array('iv')} then try_variant_get(iv, '$', 'array<variant>') end")
+    return f"coalesce({items}, {NO_ITEMS})"

@@ -1,56 +1,67 @@
-"""Words, whitespace and keyword tests as column expressions."""
+"""Words, whitespace and keyword tests.
 
-from __future__ import annotations
+The functions of this package build Spark SQL expression text from expression text; callers wrap the
+result in ``F.expr``.  Long expressions are planned as one string instead of thousands of Column calls.
+"""
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
+from __future__ import annotations
 
 # A word is a run of characters outside Unicode white space; the four
 # separators U+001C..U+001F count as white space too.
 WORD = r"(?U)[^\s\x1c-\x1f]+"
 EDGE_SPACE = r"(?U)\A[\s\x1c-\x1f]+|[\s\x1c-\x1f]+\z"
+BLANK_LINE = r"(?U)^[\s\x1c-\x1f]*$"
 
 # Words whose presence excludes a message or a content part.
 EXCLUDED_KEYWORDS = ("system", "search", "web", "result", "source", "thinking", "thought")
 
+# Punctuation stripped from the words of a slug.
+SLUG_EDGES = r"\A[.,!?]+|[.,!?]+\z"
+
+
+def raw(text: str) -> str:
+    """SQL literal whose backslashes are kept."""
+    return f"r'{text}'"
+
+
+def let(value: str, name: str, body: str) -> str:
+    """Bind a value to a name inside an expression, so that it is computed once."""
+    return f"get(transform(array({value}), {name} -> {body}), 0)"
+
 
-def words(text: Column) -> Column:
-    return F.regexp_extract_all(text, F.lit(WORD), F.lit(0))
+def words(text: str) -> str:
+    return f"regexp_extract_all({text}, {raw(WORD)}, 0)"
 
 
-def word_count(text: Column) -> Column:
-    return F.size(words(text))
+def word_count(text: str) -> str:
+    return f"size({words(text)})"
 
 
-def strip(text: Column) -> Column:
-    return F.regexp_replace(text, EDGE_SPACE, "")
+def strip(text: str) -> str:
+    return f"regexp_replace({text}, {raw(EDGE_SPACE)}, '')"
 
 
-def has_excluded_keyword(text: Column) -> Column:
+def has_excluded_keyword(text: str) -> str:
     """True when any excluded keyword occurs inside the text, in any case; never null."""
-    return F.coalesce(F.lower(text).rlike("|".join(EXCLUDED_KEYWORDS)), F.lit(False))
+    return f"coalesce(lower({text}) rlike '{'|'.join(EXCLUDED_KEYWORDS)}', false)"
 
 
-def first_words(text: Column, n: int) -> Column:
-    return F.array_join(F.slice(words(text), 1, n), " ")
+def first_words(text: str, n: int) -> str:
+    return f"array_join(slice({words(text)}, 1, {n}), ' ')"
 
 
-def fallback_label(title: Column, cluster_id: Column) -> Column:
+def fallback_label(title: str, cluster_id: str) -> str:
     """First three words of a title, or ``Cluster N`` when it has none."""
-    label = first_words(title, 3)
-    return F.when(label != "", label).otherwise(F.concat(F.lit("Cluster "), cluster_id.cast("string")))
+    return f"coalesce(nullif({first_words(title, 3)}, ''), concat('Cluster ', cast({cluster_id} as string)))"
 
 
-def fallback_slug(title: Column, cluster_id: Column) -> Column:
+def fallback_slug(title: str, cluster_id: str) -> str:
     """Kebab-case form of the fallback label, or ``cluster-N`` when nothing is left."""
-    trimmed = F.transform(
-        F.slice(words(title), 1, 3),
-        lambda w: F.lower(F.regexp_replace(w, r"\A[.,!?]+|[.,!?]+\z", "")),
-    )
-    slug = F.array_join(F.filter(trimmed, lambda w: w != ""), "-")
-    return F.when(slug != "", slug).otherwise(F.concat(F.lit("cluster-"), cluster_id.cast("string")))
+    trimmed = f"transform(slice({words(title)}, 1, 3), w -> lower(regexp_replace(w, {raw(SLUG_EDGES)}, '')))"
+    slug = f"array_join(filter({trimmed}, w -> w != ''), '-')"
+    return f"coalesce(nullif({slug}, ''), concat('cluster-', cast({cluster_id} as string)))"
 
 
-def embedding_text(title: Column, excerpt: Column) -> Column:
+def embedding_text(title: str, excerpt: str) -> str:
     """Text sent to the embedding model: title, blank line, excerpt."""
-    return F.concat_ws("\n\n", title, F.nullif(excerpt, F.lit("")))
+    return f"concat_ws('\\n\\n', {title}, nullif({excerpt}, ''))"

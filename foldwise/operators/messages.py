@@ -4,13 +4,15 @@ Two layouts are served by the same rules.  In an export every conversation is on
 the whole excerpt is computed inside its row and nothing is shuffled.  In a table of turns one
 conversation may hold a large share of all rows, so turns are deduplicated by (conversation,
 message) and cut to the few that can fit the budget before they meet.
+
+Expressions are Spark SQL text, as in ``foldwise.functions``.
 """
 
 from __future__ import annotations
 
 from typing import Any
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from foldwise.functions import jsonval as J
@@ -21,7 +23,7 @@ DEFAULT_WORD_LIMIT = 250
 #: Nesting levels of ``content`` unrolled into the plan; deeper payloads raise instead of losing text.
 MAX_CONTENT_DEPTH = 6
 
-# Metadata fields searched for excluded keywords, and flags that drop a message.
+# Metadata fields searched for excluded keywords, flags that drop a message, role labels.
 METADATA_TEXTS = ("message_type", "source", "message_source", "description")
 METADATA_FLAGS = ("is_thinking", "is_thought", "is_system_message")
 ROLE_LABELS = {"user": "User: ", "assistant": "Assistant: "}
@@ -38,167 +40,142 @@ def clean_word_limit(limit: Any) -> int:
 # -- content ------------------------------------------------------------------------------------
 
 
-def text_fragments(content: Column, depth: int = MAX_CONTENT_DEPTH) -> Column:
+def text_fragments(content: str, depth: int = MAX_CONTENT_DEPTH) -> str:
     """Stripped, non-empty text pieces of a content payload, depth first, as array<string>."""
-    no_text = F.array().cast("array<string>")
-    no_items = F.array().cast("array<variant>")
+    no_text = "cast(array() as array<string>)"
 
-    def walk(value: Column, levels: int) -> Column:
-        kind_of_content = J.first_truthy(J.field(value, "$.content_type"), J.field(value, "$.type"))
-        shown = J.is_object(value) & ~T.has_excluded_keyword(J.as_text(kind_of_content))
+    def walk(value: str, levels: int) -> str:
+        kind = J.first_truthy(J.field(value, "content_type"), J.field(value, "type"))
+        shown = f"({J.is_object(value)} and not {T.has_excluded_keyword(J.as_text(kind))})"
         nested = (
-            F.when(J.is_array(value), J.array_items(value))
-            .when(shown, J.array_items(J.field(value, "$.parts")))
-            .otherwise(no_items)
+            f"case when {J.is_array(value)} then {J.array_items(value)} "
+            f"when {shown} then {J.array_items(J.field(value, 'parts'))} else {J.NO_ITEMS} end"
         )
         # Each level refers to the next one exactly once, so the plan grows linearly with depth.
         if levels == 0:
-            too_deep = F.raise_error(F.lit("content is nested deeper than max_depth; raise the parameter"))
-            below = F.when(F.size(nested) > 0, too_deep.cast("array<string>")).otherwise(no_text)
+            too_deep = "raise_error('content is nested deeper than max_depth; raise the parameter')"
+            below = f"if(size({nested}) > 0, cast({too_deep} as array<string>), {no_text})"
         else:
-            below = F.flatten(F.transform(nested, lambda item: walk(item, levels - 1)))
+            item = f"c{levels}"
+            below = f"flatten(transform({nested}, {item} -> {walk(item, levels - 1)}))"
+        own = ", ".join(
+            [
+                J.first_truthy(J.field(value, "text"), J.field(value, "value")),
+                J.field(value, "data.code"),
+                J.field(value, "data.text"),
+            ]
+        )
         leaves = (
-            F.when(J.is_string(value), F.array(value))
-            .when(
-                shown,
-                F.array(
-                    J.first_truthy(J.field(value, "$.text"), J.field(value, "$.value")),
-                    J.field(value, "$.data.code"),
-                    J.field(value, "$.data.text"),
-                ),
-            )
-            .otherwise(no_items)
+            f"case when {J.is_string(value)} then array({value}) when {shown} then array({own}) else {J.NO_ITEMS} end"
         )
-        return F.concat(below, F.transform(leaves, lambda leaf: T.strip(J.string_or_null(leaf))))
+        return f"concat({below}, transform({leaves}, leaf -> {T.strip(J.string_or_null('leaf'))}))"
 
-    return F.filter(walk(content, depth), lambda s: s.isNotNull() & (s != ""))
+    return f"filter({T.let(content, 'c', walk('c', depth))}, s -> s is not null and s != '')"
 
 
-def labelled_text(role: Column, fragments: Column) -> Column:
+def labelled_text(role: str, fragments: str) -> str:
     """``User: …`` or ``Assistant: …``; null for other roles and blank text."""
-    body = T.strip(F.array_join(fragments, " "))
-    label = F.when(role == "user", ROLE_LABELS["user"]).when(role == "assistant", ROLE_LABELS["assistant"])
-    return F.when(body != "", F.concat(label, body))
+    label = " ".join(f"when {role} = '{name}' then '{label}'" for name, label in ROLE_LABELS.items())
+    return T.let(
+        T.strip(f"array_join({fragments}, ' ')"), "body", f"if(body != '', concat(case {label} end, body), null)"
+    )
 
 
-def role_allowed(role: Column) -> Column:
-    return F.coalesce(role.isin(*ROLE_LABELS), F.lit(False))
+def role_allowed(role: str) -> str:
+    return f"coalesce({role} in {tuple(ROLE_LABELS)}, false)"
 
 
-def metadata_allowed(metadata: Column, message_type: Column) -> Column:
+def metadata_allowed(metadata: str, message_type: str) -> str:
     """False when a flag is boolean true or a keyword occurs in a metadata text or the message type."""
-    flagged = [J.is_true(J.field(metadata, f"$.{name}")) for name in METADATA_FLAGS]
-    texts = [J.string_or_null(J.field(metadata, f"$.{name}")) for name in METADATA_TEXTS]
-    texts.append(J.string_or_null(message_type))
-    bad = F.lit(False)
-    for test in flagged + [T.has_excluded_keyword(t) for t in texts]:
-        bad = bad | test
-    return ~bad
+    flags = ", ".join(J.field("md", name) for name in METADATA_FLAGS)
+    texts = ", ".join([J.field("md", name) for name in METADATA_TEXTS] + [message_type])
+    return T.let(
+        metadata,
+        "md",
+        f"not (exists(array({flags}), fl -> {J.is_true('fl')}) or "
+        f"exists(array({texts}), tx -> {T.has_excluded_keyword(J.string_or_null('tx'))}))",
+    )
 
 
-def message_role(message: Column) -> Column:
-    return J.string_or_null(J.field(message, "$.author.role"))
+def message_role(message: str) -> str:
+    return J.string_or_null(J.field(message, "author.role"))
 
 
-def message_block(message: Column, depth: int = MAX_CONTENT_DEPTH) -> Column:
+def message_block(message: str, depth: int = MAX_CONTENT_DEPTH) -> str:
     """Transcript block of one message held as VARIANT, or null when it is left out."""
-    role = message_role(message)
-    allowed = role_allowed(role) & metadata_allowed(J.field(message, "$.metadata"), J.field(message, "$.message_type"))
-    return F.when(allowed, labelled_text(role, text_fragments(J.field(message, "$.content"), depth)))
+    allowed = metadata_allowed(J.field(message, "metadata"), J.field(message, "message_type"))
+    block = labelled_text("role", text_fragments(J.field(message, "content"), depth))
+    return T.let(message_role(message), "role", f"case when {role_allowed('role')} and {allowed} then {block} end")
 
 
 # -- one conversation per row -------------------------------------------------------------------
 
 
-def conversation_messages(messages: Column, mapping: Column, mapping_json: Column) -> Column:
+def conversation_messages(messages: str, mapping: str, mapping_json: str) -> str:
     """Messages of a conversation in encounter order: the list first, then the mapping's nodes.
 
     ``mapping_json`` is the raw text of ``mapping``, because a VARIANT sorts its keys.
     """
-    nodes = F.when(J.is_object(mapping), F.map_values(F.from_json(mapping_json, "map<string,variant>")))
-    from_nodes = F.transform(nodes, lambda node: J.field(node, "$.message"))
-    both = F.concat(J.array_items(messages), F.coalesce(from_nodes, F.array().cast("array<variant>")))
-    return F.filter(both, J.is_object)
+    nodes = f"case when {J.is_object(mapping)} then map_values(from_json({mapping_json}, 'map<string,variant>')) end"
+    from_nodes = f"coalesce(transform({nodes}, nd -> {J.field('nd', 'message')}), {J.NO_ITEMS})"
+    return f"filter(concat({J.array_items(messages)}, {from_nodes}), mg -> {J.is_object('mg')})"
 
 
-def with_message_array(df: DataFrame, source: Column, out: str = "messages") -> DataFrame:
-    """Add the deduplicated, chronologically ordered messages as array<struct<ts, ord, id, message>>.
+def _ascending(key: str, otherwise: str) -> str:
+    """Comparator step over one key of structs a and b, nulls last."""
+    a, b = f"a.{key}", f"b.{key}"
+    return (
+        f"case when {a} is null and {b} is null then {otherwise} when {a} is null then 1 when {b} is null then -1 "
+        f"when {a} < {b} then -1 when {a} > {b} then 1 else {otherwise} end"
+    )
+
+
+def with_message_array(df: DataFrame, source: str, out: str = "messages") -> DataFrame:
+    """Add the deduplicated, chronologically ordered messages as array<struct<id, ord, ts, message>>.
 
     A repeated string id keeps its first copy.  Copies are found by sorting on (id, ord), so a very
     long conversation costs n log n.
     """
-    numbered = F.transform(
-        source,
-        lambda m, i: F.struct(
-            J.string_or_null(J.field(m, "$.id")).alias("id"),
-            i.alias("ord"),
-            to_epoch(J.field(m, "$.create_time")).alias("ts"),
-            m.alias("message"),
-        ),
+    entry = (
+        f"named_struct('id', {J.string_or_null(J.field('m', 'id'))}, 'ord', i, "
+        f"'ts', {to_epoch(J.field('m', 'create_time'))}, 'message', m)"
     )
-
-    def by_id(a: Column, b: Column) -> Column:
-        return _compare((a["id"], b["id"]), (a["ord"], b["ord"]))
-
-    def by_time(a: Column, b: Column) -> Column:
-        return _compare((a["ts"], b["ts"]), (a["ord"], b["ord"]))
-
-    sorted_by_id = df.withColumn("_by_id", F.array_sort(numbered, by_id))
-    first_copies = F.filter(
-        F.transform(
-            F.arrays_zip(
-                F.col("_by_id").alias("m"),
-                F.concat(F.array(F.lit(None).cast("string")), F.transform("_by_id", lambda m: m["id"])).alias("before"),
-            ),
-            lambda z: F.when(z["m"]["id"].isNull() | ~z["m"]["id"].eqNullSafe(z["before"]), z["m"]),
-        ),
-        lambda m: m.isNotNull(),
+    by_id = f"(a, b) -> {_ascending('id', _ascending('ord', '0'))}"
+    by_time = f"(a, b) -> {_ascending('ts', _ascending('ord', '0'))}"
+    # The id of the message before, so that a copy is recognised without looking back into the array.
+    shifted = "concat(array(cast(null as string)), transform(_by_id, m -> m.id))"
+    first = (
+        f"filter(zip_with(_by_id, slice({shifted}, 1, size(_by_id)), (m, before) -> "
+        "case when m.id is null or not m.id <=> before then m end), m -> m is not null)"
+    )
+    return (
+        df.withColumn("_by_id", F.expr(f"array_sort(transform({source}, (m, i) -> {entry}), {by_id})"))
+        .withColumn(out, F.expr(f"array_sort({first}, {by_time})"))
+        .drop("_by_id")
     )
-    return sorted_by_id.withColumn(out, F.array_sort(first_copies, by_time)).drop("_by_id")
-
-
-def _compare(*pairs: tuple[Column, Column]) -> Column:
-    """Comparator over several keys, nulls last."""
-    result = F.lit(0)
-    for a, b in reversed(pairs):
-        result = (
-            F.when(a.isNull() & b.isNull(), result)
-            .when(a.isNull(), 1)
-            .when(b.isNull(), -1)
-            .when(a < b, -1)
-            .when(a > b, 1)
-            .otherwise(result)
-        )
-    return result
 
 
-def take_words(blocks: Column, limit: int) -> Column:
+def take_words(blocks: str, limit: int) -> str:
     """Join blocks with blank lines up to ``limit`` words; null when nothing remains.
 
     A block that fits is kept as it is; the one that crosses the limit is cut to the words left and
     re-joined with single spaces.  0 keeps everything.
     """
     if limit == 0:
-        whole = F.array_join(blocks, "\n\n")
-        return F.when(whole != "", whole)
-
-    def add(state: Column, block: Column) -> Column:
-        tokens = T.words(block)
-        n = F.size(tokens)
-        piece = F.when(n <= state["left"], block).otherwise(F.array_join(F.slice(tokens, 1, state["left"]), " "))
-        joined = F.when(state["text"] == "", piece).otherwise(F.concat(state["text"], F.lit("\n\n"), piece))
-        return F.when(
-            (state["left"] > 0) & (n > 0),
-            F.struct(joined.alias("text"), F.greatest(state["left"] - n, F.lit(0)).alias("left")),
-        ).otherwise(state)
-
-    start = F.struct(F.lit("").alias("text"), F.lit(limit).alias("left"))
-    return F.aggregate(blocks, start, add, lambda s: F.when(s["text"] != "", s["text"]))
+        return f"nullif(array_join({blocks}, '\\n\\n'), '')"
+    piece = "if(size(tk) <= st.room, bl, array_join(slice(tk, 1, st.room), ' '))"
+    grown = (
+        f"named_struct('txt', if(st.txt = '', {piece}, concat(st.txt, '\\n\\n', {piece})), "
+        "'room', greatest(st.room - size(tk), 0))"
+    )
+    step = f"if(st.room = 0, st, {T.let(T.words('bl'), 'tk', f'if(size(tk) = 0, st, {grown})')})"
+    start = f"named_struct('txt', '', 'room', {limit})"
+    return f"aggregate({blocks}, {start}, (st, bl) -> {step}, st -> nullif(st.txt, ''))"
 
 
-def excerpt_of_messages(messages: Column, limit: int, depth: int = MAX_CONTENT_DEPTH) -> Column:
+def excerpt_of_messages(messages: str, limit: int, depth: int = MAX_CONTENT_DEPTH) -> str:
     """Excerpt from the array made by ``with_message_array``."""
-    blocks = F.filter(F.transform(messages, lambda m: message_block(m["message"], depth)), lambda b: b.isNotNull())
+    blocks = f"filter(transform({messages}, m -> {message_block('m.message', depth)}), b -> b is not null)"
     return take_words(blocks, limit)
 
 
@@ -221,7 +198,7 @@ def first_message_copies(df: DataFrame, chat: str = "chat_id", msg_id: str = "ms
     return first.unionByName(df.where(F.col(msg_id).isNull()))
 
 
-def chronological(chat: str = "chat_id", ts: str = "ts", order: str = "ord") -> Window:
+def chronological(chat: str = "chat_id", ts: str = "ts", order: str = "ord") -> WindowSpec:
     return Window.partitionBy(chat).orderBy(F.col(ts).asc_nulls_last(), F.col(order))
 
 
@@ -232,22 +209,18 @@ def excerpts_of_turns(
 
     Each block has at least two words, so no more than limit/2 + 1 of them can matter; the rank filter
     is applied before the shuffle as well.  A block longer than the limit can only be the one that is
-    cut, so its first ``limit`` words are enough.
+    cut, so its first ``limit`` words and one more are enough.
     """
     blocks = df.where(F.col("block").isNotNull())
     if limit > 0:
-        tokens = T.words(F.col("block"))
-        short = F.when(F.size(tokens) <= limit, F.col("block")).otherwise(
-            F.array_join(F.slice(tokens, 1, limit + 1), " ")
-        )
-        rank = F.row_number().over(chronological(chat, ts, order))
+        cut = f"if(size(tk) <= {limit}, block, array_join(slice(tk, 1, {limit + 1}), ' '))"
         blocks = (
-            blocks.select(chat, ts, order, short.alias("block"))
-            .withColumn("_rank", rank)
+            blocks.select(chat, ts, order, F.expr(T.let(T.words("block"), "tk", cut)).alias("block"))
+            .withColumn("_rank", F.row_number().over(chronological(chat, ts, order)))
             .where(F.col("_rank") <= limit // 2 + 1)
         )
     late = F.col(ts).isNull()
     listed = blocks.groupBy(chat).agg(
         F.array_sort(F.collect_list(F.struct(late.alias("late"), F.col(ts), F.col(order), F.col("block")))).alias("b")
     )
-    return listed.select(chat, take_words(F.transform("b", lambda b: b["block"]), limit).alias("prompt_excerpt"))
+    return listed.select(chat, F.expr(take_words("transform(b, x -> x.block)", limit)).alias("prompt_excerpt"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from foldwise.functions import jsonval as J
 from foldwise.functions.epoch import to_epoch
+from foldwise.functions.text import let
 from foldwise.operators import messages as M
 
 # Keys that mark a conversation as filed, in order of preference, and where to look.
@@ -15,28 +16,23 @@ FILING_PLACES = ("metadata", "conversation")
 UNTITLED = "(untitled)"
 
 
-def _members(raw: Column) -> Column:
-    return F.from_json(raw, "map<string,variant>")
+MEMBERS = "from_json({raw}, 'map<string,variant>')"
 
 
-def looks_like_conversation(raw: Column) -> Column:
+def looks_like_conversation(raw: str) -> str:
     """JSON object with a title and an id: as own keys, even null, or truthy in ``conversation``."""
-    members = _members(raw)
-    keys = F.map_keys(members)
-    inner = members["conversation"]
-    titled = F.array_contains(keys, "title") | J.truthy(J.field(inner, "$.title"))
-    named = (
-        F.array_contains(keys, "id")
-        | J.truthy(members["conversation_id"])
-        | J.truthy(J.field(inner, "$.id"))
-    )
-    return F.coalesce(members.isNotNull() & titled & named, F.lit(False))
+    inner = "mb['conversation']"
+    titled = f"array_contains(map_keys(mb), 'title') or {J.truthy(J.field(inner, 'title'))}"
+    inner_id = J.truthy(J.field(inner, "id"))
+    other_id = J.truthy("mb['conversation_id']")
+    named = f"array_contains(map_keys(mb), 'id') or {other_id} or {inner_id}"
+    return let(MEMBERS.format(raw=raw), "mb", f"coalesce(mb is not null and ({titled}) and ({named}), false)")
 
 
-def filed_under(members: Column) -> Column:
+def filed_under(members: str) -> str:
     """First truthy filing value of a map<string,variant>, as text; null when the chat is not filed."""
-    values = [members[key] for key in FILING_KEYS]
-    values += [J.field(members[place], f"$.{key}") for place in FILING_PLACES for key in FILING_KEYS]
+    values = [f"{members}['{key}']" for key in FILING_KEYS]
+    values += [J.field(f"{members}['{place}']", key) for place in FILING_PLACES for key in FILING_KEYS]
     return J.as_text(J.first_truthy(*values))
 
 
@@ -45,25 +41,25 @@ def normalize_chats(conversations: DataFrame) -> DataFrame:
 
     Values are chosen by truthiness, so 0 and "" fall through; rows without any id are dropped.
     """
-    m = F.col("m")
-    inner = m["conversation"]
-
-    def chosen(*names: str, inside: str | None = None, last: str | None = None) -> Column:
-        values = [m[n] for n in names]
-        if inside:
-            values.append(J.field(inner, f"$.{inside}"))
-        if last:
-            values.append(m[last])
-        return J.first_truthy(*values)
-
-    parsed = conversations.withColumn("m", _members(F.col("raw")))
+
+    def own(name: str) -> str:
+        return f"m['{name}']"
+
+    def inner(name: str) -> str:
+        return J.field(own("conversation"), name)
+
+    id_ = J.first_truthy(own("id"), own("conversation_id"), inner("id"), own("uuid"))
+    title = J.first_truthy(own("title"), inner("title"))
+    created = J.first_truthy(own("create_time"), own("created_at"), inner("create_time"))
+    updated = J.first_truthy(own("update_time"), own("updated_at"), inner("update_time"))
+    parsed = conversations.withColumn("m", F.expr(MEMBERS.format(raw="raw")))
     picked = parsed.select(
         "pos",
-        J.as_text(chosen("id", "conversation_id", inside="id", last="uuid")).alias("id"),
-        F.coalesce(J.as_text(chosen("title", inside="title")), F.lit(UNTITLED)).alias("title"),
-        to_epoch(chosen("create_time", "created_at", inside="create_time")).alias("create_time"),
-        to_epoch(chosen("update_time", "updated_at", inside="update_time")).alias("update_time"),
-        filed_under(m).alias("project_id"),
+        F.expr(J.as_text(id_)).alias("id"),
+        F.expr(f"coalesce({J.as_text(title)}, '{UNTITLED}')").alias("title"),
+        F.expr(to_epoch(created)).alias("create_time"),
+        F.expr(to_epoch(updated)).alias("update_time"),
+        F.expr(filed_under("m")).alias("project_id"),
         "raw",
     )
     return picked.where(F.col("id").isNotNull())
@@ -86,12 +82,13 @@ def dedup_latest(chats: DataFrame) -> DataFrame:
 
 def with_excerpt(chats: DataFrame, word_limit: int = M.DEFAULT_WORD_LIMIT) -> DataFrame:
     """Replace ``raw`` by ``prompt_excerpt``; computed within each row, without a shuffle."""
-    members = _members(F.col("raw"))
-    raw_text = F.from_json("raw", "map<string,string>")
-    source = M.conversation_messages(members["messages"], members["mapping"], raw_text["mapping"])
-    ordered = M.with_message_array(chats.withColumn("_source", source), F.col("_source"), "_messages")
-    excerpt = M.excerpt_of_messages(F.col("_messages"), word_limit)
-    return ordered.withColumn("prompt_excerpt", excerpt).drop("raw", "_source", "_messages")
+    source = M.conversation_messages("m['messages']", "m['mapping']", "t['mapping']")
+    parsed = chats.withColumn("m", F.expr(MEMBERS.format(raw="raw"))).withColumn(
+        "t", F.expr("from_json(raw, 'map<string,string>')")
+    )
+    ordered = M.with_message_array(parsed.withColumn("_source", F.expr(source)), "_source", "_messages")
+    excerpt = M.excerpt_of_messages("_messages", word_limit)
+    return ordered.withColumn("prompt_excerpt", F.expr(excerpt)).drop("raw", "m", "t", "_source", "_messages")
 
 
 def is_filed(project_id: Column) -> Column:

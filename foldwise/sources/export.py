@@ -10,7 +10,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foldwise.functions import jsonval as J
+from foldwise.functions.text import BLANK_LINE
 from foldwise.operators.normalize import looks_like_conversation
 
 # Members of a container document that may hold conversations, in reading order.
@@ -59,7 +59,7 @@ def file_layouts(spark: SparkSession, path: str | list[str]) -> DataFrame:
     A file is newline-delimited when its first non-blank line is a complete JSON value and another
     non-blank line follows; then it cannot be one document.  Everything else is one document.
     """
-    lines = _text(spark, path, whole=False).where(~F.col("value").rlike(r"^\s*$"))
+    lines = _text(spark, path, whole=False).where(~F.col("value").rlike(BLANK_LINE))
     first = F.min_by("value", F.struct("block", "line"))
     return (
         lines.withColumn("line", F.monotonically_increasing_id())
@@ -81,7 +81,7 @@ def read_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """(pos, json) with one row per non-blank line; the scan splits large files."""
     lines = _text(spark, path, whole=False).withColumn("line", F.monotonically_increasing_id())
     zero = F.lit(0)
-    return lines.where(~F.col("value").rlike(r"^\s*$")).select(
+    return lines.where(~F.col("value").rlike(BLANK_LINE)).select(
         _pos(F.col("file"), F.col("block"), F.col("line"), zero, zero).alias("pos"), F.col("value").alias("json")
     )
 
@@ -106,11 +106,11 @@ def flatten_items(items: DataFrame, search_wrappers: Column | None = None) -> Da
     ``search_wrappers`` holds (everywhere by default).
     """
     wrappers = F.lit(True) if search_wrappers is None else search_wrappers
-    shaped = items.withColumn("_is", looks_like_conversation(F.col("json")))
+    shaped = items.withColumn("_is", F.expr(looks_like_conversation("json")))
     wrapped = F.when(wrappers, F.map_values(F.from_json("json", "map<string,string>")))
     candidates = F.when(F.col("_is"), F.array("json")).otherwise(wrapped)
     inner = shaped.select("pos", "_is", F.posexplode(candidates).alias("part", "raw"))
-    kept = F.col("_is") | looks_like_conversation(F.col("raw"))
+    kept = F.col("_is") | F.expr(looks_like_conversation("raw"))
     return inner.where(kept).select(F.col("pos").withField("part", F.col("part").cast("bigint")).alias("pos"), "raw")
 
 

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from foldwise.functions.text import BLANK_LINE
 from foldwise.sources import export as X
 
 
@@ -22,7 +23,7 @@ def document_items(documents: DataFrame) -> DataFrame:
     return documents.select("file", F.posexplode(F.coalesce(items, wrong)).alias("item", "json"))
 
 
-def is_json_object(json: F.Column) -> F.Column:
+def is_json_object(json: Column) -> Column:
     return X.is_one_json_value(json) & F.from_json(json, "map<string,string>").isNotNull()
 
 
@@ -57,7 +58,7 @@ def line_errors(numbered: DataFrame) -> DataFrame:
         ~is_json_object(json), F.lit("not a JSON object")
     )
     return (
-        numbered.where(~json.rlike(r"^\s*$"))
+        numbered.where(~json.rlike(BLANK_LINE))
         .select("file", "line_number", problem.alias("problem"))
         .where(F.col("problem").isNotNull())
     )

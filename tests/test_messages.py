@@ -33,7 +33,7 @@ def test_to_epoch(spark):
         1704067200.0, 1704067200.0, 1704067201.5 - 3600, 1704067200.0, 1000.0, 7.5, None,
         None, 2024.0, None, None, 50.0, 1000.0, None,
     ]
-    got = [r.e for r in variants(spark, values).select(epoch.to_epoch(F.col("v")).alias("e")).collect()]
+    got = [r.e for r in variants(spark, values).select(F.expr(epoch.to_epoch("v")).alias("e")).collect()]
     assert got == want
 
 
@@ -45,7 +45,7 @@ def test_text_fragments(spark):
         "  padded ", {"content_type": {"k": "a search"}, "text": "hidden"},
     ]
     want = [[], [], ["first", "second"], ["print(1)", "extra"], [], ["a", "b", "c"], [], ["v"], ["t"], ["padded"], []]
-    got = [r.t for r in variants(spark, values).select(M.text_fragments(F.col("v")).alias("t")).collect()]
+    got = [r.t for r in variants(spark, values).select(F.expr(M.text_fragments("v")).alias("t")).collect()]
     assert got == want
 
 
@@ -54,9 +54,9 @@ def test_deep_content_raises_instead_of_losing_text(spark):
     for _ in range(8):
         deep = [deep]
     df = variants(spark, [deep])
-    assert df.select(M.text_fragments(F.col("v"), 9).alias("t")).first().t == ["x"]
+    assert df.select(F.expr(M.text_fragments("v", 9)).alias("t")).first().t == ["x"]
     with pytest.raises(Exception, match="max_depth"):
-        df.select(M.text_fragments(F.col("v"), 3)).collect()
+        df.select(F.expr(M.text_fragments("v", 3))).collect()
 
 
 def test_message_block_filters(spark):
@@ -72,7 +72,7 @@ def test_message_block_filters(spark):
         said("tool", "x"),
         said("user", "   "),
     ]
-    got = [r.b for r in variants(spark, values).select(M.message_block(F.col("v")).alias("b")).collect()]
+    got = [r.b for r in variants(spark, values).select(F.expr(M.message_block("v")).alias("b")).collect()]
     seen = "Assistant: Visible reply"
     assert got == [seen, None, seen, None, None, None, None, None, None]
 
@@ -178,7 +178,7 @@ def test_turn_table_matches_row_form(spark, limit):
             rows.append((chat, id_, o, ts, role, body))
         conversations.append((chat, json.dumps({"messages": messages})))
     turns = spark.createDataFrame(rows, "chat_id int, msg_id string, ord int, ts double, role string, body string")
-    block = M.labelled_text(F.col("role"), F.array(text.strip(F.col("body"))))
+    block = F.expr(M.labelled_text("role", f"array({text.strip('body')})"))
     got = M.excerpts_of_turns(M.first_message_copies(turns).withColumn("block", block), limit)
     got = {r.chat_id: r.prompt_excerpt for r in got.collect()}
     df = spark.createDataFrame(conversations, "pos int, raw string")
@@ -188,5 +188,5 @@ def test_turn_table_matches_row_form(spark, limit):
 
 def test_truthiness(spark):
     values = [None, 0, 0.0, "", "0", [], {}, False, True, 1, -0.5, [0], {"a": None}]
-    got = [r.t for r in variants(spark, values).select(jsonval.truthy(F.col("v")).alias("t")).collect()]
+    got = [r.t for r in variants(spark, values).select(F.expr(jsonval.truthy("v")).alias("t")).collect()]
     assert got == [bool(v) for v in values]
