@@ -54,7 +54,8 @@ def as_text(value: str) -> str:
         value,
         "av",
         f"case when {is_string('av')} then try_variant_get(av, '$', 'string') "
-        "when to_json(av) in ('true', 'false') then initcap(to_json(av)) else to_json(av) end",
+        "when to_json(av) in ('true', 'false') then initcap(to_json(av)) "
+        "when to_json(av) = 'null' then 'None' else to_json(av) end",
     )
 
 
