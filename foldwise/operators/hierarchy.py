@@ -133,6 +133,19 @@ def _in_one_task(min_size: int, radius: float):
     return run
 
 
+def _resolve_in_one_task(radius: float):
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows = [
+            (int(r.cluster), None if pd.isna(r.parent) else int(r.parent), r.birth, r.best, r.chosen)
+            for pdf in frames
+            for r in pdf.itertuples()
+        ]
+        at = _resolve(rows, radius)
+        yield pd.DataFrame(list(at.items()), columns=["cluster", "at"], dtype="Int64")
+
+    return run
+
+
 def _step(min_size: int):
     """One slice of edges within one tree of components: rows of edges, states of the touched components."""
 
@@ -267,5 +280,8 @@ def flat_clusters(tree: DataFrame, min_cluster_size: int, radius: float, limit:
     if tree.count() <= limit:
         return tree.coalesce(1).mapInPandas(_in_one_task(size, radius), "pos bigint, label bigint")
     clusters, joined = _in_slices(tree, size, limit)
-    at = _resolve_in_rounds(clusters, radius)
+    if clusters.count() <= limit:
+        at = clusters.coalesce(1).mapInPandas(_resolve_in_one_task(radius), "cluster bigint, at bigint")
+    else:
+        at = _resolve_in_rounds(clusters, radius)
     return joined.join(at, "cluster").where(F.col("at").isNotNull()).select("pos", F.col("at").alias("label"))

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from foldwise.functions.vectors import GRID, grid_distance, grid_vector
+from foldwise.functions.vectors import grid_distance, grid_vector
 from foldwise.session import materialise
 
 #: Upper bounds: pivots, bytes of a small vector table held by the driver and every task, bytes of one
@@ -212,7 +212,8 @@ def nearest_neighbours(blocks: Blocks, k: int) -> DataFrame:
         if len(pos) > 1:
             return found
         # A lone point still has to report that its reach is unbounded.
-        return pa.table({"pos": pos, "nbr": [None], "dist": [None], "nbr_copies": [None], "reach": [np.inf]})
+        nothing = {"nbr": pa.nulls(1, pa.int64()), "dist": pa.nulls(1, pa.float64()), "nbr_copies": pa.nulls(1, pa.int64())}
+        return pa.table({"pos": pos, **nothing, "reach": [np.inf]})
 
     inside = blocks.points.groupBy("block").applyInArrow(own, FOUND)
     ranked = inside
@@ -277,7 +278,3 @@ def core_distances(blocks: Blocks, neighbours: DataFrame, min_samples: int) -> D
 
 def union_all(frames: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, frames)
-
-
-def grid_step() -> float:
-    return 1.0 / GRID

@@ -111,26 +111,68 @@ def _needed_pairs(blocks: N.Blocks, points: DataFrame, trees: DataFrame) -> Data
     return N.block_pairs(blocks, radius, keep)
 
 
-def _kruskal(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    parts = list(frames)
-    if not parts:
-        return
-    edges = pd.concat(parts).sort_values(["weight", "lo", "hi"], kind="stable")
-    parent: dict[int, int] = {}
+class _Forest:
+    """Union by smaller name, for the steps that are small enough for one task."""
+
+    def __init__(self) -> None:
+        self.parent: dict[int, int] = {}
 
-    def find(x: int) -> int:
+    def find(self, x: int) -> int:
+        parent = self.parent
         while parent.setdefault(x, x) != x:
             parent[x] = parent[parent[x]]
             x = parent[x]
         return x
 
-    kept = np.zeros(len(edges), dtype=bool)
-    for k, (lo, hi) in enumerate(zip(edges["lo"].tolist(), edges["hi"].tolist())):
-        a, b = find(lo), find(hi)
+    def join(self, x: int, y: int) -> bool:
+        a, b = self.find(x), self.find(y)
         if a != b:
-            parent[b] = a
-            kept[k] = True
-    yield edges[kept]
+            self.parent[max(a, b)] = min(a, b)
+        return a != b
+
+    def labels(self) -> list[tuple[int, int]]:
+        return [(x, self.find(x)) for x in list(self.parent)]
+
+
+def _sorted_edges(frames: Iterator[pd.DataFrame]) -> pd.DataFrame | None:
+    parts = list(frames)
+    return pd.concat(parts).sort_values(["weight", "lo", "hi"], kind="stable") if parts else None
+
+
+def _kruskal(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    edges = _sorted_edges(frames)
+    if edges is not None:
+        forest = _Forest()
+        yield edges[[forest.join(lo, hi) for lo, hi in zip(edges["lo"].tolist(), edges["hi"].tolist())]]
+
+
+def _finish(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Forest edges of a contracted edge table, and (c, root) for its components."""
+    edges = _sorted_edges(frames)
+    if edges is not None:
+        forest = _Forest()
+        kept = edges[[forest.join(a, b) for a, b in zip(edges["a"].tolist(), edges["b"].tolist())]]
+        names = pd.DataFrame(forest.labels(), columns=["c", "root"], dtype="Int64")
+        for part in (kept[["lo", "hi", "weight"]], names):
+            yield part.reindex(columns=["lo", "hi", "weight", "c", "root"]).astype(
+                {"lo": "Int64", "hi": "Int64", "weight": "float64", "c": "Int64", "root": "Int64"}
+            )
+
+
+def _components_of(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    forest = _Forest()
+    for pdf in frames:
+        for lo, hi in zip(pdf["lo"].tolist(), pdf["hi"].tolist()):
+            forest.join(lo, hi)
+    yield pd.DataFrame(forest.labels(), columns=["node", "component"], dtype="int64")
+
+
+def _renamed(labels: DataFrame, names: DataFrame) -> DataFrame:
+    """Replace components by the roots they were merged into."""
+    to = names.select(F.col("c").alias("component"), "root")
+    return materialise(
+        labels.join(to, "component", "left").select("node", F.coalesce("root", "component").alias("component"))
+    )
 
 
 def contract(edges: DataFrame, limit: int = SINGLE_TASK_ROWS) -> tuple[DataFrame, DataFrame]:
@@ -138,7 +180,8 @@ def contract(edges: DataFrame, limit: int = SINGLE_TASK_ROWS) -> tuple[DataFrame
 
     ``forest`` is the minimum spanning forest, ``labels`` has (node, component) with the smallest node
     number of each component.  Each round at least halves the open components; parallel edges are
-    combined before the shuffle, so a component that holds a third of the graph stays cheap.
+    combined before the shuffle, so a component that holds a third of the graph stays cheap.  Once no
+    more than ``limit`` contracted edges are left, one task finishes them.
     """
     open_ = materialise(
         edges.select(F.col("lo").alias("a"), F.col("hi").alias("b"), "weight", "lo", "hi").where(F.col("lo") != F.col("hi"))
@@ -148,6 +191,11 @@ def contract(edges: DataFrame, limit: int = SINGLE_TASK_ROWS) -> tuple[DataFrame
     labels = materialise(open_.select(F.explode(F.array("a", "b")).alias("node")).distinct().withColumn("component", F.col("node")))
     rank = F.struct("weight", "lo", "hi")
     while True:
+        if open_.count() <= limit:
+            last = materialise(open_.coalesce(1).mapInPandas(_finish, f"{EDGES}, c bigint, root bigint"))
+            forest.append(last.where(F.col("c").isNull()).select("lo", "hi", "weight"))
+            labels = _renamed(labels, last.where(F.col("c").isNotNull()).select("c", "root"))
+            break
         ends = open_.select(F.col("a").alias("c"), F.col("b").alias("to"), "weight", "lo", "hi").unionByName(
             open_.select(F.col("b").alias("c"), F.col("a").alias("to"), "weight", "lo", "hi")
         )
@@ -160,11 +208,7 @@ def contract(edges: DataFrame, limit: int = SINGLE_TASK_ROWS) -> tuple[DataFrame
         hop = best.select("c", F.col("e.to").alias("to")).join(back, "to", "left")
         up = hop.select("c", F.when((F.col("back") == F.col("c")) & (F.col("c") < F.col("to")), F.col("c")).otherwise(F.col("to")).alias("root"))
         up = _to_roots(materialise(up))
-        labels = materialise(
-            labels.join(up.select(F.col("c").alias("component"), "root"), "component", "left").select(
-                "node", F.coalesce("root", "component").alias("component")
-            )
-        )
+        labels = _renamed(labels, up)
         left = up.select(F.col("c").alias("a"), F.col("root").alias("ra"))
         right = up.select(F.col("c").alias("b"), F.col("root").alias("rb"))
         joined = open_.join(left, "a").join(right, "b").where(F.col("ra") != F.col("rb"))
@@ -194,7 +238,7 @@ def minimum_spanning_forest(edges: DataFrame, limit: int = SINGLE_TASK_ROWS) ->
     edges = materialise(edges.select("lo", "hi", "weight"))
     if edges.count() <= limit:
         return edges.coalesce(1).mapInPandas(_kruskal, EDGES)
-    return contract(edges)[0]
+    return contract(edges, limit)[0]
 
 
 def mutual_reachability_tree(points: DataFrame, min_samples: int, block_rows: int | None = None, limit: int = SINGLE_TASK_ROWS) -> DataFrame:
@@ -222,30 +266,12 @@ def mutual_reachability_tree(points: DataFrame, min_samples: int, block_rows: in
     return trees
 
 
-def _components_of(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    parent: dict[int, int] = {}
-
-    def find(x: int) -> int:
-        while parent.setdefault(x, x) != x:
-            parent[x] = parent[parent[x]]
-            x = parent[x]
-        return x
-
-    for pdf in frames:
-        for lo, hi in zip(pdf["lo"].tolist(), pdf["hi"].tolist()):
-            a, b = find(lo), find(hi)
-            if a != b:
-                parent[max(a, b)] = min(a, b)
-    nodes = list(parent)
-    yield pd.DataFrame({"node": nodes, "component": [find(x) for x in nodes]}, dtype="int64")
-
-
 def components(edges: DataFrame, limit: int = SINGLE_TASK_ROWS) -> DataFrame:
     """(node, component) of the nodes that have an edge; a component is named by its smallest node."""
     edges = materialise(edges.select("lo", "hi", "weight"))
     if edges.count() <= limit:
         return edges.coalesce(1).mapInPandas(_components_of, "node bigint, component bigint")
-    return contract(edges)[1]
+    return contract(edges, limit)[1]
 
 
 def density_components(points: DataFrame, eps_cosine: float, min_samples: int, min_cluster_size: int, block_rows: int | None = None, limit: int = SINGLE_TASK_ROWS) -> DataFrame:

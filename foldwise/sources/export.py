@@ -79,7 +79,11 @@ def read_documents(spark: SparkSession, path: str | list[str]) -> DataFrame:
 
 def read_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """(pos, json) with one row per non-blank line; the scan splits large files."""
-    lines = _text(spark, path, whole=False).withColumn("line", F.monotonically_increasing_id())
+    return place_lines(_text(spark, path, whole=False).withColumn("line", F.monotonically_increasing_id()))
+
+
+def place_lines(lines: DataFrame) -> DataFrame:
+    """(pos, json) of the non-blank lines of (value, file, block, line)."""
     zero = F.lit(0)
     return lines.where(~F.col("value").rlike(BLANK_LINE)).select(
         _pos(F.col("file"), F.col("block"), F.col("line"), zero, zero).alias("pos"), F.col("value").alias("json")

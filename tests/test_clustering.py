@@ -151,8 +151,7 @@ def test_neighbours_and_core(spark, k, block_rows, copies):
             assert np.allclose(r.d, d[r.pos], atol=1e-7)
 
 
-@pytest.mark.parametrize("block_rows,limit", [(1000, 10**6), (16, 10**6), (16, 0)])
-@pytest.mark.parametrize("copies", [0, 6])
+@pytest.mark.parametrize("block_rows,limit,copies", [(1000, 10**6, 0), (16, 10**6, 6), (16, 40, 6)])
 def test_tree_weight_and_components(spark, block_rows, limit, copies):
     x = blobs(11, copies=copies)
     w, _ = reach(x, 2)
@@ -191,9 +190,9 @@ def test_hierarchy_against_brute_force(seed, eps, min_samples, min_size):
     same_partition(labels, brute_hdbscan(x, cosine_to_euclid(eps), min_samples, min_size))
 
 
-@pytest.mark.parametrize("limit", [10**6, 25])
+@pytest.mark.parametrize("limit", [10**6, 40])
 def test_hdbscan_routes_agree(spark, limit):
-    x = blobs(5, n=70, noise=10, copies=4)
+    x = blobs(5, n=56, noise=8, copies=4)
     want = brute_hdbscan(x, cosine_to_euclid(0.02), 2, 3)
     assert len(set(want.tolist())) > 2
     got = C.hdbscan(frame(spark, x), 0.02, 2, 3, block_rows=20, limit=limit).orderBy("pos").collect()
@@ -203,6 +202,33 @@ def test_hdbscan_routes_agree(spark, limit):
     assert firsts == sorted(firsts)
 
 
+def test_contraction_by_rounds_alone(spark):
+    rng = np.random.default_rng(3)
+    edges = [(int(a), int(b), float(w)) for a, b, w in zip(*rng.integers(0, 40, (2, 60)), rng.integers(1, 9, 60)) if a != b]
+    edges = [(min(a, b), max(a, b), w) for a, b, w in edges]
+    df = spark.createDataFrame(edges, S.EDGES)
+    forest, labels = S.contract(df, limit=0)
+    want = S.minimum_spanning_forest(df)
+    key = lambda f: sorted((r.weight, r.lo, r.hi) for r in f.collect())
+    assert key(forest) == key(want)
+    pairs = lambda f: sorted((r.node, r.component) for r in f.collect())
+    assert pairs(labels) == pairs(S.components(df))
+
+
+def test_selection_by_rounds_agrees(spark):
+    rng = np.random.default_rng(8)
+    n = 30
+    rows = [(n, None, float("inf"), 0.0, False)]
+    for c in range(n - 1, -1, -1):
+        up = int(rng.integers(c + 1, min(n, c + 4) + 1))
+        birth = 10.0 if up == n else next(r[2] for r in rows if r[0] == up) * float(rng.uniform(0.5, 1))
+        rows.append((c, up, birth, 0.0, bool(rng.random() < 0.4)))
+    df = spark.createDataFrame(rows, H.CLUSTERS)
+    for radius in (0.0, 3.0):
+        got = {r.cluster: r["at"] for r in H._resolve_in_rounds(df, radius).collect()}
+        assert got == H._resolve(rows, radius)
+
+
 def test_all_noise_falls_back_to_kmeans(spark):
     x = np.eye(9)
     got = C.cluster_points(frame(spark, x), 0.0, 2, 5).collect()
