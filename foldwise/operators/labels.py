@@ -15,6 +15,7 @@ from foldwise.operators.embedding import ATTEMPTS, FIRST_DELAY
 
 # Titles shown per cluster, confidence of a fallback label and of a reply that names none.
 TITLES_PER_CLUSTER = 12
+LIST_TEXT = r"(?s)\[.*\]"
 FALLBACK_CONFIDENCE = 0.5
 DEFAULT_CONFIDENCE = 0.6
 LABEL_SCHEMA = "cluster_id bigint, label string, project_folder_slug string, project_title string, confidence_model double"
@@ -72,7 +73,7 @@ def reply_items(replies: DataFrame) -> DataFrame:
     """
     strict = "from_json(concat('[', reply, ']'), 'array<string>')"
     whole = f"if(size({strict}) = 1, try_parse_json(reply), null)"
-    inner = f"try_parse_json(nullif(regexp_extract(reply, {T.raw('(?s)[[].*[]]')}, 0), ''))"
+    inner = f"try_parse_json(nullif(regexp_extract(reply, {T.raw(LIST_TEXT)}, 0), ''))"
     failed = "raise_error(concat('the labelling model did not return JSON: ', substring(coalesce(reply, ''), 1, 200)))"
     parsed = replies.withColumn("v", F.expr(f"coalesce({whole}, {inner}, cast({failed} as variant))"))
     return parsed.select("request_id", F.posexplode(F.expr(J.array_items("v"))).alias("item", "value"))
