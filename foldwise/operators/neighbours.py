@@ -24,7 +24,7 @@ from foldwise.session import materialise
 #: Upper bounds: pivots, bytes of a small vector table held by the driver and every task, bytes of one
 #: block of vectors, and rows of a block (two blocks meet in one distance matrix).
 MAX_PIVOTS = 1024
-SMALL_TABLE_BYTES = 64 << 20
+SMALL_TABLE_BYTES = 16 << 20
 BLOCK_BYTES = 32 << 20
 BLOCK_ROWS = 2048
 

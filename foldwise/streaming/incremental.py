@@ -28,7 +28,8 @@ def fill_step(
     chats = normalize.with_excerpt(todo, parameters.conversation_word_limit)
     texts = materialise(chats.withColumn("text", F.expr(T.embedding_text("title", "prompt_excerpt"))))
     batches = batching.word_batches(texts, parameters.embedding_batch_words, order=("pos",), keep=("id",))
-    made = embedding.embed_batches(texts.select("id", "text").join(batches.select("id", "batch_id"), "id"), make_embedder)
+    requests = texts.select("id", "text").join(batches.select("id", "batch_id"), "id")
+    made = materialise(embedding.embed_batches(requests, make_embedder))
     store.upsert(spark, store_path, texts.join(made, "id"), step)
     return added
 
