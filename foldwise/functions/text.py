@@ -9,7 +9,10 @@ from __future__ import annotations
 # A word is a run of characters outside Unicode white space; the four
 # separators U+001C..U+001F count as white space too.
 WORD = r"(?U)[^\s\x1c-\x1f]+"
-EDGE_SPACE = r"(?U)\A[\s\x1c-\x1f]+|[\s\x1c-\x1f]+\z"
+SPACES = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
+    "\u2028\u2029\u202f\u205f\u3000"
+)
 BLANK_LINE = r"(?U)^[\s\x1c-\x1f]*$"
 
 # Words whose presence excludes a message or a content part.
@@ -38,7 +41,9 @@ def word_count(text: str) -> str:
 
 
 def strip(text: str) -> str:
-    return f"regexp_replace({text}, {raw(EDGE_SPACE)}, '')"
+    """White space off both ends; looks at the ends only, however long the text."""
+    escaped = "".join(f"\\u{ord(c):04x}" for c in SPACES)
+    return f"btrim({text}, '{escaped}')"
 
 
 def has_excluded_keyword(text: str) -> str:

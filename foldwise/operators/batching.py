@@ -85,7 +85,9 @@ def word_batches(
     """
     if budget <= 0:
         raise ValueError("the word budget must be positive")
-    sized = texts.select(*order, *keep, F.greatest(F.lit(1), F.expr(word_count(text))).cast("bigint").alias("words"))
+    counted = F.greatest(F.lit(1), F.expr(word_count(text))).cast("bigint")
+    # Range partitioning samples its input first; the checkpoint keeps that from counting words twice.
+    sized = materialise(texts.select(*order, *keep, counted.alias("words")))
     placed = materialise(
         sized.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id())
     )

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from foldwise.functions.vectors import cosine_to_euclid
 from foldwise.operators.hierarchy import flat_clusters
+from foldwise.operators.neighbours import copies_of, fold_copies
 from foldwise.operators.ordering import with_row_index
 from foldwise.operators.spanning import mutual_reachability_tree
 from foldwise.session import SINGLE_TASK_ROWS, materialise
@@ -56,11 +57,18 @@ def kmeans_model(points: DataFrame, k: int):
 
 
 def kmeans_clusters(points: DataFrame, k: int | None = None) -> DataFrame:
-    """(pos, cluster_id) by k-means with k = max(2, floor(sqrt(n)))."""
-    model, unit = kmeans_model(points, k or kmeans_k(points.count()))
-    found = model.transform(unit).select("pos", F.col("prediction").cast("bigint").alias("label"))
-    numbered = relabel(materialise(found))
-    return found.join(F.broadcast(numbered) if (k or 0) <= 10_000 else numbered, "label").select("pos", "cluster_id")
+    """(pos, cluster_id) by k-means with k = max(2, floor(sqrt(n))).
+
+    With no more distinct vectors than k every distinct vector is a cluster.
+    """
+    k = k or kmeans_k(points.count())
+    folded = materialise(fold_copies(points))
+    if folded.count() <= k:
+        own = folded.select("pos", F.col("pos").alias("label"))
+        return by_first_member(own.unionByName(copies_of(points, folded).select("pos", F.col("rep").alias("label"))))
+    model, unit = kmeans_model(points, k)
+    found = materialise(model.transform(unit).select("pos", F.col("prediction").cast("bigint").alias("label")))
+    return found.join(relabel(found), "label").select("pos", "cluster_id")
 
 
 def cluster_points(

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from foldwise.functions import text as T
 from foldwise.operators import batching, clustering, cohesion, embedding, labels, messages, normalize
 from foldwise.operators.ordering import with_row_index
-from foldwise.session import materialise
+from foldwise.session import configure, materialise
 from foldwise.sources import export, store
 
 #: A plan of at most this many lines may be written as one file.
@@ -142,6 +142,7 @@ def build_move_plan(
 ) -> MovePlan:
     """Read, deduplicate, set aside filed chats, embed, cluster, score and label."""
     p = parameters or PlanParameters()
+    configure(spark)
     every = materialise(chats_of_export(spark, export_path, layout))
     filed, unfiled = normalize.split_filed(every)
     picked = normalize.head_limit(unfiled, p.limit)

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import shutil
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -12,12 +14,28 @@ from pyspark.sql import DataFrame, SparkSession
 SINGLE_TASK_ROWS = 1_000_000
 
 
+_shipped: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Give Python workers this package, wherever the driver imported it from; once per application."""
+    sc = spark.sparkContext
+    if sc.applicationId in _shipped:
+        return
+    package = Path(__file__).resolve().parent
+    if package.is_dir():
+        archive = Path(tempfile.mkdtemp(prefix="foldwise-code-")) / package.name
+        sc.addPyFile(shutil.make_archive(str(archive), "zip", package.parent, package.name))
+    _shipped.add(sc.applicationId)
+
+
 def configure(spark: SparkSession) -> SparkSession:
     """Set the runtime options the engine's results depend on."""
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     spark.conf.set("spark.sql.adaptive.enabled", "true")
     spark.conf.set("spark.sql.execution.arrow.pyspark.enabled", "true")
     spark.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
+    ship_package(spark)
     return spark
 
 

@@ -21,9 +21,8 @@ DOCUMENT, LINES, AUTO = "document", "lines", "auto"
 def _text(spark: SparkSession, path: str | list[str], whole: bool) -> DataFrame:
     try:
         return (
-            spark.read.option("wholetext", whole)
-            .option("recursiveFileLookup", "true")
-            .text(path)
+            spark.read.option("recursiveFileLookup", "true")
+            .text(path, wholetext=whole)
             .select(
                 "value",
                 F.col("_metadata.file_path").alias("file"),

@@ -68,9 +68,8 @@ def upsert(spark: SparkSession, path: str, rows: DataFrame, step: int | None = N
     """Write rows (id, vector, payload); later steps win.  All vectors must have one dimension."""
     at = next_step(spark, path) if step is None else step
     shaped = rows.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in SCHEMA])
-    sizes = {r.n for r in shaped.select(F.size("vector").alias("n")).distinct().take(2)}
-    held = _log(spark, path).where(F.col("vector").isNotNull()).select(F.size("vector").alias("n")).take(1)
-    sizes |= {r.n for r in held}
+    new, held = (d.where(F.col("vector").isNotNull()).select(F.size("vector").alias("n")) for d in (shaped, _log(spark, path)))
+    sizes = {r.n for r in new.distinct().take(2) + held.take(1)}
     if len(sizes) > 1:
         raise ValueError(f"vectors of different dimensions: {sorted(sizes)}")
     shaped.write.mode("overwrite").parquet(f"{path.rstrip('/')}/step={at}")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from foldwise.functions import text as T
 from foldwise.operators import batching, embedding, normalize
 from foldwise.plans.move_plan import PlanParameters
-from foldwise.session import materialise
+from foldwise.session import configure, materialise
 from foldwise.sources import export, store
 
 
@@ -45,6 +45,7 @@ def fill_from_stream(
     stored and its folder, named after the batch, is written anew, so nothing is lost or doubled.
     """
     p = parameters or PlanParameters()
+    configure(spark)
     lines = (
         spark.readStream.format("text")
         .option("maxFilesPerTrigger", files_per_step)
