@@ -11,6 +11,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from foldwise.session import spread
+
 # Texts per request, attempts, and seconds before the second attempt (doubling after).
 REQUEST_TEXTS = 96
 ATTEMPTS = 3
@@ -64,11 +66,12 @@ def embed_batches(
     text: str = "text",
     attempts: int = ATTEMPTS,
     delay: float = FIRST_DELAY,
+    tasks: int = 1 << 30,
 ) -> DataFrame:
     """(id, vector) for rows (id, text, batch_id).
 
     Batches are spread over the cluster whole, the model client is made once per task, and one request
-    sequence covers one batch, so the number of tasks bounds the number of requests in flight.
+    sequence covers one batch, so ``tasks`` (at most four per core) bounds the requests in flight.
     """
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -92,5 +95,5 @@ def embed_batches(
             yield send(held)
 
     id_type = batches.schema[id_].dataType.simpleString()
-    spread = batches.select(id_, text, "batch_id").repartition("batch_id").sortWithinPartitions("batch_id")
-    return spread.mapInPandas(run, f"{id_} {id_type}, vector array<float>")
+    placed = spread(batches.select(id_, text, "batch_id"), tasks, "batch_id").sortWithinPartitions("batch_id")
+    return placed.mapInPandas(run, f"{id_} {id_type}, vector array<float>")

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from foldwise.functions import jsonval as J
 from foldwise.functions import text as T
 from foldwise.operators.embedding import ATTEMPTS, FIRST_DELAY
+from foldwise.session import materialise, spread
 
 # Titles shown per cluster, confidence of a fallback label and of a reply that names none.
 TITLES_PER_CLUSTER = 12
@@ -62,7 +63,7 @@ def ask(requests: DataFrame, make_labeller: Callable[[], Labeller], attempts: in
         for pdf in parts:
             yield pd.DataFrame({"request_id": pdf["request_id"], "reply": [reply(t) for t in pdf["request"]]})
 
-    return requests.repartition("request_id").mapInPandas(run, "request_id bigint, reply string")
+    return spread(requests, 1 << 30, "request_id").mapInPandas(run, "request_id bigint, reply string")
 
 
 def reply_items(replies: DataFrame) -> DataFrame:
@@ -137,8 +138,6 @@ def label_clusters(
     delay: float = FIRST_DELAY,
 ) -> DataFrame:
     """Labels by the model, or the fallback for every cluster when there is none or any part of it fails."""
-    from foldwise.session import materialise
-
     if make_labeller is None:
         return fallback_labels(members, order)
     try:

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from foldwise.functions.vectors import grid_distance, grid_vector
-from foldwise.session import materialise
+from foldwise.session import materialise, spread
 
 #: Upper bounds: pivots, bytes of a small vector table held by the driver and every task, bytes of one
 #: block of vectors, and rows of a block (two blocks meet in one distance matrix).
@@ -48,6 +48,10 @@ class Blocks:
     def count(self) -> int:
         return len(self.cell_of)
 
+    @property
+    def pairs(self) -> int:
+        return self.count * (self.count - 1) // 2
+
 
 def matrix(column: pa.ChunkedArray) -> np.ndarray:
     """List column of equal lengths as a float64 matrix."""
@@ -215,7 +219,7 @@ def nearest_neighbours(blocks: Blocks, k: int) -> DataFrame:
         nothing = {"nbr": pa.nulls(1, pa.int64()), "dist": pa.nulls(1, pa.float64()), "nbr_copies": pa.nulls(1, pa.int64())}
         return pa.table({"pos": pos, **nothing, "reach": [np.inf]})
 
-    inside = blocks.points.groupBy("block").applyInArrow(own, FOUND)
+    inside = spread(blocks.points, blocks.count, "block").groupBy("block").applyInArrow(own, FOUND)
     ranked = inside
     if blocks.count > 1:
         inside = materialise(inside)
@@ -246,12 +250,8 @@ def nearest_neighbours(blocks: Blocks, k: int) -> DataFrame:
                 )
             return pa.concat_tables(results)
 
-        crossing = (
-            points.join(pairs, "block")
-            .select("i", "j", "side", "pos", "copies", "grid", "reach")
-            .groupBy("i", "j")
-            .applyInArrow(across, FOUND)
-        )
+        meeting = points.join(pairs, "block").select("i", "j", "side", "pos", "copies", "grid", "reach")
+        crossing = spread(meeting, blocks.pairs, "i", "j").groupBy("i", "j").applyInArrow(across, FOUND)
         ranked = inside.unionByName(crossing)
     rank = F.row_number().over(Window.partitionBy("pos").orderBy("dist", "nbr"))
     return (

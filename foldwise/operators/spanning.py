@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from foldwise.functions.vectors import grid_distance
 from foldwise.operators import neighbours as N
-from foldwise.session import SINGLE_TASK_ROWS, materialise
+from foldwise.session import SINGLE_TASK_ROWS, materialise, spread
 
 EDGES = "lo bigint, hi bigint, weight double"
 
@@ -248,16 +248,12 @@ def mutual_reachability_tree(points: DataFrame, min_samples: int, block_rows: in
     k = max(1, min(int(min_samples), blocks.total - 1))
     core = N.core_distances(blocks, N.nearest_neighbours(blocks, k), k)
     placed = materialise(blocks.points.join(core, "pos").select("block", "pos", "copies", "grid", "away", "core"))
-    trees = placed.groupBy("block").applyInArrow(_block_tree, EDGES)
+    trees = spread(placed, blocks.count, "block").groupBy("block").applyInArrow(_block_tree, EDGES)
     if blocks.count > 1:
         trees = materialise(trees)
         pairs = _needed_pairs(blocks, placed, trees)
-        crossing = (
-            placed.join(pairs, "block")
-            .select("i", "j", "side", "pos", "grid", "core")
-            .groupBy("i", "j")
-            .applyInArrow(_crossing_edges, EDGES)
-        )
+        meeting = placed.join(pairs, "block").select("i", "j", "side", "pos", "grid", "core")
+        crossing = spread(meeting, blocks.pairs, "i", "j").groupBy("i", "j").applyInArrow(_crossing_edges, EDGES)
         trees = minimum_spanning_forest(trees.unionByName(crossing), limit)
     if blocks.total > folded.count():
         # A copy lies at distance 0 from its representative, so their edge weighs the core distance.

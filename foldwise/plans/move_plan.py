@@ -195,12 +195,13 @@ def skipped_lists(plan: MovePlan) -> DataFrame:
 
 def summary(plan: MovePlan, shown: int = 50) -> DataFrame:
     """(line, text): the counts, the first moves, and how many more there are."""
-    counts = (
-        plan.clusters.agg(F.count("*").alias("c"))
-        .join(plan.moves.agg(F.count("*").alias("m")))
-        .join(plan.singletons.agg(F.count("*").alias("s")))
-        .join(plan.filed.agg(F.count("*").alias("f")))
+    tagged = (
+        plan.clusters.select(F.lit("c").alias("kind"))
+        .unionByName(plan.moves.select(F.lit("m").alias("kind")))
+        .unionByName(plan.singletons.select(F.lit("s").alias("kind")))
+        .unionByName(plan.filed.select(F.lit("f").alias("kind")))
     )
+    counts = tagged.agg(*[F.count_if(F.col("kind") == kind).alias(kind) for kind in "cmsf"])
     head = counts.select(
         F.lit(0).cast("bigint").alias("line"),
         F.format_string(

@@ -48,16 +48,16 @@ DOCS = f"""{CHATS}, docs AS (
 )"""
 
 FILES = f"""{DOCS}, ranked AS (
-  SELECT conv_id // 64 AS file_no, id, title, row_number() OVER (PARTITION BY conv_id // 64 ORDER BY conv_id, part) AS ord FROM normal
+  SELECT conv_id // 64 AS file_no, id, title, row_number() OVER (PARTITION BY conv_id // 64, part // 64 ORDER BY conv_id, part) AS ord FROM normal
 )"""
 
 ORACLES["scan_export_json"] = f"WITH {FILES} SELECT file_no, id, title, ord FROM ranked"
 ORACLES["flatten_wrapped"] = ORACLES["scan_export_json"]
 ORACLES["scan_export_ndjson"] = f"WITH {DOCS} SELECT id, title, create_time FROM normal"
 ORACLES["flatten_container"] = f"""WITH {DOCS}, every AS (
-  SELECT conv_id // 64 AS file_no, conv_id % 3 AS place, conv_id, part, id, title FROM normal
-  UNION ALL SELECT DISTINCT conv_id // 64, 3, 0, 0, 'file-' || (conv_id // 64), 'File ' || (conv_id // 64) FROM normal
-) SELECT file_no, id, title, row_number() OVER (PARTITION BY file_no ORDER BY place, conv_id, part) AS ord FROM every"""
+  SELECT conv_id // 64 AS file_no, part // 64 AS slice, conv_id % 3 AS place, conv_id, part, id, title FROM normal
+  UNION ALL SELECT DISTINCT conv_id // 64, part // 64, 3, 0, 0, 'file-' || (conv_id // 64) || '-' || (part // 64), 'File ' || (conv_id // 64) FROM normal
+) SELECT file_no, id, title, row_number() OVER (PARTITION BY file_no, slice ORDER BY place, conv_id, part) AS ord FROM every"""
 ORACLES["scan_strict"] = f"WITH {FILES} SELECT file_no, ord - 1 AS item, true AS has_mapping FROM ranked"
 ORACLES["ndjson_error_lines"] = """
 SELECT CASE WHEN event_id % 50 = 9 THEN 'not a JSON object' ELSE 'invalid JSON' END AS problem, count(*) AS n

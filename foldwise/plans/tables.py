@@ -2,7 +2,7 @@
 
 ``conversations`` gives the messages, ``events`` the times, ``embeddings`` the vectors and planted
 clusters.  An export document holds at most 64 turns of one conversation, and an export file at most 64
-conversations, so no key decides the size of a document.
+parts of 64 conversations, so no key decides the size of a document.
 """
 
 from __future__ import annotations
@@ -130,9 +130,13 @@ def write_documents(spark: SparkSession, sf_dir: str, layout: str = "list") -> s
     ``list``: a list per file; ``wrapped``: every third item inside another object; ``container``: an
     object with three lists, itself a conversation.
     """
-    rows = conversations(spark, sf_dir).withColumn("export", F.floor(F.col("conv_id") / CONVERSATIONS_PER_FILE))
+    rows = conversations(spark, sf_dir).select(
+        F.floor(F.col("conv_id") / CONVERSATIONS_PER_FILE).alias("export"),
+        F.floor(F.col("part") / CONVERSATIONS_PER_FILE).alias("slice"),
+        "conv_id", "part", "raw",
+    )
     item = F.expr("""if(conv_id % 3 = 1, concat('{"n":1,"wrapper":', raw, '}'), raw)""") if layout == "wrapped" else F.col("raw")
-    files = rows.groupBy("export").agg(F.array_sort(F.collect_list(F.struct("conv_id", "part", item.alias("raw")))).alias("items"))
+    files = rows.groupBy("export", "slice").agg(F.array_sort(F.collect_list(F.struct("conv_id", "part", item.alias("raw")))).alias("items"))
 
     def joined(condition: str) -> str:
         return f"concat('[', array_join(transform(filter(items, x -> {condition}), x -> x.raw), ','), ']')"
@@ -141,11 +145,11 @@ def write_documents(spark: SparkSession, sf_dir: str, layout: str = "list") -> s
         lists = ",".join(
             f"""'"{key}":', {joined(f'x.conv_id % 3 = {n}')}, ','""" for n, key in enumerate(("conversations", "items", "data"))
         )
-        value = f"""concat('{{', {lists}, '"id":"file-', export, '","title":"File ', export, '"}}')"""
+        value = f"""concat('{{', {lists}, '"id":"file-', export, '-', slice, '","title":"File ', export, '"}}')"""
     else:
         value = joined("true")
     path = scratch_path(spark, f"export-{layout}")
-    files.select("export", F.expr(value).alias("value")).write.partitionBy("export").text(path)
+    files.select("export", "slice", F.expr(value).alias("value")).write.partitionBy("export", "slice").text(path)
     return path
 
 

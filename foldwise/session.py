@@ -60,6 +60,15 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def spread(df: DataFrame, groups: int, *keys: str) -> DataFrame:
+    """Hash-partition by the keys of costly groups into a fixed number of tasks.
+
+    Adaptive execution would merge partitions by their bytes and so run heavy work on few cores.
+    """
+    tasks = max(1, min(groups, 4 * df.sparkSession.sparkContext.defaultParallelism))
+    return df.repartition(tasks, *keys)
+
+
 def materialise(df: DataFrame) -> DataFrame:
     """Cut the lineage with a reliable checkpoint, so a lost executor cannot change row order or ids."""
     shared_dir(df.sparkSession)
