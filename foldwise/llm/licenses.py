@@ -72,7 +72,7 @@ def key_tokens(rows: list[tuple[str, str, float]], similarity: float) -> list[st
 def own_licences(files: DataFrame, templates=TEMPLATES, similarity: float = SIMILARITY) -> DataFrame:
     """path, licence, similarity, line of the files with a line like a template: the likest, then the first by name and line.
 
-    ``files`` has path and text; null paths and texts have no licence, repeated paths one result.
+    ``files`` has path and text; null paths and texts have no licence; a path stands for one text.
     """
     spark = files.sparkSession
     rare, rows, unknown = weights(templates)
@@ -80,17 +80,17 @@ def own_licences(files: DataFrame, templates=TEMPLATES, similarity: float = SIMI
     keys = f"(?<![a-z0-9])({'|'.join(key_tokens(rows, similarity))})(?![a-z0-9])"
     lowered = F.translate("text", _UPPER, _LOWER)
     lines = (
-        files.where("path is not null and text is not null").select("path", lowered.alias("text")).where(F.col("text").rlike(keys))
+        files.where("path is not null and text is not null").select("path", lowered.alias("text")).where(F.col("text").rlike(keys)).distinct()
         .select("path", F.posexplode(F.split("text", r"\n")).alias("line", "words")).where(F.col("words").rlike(keys))
     )
-    tokens = lines.select("path", "line", F.monotonically_increasing_id().alias("row"), F.explode(F.regexp_extract_all("words", F.lit(f"({TOKEN})"), F.lit(1))).alias("token"))
-    counts = tokens.groupBy("row", "path", "line", "token").agg(F.count("*").alias("n"))
+    tokens = lines.select("path", "line", F.explode(F.regexp_extract_all("words", F.lit(f"({TOKEN})"), F.lit(1))).alias("token"))
+    counts = tokens.groupBy("path", "line", "token").agg(F.count("*").alias("n"))
     # the templates are a fixed, short list
     rarity = F.broadcast(weighed.select("token", "rare").distinct())
     counts = counts.join(rarity, "token", "left").withColumn("amount", F.col("n") * F.coalesce("rare", F.lit(unknown)))
-    length = counts.groupBy("row").agg(F.sqrt(F.sum(F.col("amount") * F.col("amount"))).alias("length"))
-    dots = counts.join(F.broadcast(weighed.select("licence", "token", "weight")), "token").groupBy("row", "path", "line", "licence").agg(F.sum(F.col("amount") * F.col("weight")).alias("dot"), F.count("*").alias("common"))
-    near = dots.where("common > 1").join(length, "row").withColumn("similarity", F.round(F.col("dot") / F.col("length"), 6)).where(F.col("similarity") >= similarity)
+    length = counts.groupBy("path", "line").agg(F.sqrt(F.sum(F.col("amount") * F.col("amount"))).alias("length"))
+    dots = counts.join(F.broadcast(weighed.select("licence", "token", "weight")), "token").groupBy("path", "line", "licence").agg(F.sum(F.col("amount") * F.col("weight")).alias("dot"), F.count("*").alias("common"))
+    near = dots.where("common > 1").join(length, ["path", "line"]).withColumn("similarity", F.round(F.col("dot") / F.col("length"), 6)).where(F.col("similarity") >= similarity)
     best = near.groupBy("path").agg(F.min(F.struct((-F.col("similarity")).alias("minus"), "licence", "line")).alias("best"))
     return best.select("path", F.col("best.licence").alias("licence"), (-F.col("best.minus")).alias("similarity"), F.col("best.line").cast("bigint").alias("line"))
 
