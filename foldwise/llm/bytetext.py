@@ -13,7 +13,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 SHINGLE = 5
-PIECE_BYTES = 1 << 20
+#: Bytes hashed at a time, few enough for a core's cache, and bytes of texts handled together.
+PIECE_BYTES = 1 << 17
+SLICE_BYTES = 4 << 20
 _BASE = 0x9E3779B97F4A7C15 | 1
 _BASE_INVERSE = pow(_BASE, -1, 1 << 64)
 _SPACE = np.zeros(256, bool)
@@ -118,7 +120,7 @@ def distinct(values: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.nda
     return (np.concatenate(parts) if parts else values[:0]), np.concatenate([[0], np.cumsum(sizes)])
 
 
-def row_slices(column: pa.Array, limit: int = 4 * PIECE_BYTES) -> Iterator[tuple[int, int]]:
+def row_slices(column: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
     """Row ranges whose texts hold about ``limit`` bytes together; a longer text comes alone."""
     sizes = pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)
     group = (np.cumsum(sizes) - sizes) // limit

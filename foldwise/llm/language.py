@@ -118,7 +118,7 @@ class Network:
         rows, text, size = windows(data, offsets)
         logs = self.log_probabilities(rows) * size[:, None]
         n = len(offsets) - 1
-        mean = np.stack([np.bincount(text, logs[:, k], minlength=n) for k in range(len(self.languages))], axis=1)
+        mean = np.stack([np.bincount(text, logs[:, k], minlength=n) for k in range(len(self.languages))], axis=1).astype(float)
         mean /= np.maximum(np.diff(offsets), 1)[:, None]
         share = np.exp(mean - mean.max(axis=1, keepdims=True))
         share /= share.sum(axis=1, keepdims=True)
@@ -159,7 +159,7 @@ def _predictor(network: Network) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = np.array(network.languages, dtype=object)
         for batch in batches:
-            for a, b in B.row_slices(batch["text"], B.PIECE_BYTES):
+            for a, b in B.row_slices(batch["text"], B.SLICE_BYTES // 4):
                 best, share = network.predict(batch["text"].slice(a, b - a))
                 yield pa.RecordBatch.from_arrays(
                     [batch["doc_id"].slice(a, b - a), batch["lettered"].slice(a, b - a), pa.array(names[best].tolist(), pa.string()), pa.array(share.astype(np.float64))],
@@ -191,7 +191,7 @@ def identify(docs: DataFrame, train_rows: int = TRAIN_ROWS, network: Network | N
 def _known(network: Network, least: float) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a, b in B.row_slices(batch["text"], B.PIECE_BYTES):
+            for a, b in B.row_slices(batch["text"], B.SLICE_BYTES // 4):
                 part = batch.slice(a, b - a)
                 yield part.filter(pa.array(network.predict(part["text"])[1] >= least))
 

@@ -402,7 +402,7 @@ def _encoder(name: str) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = _load(name)
         for batch in batches:
-            for a, b in B.row_slices(batch["text"], 2 * B.PIECE_BYTES):
+            for a, b in B.row_slices(batch["text"], B.SLICE_BYTES // 2):
                 ids, bounds = encode_batch(vocabulary, *B.flat(batch["text"].slice(a, b - a)))
                 kept = [batch[c].slice(a, b - a) for c in batch.schema.names if c != "text"]
                 yield pa.RecordBatch.from_arrays([*kept, _lists(ids, bounds)], names=[*(c for c in batch.schema.names if c != "text"), "ids"])
@@ -482,8 +482,8 @@ def encode(docs: DataFrame, model: str = MODEL, chunk: int = CHUNK, giant: int =
     """doc_id, ids for every row of ``docs`` (doc_id and text; others are ignored), with ``extra`` bigint columns.
 
     Null and empty texts have no ids.  Rows that repeat a giant text share its encoding.  White space is kept as it
-    is; characters outside the vocabulary become their bytes.  A text with U+2581 decodes to a space there, as in
-    the format itself.  An empty table gives an empty table.
+    is; characters outside the vocabulary become their bytes, and so does U+2581, which is the mark of a space only
+    within pieces.  An empty table gives an empty table.
     """
     spark = docs.sparkSession
     name = ship_model(spark, model)
@@ -527,7 +527,7 @@ def decode(encoded: DataFrame, model: str = MODEL) -> DataFrame:
 def round_trip(docs: DataFrame, model: str = MODEL) -> DataFrame:
     """doc_id, ids, same for every row: whether the decoded ids are the text, by a hash taken before encoding.
 
-    Null texts count as empty; a text that holds U+2581 doesn't come back, as it decodes to a space.
+    Null texts count as empty.
     """
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     encoded = encode(texts, model, extra={"mark": F.xxhash64("text")})
