@@ -15,8 +15,6 @@ from foldwise.operators.ordering import with_row_index
 from foldwise.session import configure, materialise
 from foldwise.sources import export, store
 
-#: A plan of at most this many lines may be written as one file.
-SINGLE_FILE_LINES = 1_000_000
 
 
 @dataclass
@@ -312,12 +310,9 @@ def plan_lines(plan: MovePlan, generated_at: str | None = None) -> DataFrame:
 def write_plan(plan: MovePlan, path: str, generated_at: str | None = None) -> None:
     """Write the document as text; the part files in name order are one JSON text.
 
-    A small plan becomes a single part; a large one keeps its range partitions.
+    The layout is the same at every size: one part for each range of lines.
     """
     lines = materialise(plan_lines(plan, generated_at))
     order = ("section", "place", "item")
-    if lines.count() <= SINGLE_FILE_LINES:
-        arranged = lines.coalesce(1).sortWithinPartitions(*order)
-    else:
-        arranged = lines.repartitionByRange(*order).sortWithinPartitions(*order)
+    arranged = lines.repartitionByRange(*order).sortWithinPartitions(*order)
     arranged.select("text").write.mode("overwrite").text(path)

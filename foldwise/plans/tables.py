@@ -101,10 +101,11 @@ def conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
         packed = f"to_json(named_struct('{name}', {value}))"
         return f"substring({packed}, 2, length({packed}) - 2)"
 
+    inner = member("conversation", "named_struct('id', name, 'title', title)")
     named = (
         f"case conv_id % 4 when 0 then concat_ws(',', {member('id', 'name')}, {member('title', 'title')})"
         f" when 1 then concat_ws(',', {member('conversation_id', 'name')}, {member('title', 'title')})"
-        f" when 2 then {member('conversation', chr(110) + 'amed_struct(' + chr(39) + 'id' + chr(39) + ', name, ' + chr(39) + 'title' + chr(39) + ', title)')}"
+        f" when 2 then {inner}"
         f""" else concat_ws(',', '"id":null', {member('uuid', 'name')}, {member('title', 'title')}) end"""
     )
     created = (

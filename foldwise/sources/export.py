@@ -52,6 +52,31 @@ def is_one_json_value(text: Column) -> Column:
     )
 
 
+def _exact(texts: Column, values: Column) -> Column:
+    """JSON texts of an array's values; strings keep their quotes, so they are never taken for what they spell."""
+    return F.zip_with(
+        texts, values,
+        lambda text, value: F.when(F.coalesce(F.schema_of_variant(value) == "STRING", F.lit(False)), F.to_json(value)).otherwise(text),
+    )
+
+
+def list_items(json: str | Column) -> Column:
+    """JSON texts of the items of a list; null for any other value."""
+    return _exact(F.from_json(json, "array<string>"), F.from_json(json, "array<variant>"))
+
+
+def member_values(json: str | Column) -> Column:
+    """JSON texts of the members' values of an object, in their order; null for any other value."""
+    return _exact(F.map_values(F.from_json(json, "map<string,string>")), F.map_values(F.from_json(json, "map<string,variant>")))
+
+
+def member_list(json: str | Column, key: str) -> Column:
+    """JSON texts of the items of the list under a key of an object; null when there is no list."""
+    value = F.from_json(json, "map<string,variant>")[key]
+    is_list = F.coalesce(F.schema_of_variant(value).startswith("ARRAY<"), F.lit(False))
+    return F.when(is_list, list_items(F.from_json(json, "map<string,string>")[key]))
+
+
 def file_layouts(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """(file, layout) by a look at each file's lines.
 
@@ -110,7 +135,7 @@ def flatten_items(items: DataFrame, search_wrappers: Column | None = None) -> Da
     """
     wrappers = F.lit(True) if search_wrappers is None else search_wrappers
     shaped = items.withColumn("_is", F.expr(looks_like_conversation("json")))
-    wrapped = F.when(wrappers, F.map_values(F.from_json("json", "map<string,string>")))
+    wrapped = F.when(wrappers, member_values("json"))
     candidates = F.when(F.col("_is"), F.array("json")).otherwise(wrapped)
     inner = shaped.select("pos", "_is", F.posexplode(candidates).alias("part", "raw"))
     kept = F.col("_is") | F.expr(looks_like_conversation("raw"))
@@ -125,7 +150,7 @@ def flatten_documents(documents: DataFrame) -> DataFrame:
     """
     readable = documents.withColumn(
         "_list",
-        F.when(is_one_json_value(F.col("value")), F.from_json("value", "array<string>")).otherwise(
+        F.when(is_one_json_value(F.col("value")), list_items("value")).otherwise(
             _unreadable("document", F.col("value"))
         ),
     ).withColumn("_object", F.from_json("value", "map<string,string>"))
@@ -138,7 +163,7 @@ def flatten_documents(documents: DataFrame) -> DataFrame:
 
     held = [placed(F.col("_list"), 0)]
     held += [
-        placed(F.from_json(F.col("_object")[key], "array<string>"), n + 1) for n, key in enumerate(CONTAINER_KEYS)
+        placed(member_list("value", key), n + 1) for n, key in enumerate(CONTAINER_KEYS)
     ]
     root = F.when(F.col("_object").isNotNull(), F.array("value"))
     held.append(placed(root, len(CONTAINER_KEYS) + 1))

@@ -11,15 +11,14 @@ from foldwise.sources import export as X
 
 def document_items(documents: DataFrame) -> DataFrame:
     """(file, item, json) of list documents, or of the ``conversations`` list of object documents."""
-    members = F.from_json("value", "map<string,string>")
-    items = F.coalesce(
-        F.from_json("value", "array<string>"), F.from_json(members["conversations"], "array<string>")
+    whole = X.is_one_json_value(F.col("value"))
+    items = F.when(whole, F.coalesce(X.list_items("value"), X.member_list("value", "conversations")))
+    what = (
+        F.when(~whole, "text is not exactly one JSON value")
+        .when(F.from_json("value", "map<string,string>").isNotNull(), 'no list stands under the key "conversations"')
+        .otherwise("neither a list nor an object holding one")
     )
-    wrong = F.raise_error(
-        F.when(members.isNotNull(), F.lit('JSON object does not contain a "conversations" list')).otherwise(
-            F.lit("unsupported JSON structure: expected a list, or an object with conversations")
-        )
-    ).cast("array<string>")
+    wrong = F.raise_error(F.concat("file", F.lit(": "), what)).cast("array<string>")
     return documents.select("file", F.posexplode(F.coalesce(items, wrong)).alias("item", "json"))
 
 

@@ -39,27 +39,30 @@ def fill_from_stream(
     make_embedder: Callable[[], embedding.Embedder] = embedding.HashingEmbedder, parameters: PlanParameters | None = None,
     files_per_step: int = 1000,
 ) -> None:
-    """Process the newline-delimited export files not seen before, then stop.
+    """Process the export files not seen before, documents and newline-delimited ones alike, then stop.
 
-    Each micro-batch is stored before the next is requested.  A replayed batch looks up what it already
-    stored and its folder, named after the batch, is written anew, so nothing is lost or doubled.
+    The stream tells which files are new; their contents go through the batch reader, so a broken line or document
+    fails the run instead of being lost.  Each micro-batch is stored before the next is requested.  A replayed
+    batch looks up what it already stored, so no text is embedded twice.
     """
     p = parameters or PlanParameters()
     configure(spark)
-    lines = (
-        spark.readStream.format("text")
+    arrived = (
+        spark.readStream.format("binaryFile")
+        .schema("path string, modificationTime timestamp, length bigint, content binary")
         .option("maxFilesPerTrigger", files_per_step)
         .option("recursiveFileLookup", "true")
         .load(export_dir)
-        .select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"))
+        .select(F.col("_metadata.file_path").alias("file"))
     )
     first = store.next_step(spark, store_path)
 
     def add(batch: DataFrame, batch_id: int) -> None:
-        numbered = export.place_lines(batch.withColumn("line", F.monotonically_increasing_id()))
-        fill_step(batch.sparkSession, export.flatten_items(numbered), store_path, make_embedder, p, first + batch_id)
+        files = sorted(r.file for r in batch.distinct().collect())  # files_per_step at most
+        if files:
+            fill_step(batch.sparkSession, export.read_export(batch.sparkSession, files), store_path, make_embedder, p, first + batch_id)
 
     query = (
-        lines.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint_dir).trigger(availableNow=True).start()
+        arrived.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint_dir).trigger(availableNow=True).start()
     )
     query.awaitTermination()

@@ -12,18 +12,15 @@ from foldwise.operators import batching, cohesion, embedding, labels, ordering
 from foldwise.sources import store
 
 
-def greedy(counts, budget):
-    """Batch number of each text, written from the rule alone."""
-    out, batch, used = [], 0, 0
-    for words in counts:
-        words = max(1, words)
-        if used and used + words > budget:
-            batch, used = batch + 1, 0
-        out.append(batch)
-        used += words
-        if words >= budget:
-            batch, used = batch + 1, 0
-    return out
+def assert_packed(ids, counts, budget):
+    """Batches are runs of texts; no batch could take the text after it, and none holds one text too many."""
+    sizes = np.maximum(counts, 1)
+    assert len(ids) == len(sizes) and (len(ids) == 0 or ids[0] == 0)
+    total = np.bincount(ids, sizes)
+    for k in range(1, len(ids)):
+        step, before = ids[k] - ids[k - 1], ids[k - 1]
+        assert step in (0, 1)
+        assert step == (total[before] >= budget or total[before] + sizes[k] > budget) if step else total[before] <= budget
 
 
 def pack(spark, texts, budget, parts=3):
@@ -31,8 +28,9 @@ def pack(spark, texts, budget, parts=3):
     return [r.batch_id for r in batching.word_batches(rows, budget).orderBy("pos").collect()]
 
 
-def test_word_batches_literal_case(spark):
-    assert pack(spark, ["one two three", "four", "   ", "five six seven eight nine", "ten"], 4) == [0, 0, 1, 2, 3]
+def test_word_batches_at_the_limits(spark):
+    # exactly full; nothing fits behind two of three; a blank text counts one; larger than the budget; after it
+    assert pack(spark, ["r s t", "u v", "w x", "\t", "a b c d", "e"], 3) == [0, 1, 2, 2, 3, 4]
     with pytest.raises(ValueError):
         pack(spark, ["text"], 0)
 
@@ -42,7 +40,7 @@ def test_word_batches_match_the_rule(spark, seed):
     rng = random.Random(seed)
     counts = [rng.choice([0, 1, 2, 3, 9, 12, 30]) for _ in range(300)]
     budget = rng.choice([1, 5, 12])
-    assert pack(spark, [" ".join(["w"] * n) for n in counts], budget, 4) == greedy(counts, budget)
+    assert_packed(pack(spark, [" ".join(["w"] * n) for n in counts], budget, 4), counts, budget)
 
 
 def test_batch_states_compose():
@@ -57,7 +55,7 @@ def test_batch_states_compose():
                 got, *state = batching._assign(part, budget, *state)
                 ids += got.tolist()
                 after, closed = batching._advance(part, budget, np.array([0]))
-        assert ids == greedy(counts.tolist(), budget)
+        assert_packed(ids, counts, budget)
         after, closed = batching._advance(counts, budget, np.arange(budget + 1))
         whole = batching._assign(counts, budget, 0, 0)
         assert (after[0], closed[0]) == (whole[1], whole[2])
