@@ -16,7 +16,7 @@ QUALITY_SCORE = 0.3
 
 
 def _prepared(docs: DataFrame) -> DataFrame:
-    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1024")
+    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "256")
     return docs
 
 

@@ -15,7 +15,7 @@ import pyarrow.compute as pc
 SHINGLE = 5
 #: Bytes hashed at a time, few enough for a core's cache, and bytes of texts handled together.
 PIECE_BYTES = 1 << 17
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 _BASE = 0x9E3779B97F4A7C15 | 1
 _BASE_INVERSE = pow(_BASE, -1, 1 << 64)
 _SPACE = np.zeros(256, bool)

@@ -402,7 +402,7 @@ def _encoder(name: str) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = _load(name)
         for batch in batches:
-            for a, b in B.row_slices(batch["text"], B.SLICE_BYTES // 2):
+            for a, b in B.row_slices(batch["text"], B.SLICE_BYTES):
                 ids, bounds = encode_batch(vocabulary, *B.flat(batch["text"].slice(a, b - a)))
                 kept = [batch[c].slice(a, b - a) for c in batch.schema.names if c != "text"]
                 yield pa.RecordBatch.from_arrays([*kept, _lists(ids, bounds)], names=[*(c for c in batch.schema.names if c != "text"), "ids"])
@@ -420,8 +420,8 @@ def _transfers(name: str) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = _load(name)
         for batch in batches:
-            for a in range(0, batch.num_rows, 32):
-                part = batch.slice(a, 32)
+            for a in range(0, batch.num_rows, 16):
+                part = batch.slice(a, 16)
                 matrices = transfer(vocabulary, *_chunk_codes(part))
                 yield pa.RecordBatch.from_arrays([part["key"], part["chunk"], pa.array([m.tobytes() for m in matrices], pa.binary())], names=["key", "chunk", "matrix"])
 
@@ -439,8 +439,8 @@ def _tracer(name: str) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = _load(name)
         for batch in batches:
-            for a in range(0, batch.num_rows, 32):
-                part = batch.slice(a, 32)
+            for a in range(0, batch.num_rows, 16):
+                part = batch.slice(a, 16)
                 codes, sizes = _chunk_codes(part)
                 entry, leave = part["entry"].to_numpy(), part["leave"].to_numpy()
                 score, ids = vocabulary.matches(codes)
@@ -499,12 +499,19 @@ def encode(docs: DataFrame, model: str = MODEL, chunk: int = CHUNK, giant: int =
     return small.unionByName(marked.select(*kept, "key").join(solved, "key").select(*kept, "ids"))
 
 
+def _id_slices(lists: pa.Array, limit: int = 1 << 17) -> Iterator[tuple[int, int]]:
+    """Row ranges that hold about ``limit`` ids together; a longer list comes alone."""
+    sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    cuts = np.concatenate([[0], np.flatnonzero(np.diff((np.cumsum(sizes) - sizes) // limit)) + 1, [len(sizes)]])
+    yield from ((int(a), int(b)) for a, b in zip(cuts[:-1], cuts[1:]) if b > a)
+
+
 def _decoder(name: str) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = _load(name)
         for batch in batches:
-            for a in range(0, batch.num_rows, 256):
-                part = batch.slice(a, 256)
+            for a, b in _id_slices(batch["ids"]):
+                part = batch.slice(a, b - a)
                 lists = part["ids"].fill_null([]) if part["ids"].null_count else part["ids"]
                 flat = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
                 bounds = np.concatenate([[0], np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False))]).astype(np.int64)

@@ -22,7 +22,7 @@ def query(fn: Query) -> Query:
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table of the corpus; Arrow batches are kept small because texts may be long."""
     configure(spark)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1024")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "256")
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
