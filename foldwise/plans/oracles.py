@@ -255,11 +255,9 @@ ORACLES["validate_labels"] = """WITH i AS (
 QUALIFY row_number() OVER (PARTITION BY cluster_id ORDER BY event_id DESC) = 1"""
 ORACLES["cluster_scores"] = f"WITH {SCORES} SELECT * FROM scores"
 ORACLES["move_plan"] = f"WITH {SCORES} SELECT *, cluster_id AS place, confidence_combined >= 0.6 AS moved FROM scores"
-THRESHOLD = 0.655
+THRESHOLD = "(SELECT (min(confidence_combined) + max(confidence_combined)) / 2 FROM scores)"
 ORACLES["proposed_moves"] = f"""WITH {SCORES} SELECT cluster_id, project_folder_slug, project_title, member_ix, id
-FROM scores JOIN members USING (cluster_id) WHERE confidence_combined >= {THRESHOLD}""".replace(
-    "FROM scores JOIN members", "FROM scores JOIN (SELECT cluster_id, member_ix, id FROM members)"
-)
+FROM scores JOIN (SELECT cluster_id, member_ix, id FROM members) USING (cluster_id) WHERE confidence_combined >= {THRESHOLD}"""
 ORACLES["skipped_lists"] = f"""WITH {SCORES}
 SELECT 'clusters_low_confidence' AS list, cluster_id AS ordinal, CAST(cluster_id AS VARCHAR) AS value FROM scores WHERE confidence_combined < {THRESHOLD}
 UNION ALL SELECT 'singletons', pos, id FROM joined WHERE size = 1

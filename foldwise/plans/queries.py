@@ -402,8 +402,13 @@ def _assigned(spark, sf_dir) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame
     return unfiled, filed, points.select("pos", "vector"), every
 
 
-def _plan(spark, sf_dir, threshold: float = 0.655) -> P.MovePlan:
+def _plan(spark, sf_dir, threshold: float | None = None) -> P.MovePlan:
+    """The plan at a threshold; midway between the least and the largest score unless given, so some clusters fail it."""
     chats, filed, points, assigned = _assigned(spark, sf_dir)
+    if threshold is None:
+        scores = P.assemble(chats, assigned, points, filed, P.PlanParameters(), source=sf_dir).clusters
+        ends = scores.agg(F.min("confidence_combined").alias("low"), F.max("confidence_combined").alias("high")).first()
+        threshold = (ends.low + ends.high) / 2
     return P.assemble(chats, assigned, points, filed, P.PlanParameters(confidence_threshold=threshold), source=sf_dir)
 
 
