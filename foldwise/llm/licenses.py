@@ -79,11 +79,16 @@ def own_licences(files: DataFrame, templates=TEMPLATES, similarity: float = SIMI
     weighed = spark.createDataFrame([(n, t, w, rare[t]) for n, t, w in rows], "licence string, token string, weight double, rare double")
     keys = f"(?<![a-z0-9])({'|'.join(key_tokens(rows, similarity))})(?![a-z0-9])"
     lowered = F.translate("text", _UPPER, _LOWER)
+    known = F.array(*(F.lit(t) for t in sorted(rare)))
+    words = F.regexp_extract_all("words", F.lit(f"({TOKEN})"), F.lit(1))
     lines = (
-        files.where("path is not null and text is not null").select("path", lowered.alias("text")).where(F.col("text").rlike(keys)).distinct()
+        files.where("path is not null and text is not null").select("path", lowered.alias("text")).where(F.col("text").rlike(keys))
         .select("path", F.posexplode(F.split("text", r"\n")).alias("line", "words")).where(F.col("words").rlike(keys))
+        .select("path", "line", words.alias("tokens")).withColumn("m", F.size(F.filter("tokens", lambda t: F.array_contains(known, t))))
     )
-    tokens = lines.select("path", "line", F.explode(F.regexp_extract_all("words", F.lit(f"({TOKEN})"), F.lit(1))).alias("token"))
+    # m of a line's tokens occur in templates and u don't, so its cosine to any is at most m / sqrt(m² + u)
+    bound = (F.size("tokens") - F.col("m")) * similarity**2 <= F.col("m") * F.col("m") * (1 - similarity**2) + 1e-6
+    tokens = lines.where((F.col("m") > 1) & bound).select("path", "line", "tokens").distinct().select("path", "line", F.explode("tokens").alias("token"))
     counts = tokens.groupBy("path", "line", "token").agg(F.count("*").alias("n"))
     # the templates are a fixed, short list
     rarity = F.broadcast(weighed.select("token", "rare").distinct())
