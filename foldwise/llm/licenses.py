@@ -2,7 +2,8 @@
 
 Every line of a whole text is a candidate header.  A line's tokens are weighted by their count and by how rare they
 are among the templates; its cosine to a template must reach ``SIMILARITY``, with two tokens in common at least.  Lines that hold none of a template's
-heaviest tokens can't reach it (the remaining tokens' weight bounds the cosine), so one pattern test spares most texts.
+heaviest tokens can't reach it (the remaining tokens' weight bounds the cosine), so one pattern test spares most texts;
+a bound from the counts of template tokens then spares nearly all other lines before anything is shuffled.
 A file without a licence of its own takes that of the licence file in its nearest ancestor directory.
 """
 
@@ -15,6 +16,8 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from foldwise.session import materialise
+
 SIMILARITY = 0.7
 # Customary one-line statements of licences.
 TEMPLATES = (
@@ -79,20 +82,34 @@ def own_licences(files: DataFrame, templates=TEMPLATES, similarity: float = SIMI
     weighed = spark.createDataFrame([(n, t, w, rare[t]) for n, t, w in rows], "licence string, token string, weight double, rare double")
     keys = f"(?<![a-z0-9])({'|'.join(key_tokens(rows, similarity))})(?![a-z0-9])"
     lowered = F.translate("text", _UPPER, _LOWER)
-    known = F.array(*(F.lit(t) for t in sorted(rare)))
+    listed = sorted(rare)
+    known = F.array(*(F.lit(t) for t in listed))
     words = F.regexp_extract_all("words", F.lit(f"({TOKEN})"), F.lit(1))
     lines = (
         files.where("path is not null and text is not null").select("path", lowered.alias("text")).where(F.col("text").rlike(keys))
         .select("path", F.posexplode(F.split("text", r"\n")).alias("line", "words")).where(F.col("words").rlike(keys))
-        .select("path", "line", words.alias("tokens")).withColumn("m", F.size(F.filter("tokens", lambda t: F.array_contains(known, t))))
+        .select("path", "line", words.alias("tokens")).withColumn("found", F.filter("tokens", lambda t: F.array_contains(known, t)))
+        .where(F.size("found") > 1)
+        # exploding a list of one keeps the counts from being worked out again for each template
+        .select("path", "line", "tokens", "found", F.explode(F.array(F.transform(known, lambda t: F.size(F.filter("found", lambda x: x == t)).cast("double")))).alias("held"))
     )
-    # m of a line's tokens occur in templates and u don't, so its cosine to any is at most m / sqrt(m² + u)
-    bound = (F.size("tokens") - F.col("m")) * similarity**2 <= F.col("m") * F.col("m") * (1 - similarity**2) + 1e-6
-    tokens = lines.where((F.col("m") > 1) & bound).select("path", "line", "tokens").distinct().select("path", "line", F.explode("tokens").alias("token"))
+
+    def total(factors: list[float], squared: bool = False) -> Column:
+        """Sum over the listed tokens of count times factor, or of its square."""
+        terms = F.zip_with("held", F.array(*(F.lit(float(f)) for f in factors)), lambda n, f: n * f * n * f if squared else n * f)
+        return F.aggregate(terms, F.lit(0.0), lambda s, x: s + x)
+
+    # the other tokens' part of a line's length is at least what it would be if all of them differed
+    others = (F.size("tokens") - F.size("found")) * unknown**2
+    of = {(name, token): weight for name, token, weight in rows}
+    dots = [total([rare[t] * of.get((name, t), 0.0) for t in listed]) for name in sorted({r[0] for r in rows})]
+    bound = F.greatest(*dots) >= (similarity - 1e-5) * F.sqrt(total([rare[t] for t in listed], squared=True) + others)
+    tokens = lines.where(bound).select("path", "line", "tokens").distinct().select("path", "line", F.explode("tokens").alias("token"))
     counts = tokens.groupBy("path", "line", "token").agg(F.count("*").alias("n"))
     # the templates are a fixed, short list
     rarity = F.broadcast(weighed.select("token", "rare").distinct())
     counts = counts.join(rarity, "token", "left").withColumn("amount", F.col("n") * F.coalesce("rare", F.lit(unknown)))
+    counts = materialise(counts)
     length = counts.groupBy("path", "line").agg(F.sqrt(F.sum(F.col("amount") * F.col("amount"))).alias("length"))
     dots = counts.join(F.broadcast(weighed.select("licence", "token", "weight")), "token").groupBy("path", "line", "licence").agg(F.sum(F.col("amount") * F.col("weight")).alias("dot"), F.count("*").alias("common"))
     near = dots.where("common > 1").join(length, ["path", "line"]).withColumn("similarity", F.round(F.col("dot") / F.col("length"), 6)).where(F.col("similarity") >= similarity)
@@ -114,7 +131,7 @@ def scan(files: DataFrame, licence_file: Column | None = None, templates=TEMPLAT
     """
     kept = [c for c in files.columns if c not in ("licence", "similarity", "origin", "licence_dir", "own_line")]
     files = files.select(*kept)
-    own = own_licences(files.select("path", "text"), templates, similarity).withColumnRenamed("line", "own_line")
+    own = materialise(own_licences(files.select("path", "text"), templates, similarity).withColumnRenamed("line", "own_line"))
     flag = licence_file if licence_file is not None else F.col("path").rlike(LICENCE_FILE)
     licensed = own.where(flag).withColumn("dir", directory("path"))
     by_dir = licensed.groupBy("dir").agg(F.min(F.struct((-F.col("similarity")).alias("minus"), "licence")).alias("best"))
