@@ -46,7 +46,8 @@ def test_language_accuracy_and_edges(spark, docs):
     out = [k for k in truth if held(k)]
     assert all(got[k].held_out == held(k) for k in truth)
     assert np.mean([got[k].lang_pred == truth[k] for k in out]) > 0.97
-    rows = [(1, None, "en"), (2, "", "fr"), (3, "12 34 !!", None), (4, "x", None), (None, "the of and", None), (6, "le de la " * 300_000, None), (4, "x", None)]
+    french = docs.where("lang = 'fr'").orderBy("doc_id").first().text
+    rows = [(1, None, "en"), (2, "", "fr"), (3, "12 34 !!", None), (4, "x", None), (None, "the of and", None), (6, french * (2_000_000 // len(french)), None), (4, "x", None)]
     edge = spark.createDataFrame(rows, "doc_id bigint, text string, lang string").withColumn("lettered", F.lit(3)).withColumn("score", F.lit("clash"))
     found = language.identify(edge, network=network).collect()
     assert len(found) == 7 and all(0 <= r.score <= 1 for r in found)
