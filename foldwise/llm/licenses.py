@@ -2,8 +2,9 @@
 
 Every line of a whole text is a candidate header.  A line's tokens are weighted by their count and by how rare they
 are among the templates; its cosine to a template must reach ``SIMILARITY``, with two tokens in common at least.  Lines that hold none of a template's
-heaviest tokens can't reach it (the remaining tokens' weight bounds the cosine), so one pattern test spares most texts;
-a bound from the counts of template tokens then spares nearly all other lines before anything is shuffled.
+heaviest tokens can't reach it (the remaining tokens' weight bounds the cosine), so one pattern test spares many lines;
+bounds from the counts of template tokens then spare nearly all others.  Cosines are sums within a line, so lines and
+tokens are not shuffled; only the licences found are.
 A file without a licence of its own takes that of the licence file in its nearest ancestor directory.
 """
 
@@ -38,7 +39,6 @@ TEMPLATES = (
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
 )
 TOKEN = "[a-z0-9]+"
-_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 LICENCE_FILE = r"(?i)(^|/)(licen[sc]e|copying|unlicense)([.-][^/]*)?$"
 
 
@@ -77,43 +77,56 @@ def own_licences(files: DataFrame, templates=TEMPLATES, similarity: float = SIMI
 
     ``files`` has path and text; null paths and texts have no licence; a path stands for one text.
     """
-    spark = files.sparkSession
     rare, rows, unknown = weights(templates)
-    weighed = spark.createDataFrame([(n, t, w, rare[t]) for n, t, w in rows], "licence string, token string, weight double, rare double")
-    keys = f"(?<![a-z0-9])({'|'.join(key_tokens(rows, similarity))})(?![a-z0-9])"
-    lowered = F.translate("text", _UPPER, _LOWER)
+    keys = f"(?i)(?<![a-z0-9])({'|'.join(key_tokens(rows, similarity))})(?![a-z0-9])"
     listed = sorted(rare)
     known = F.array(*(F.lit(t) for t in listed))
-    words = F.regexp_extract_all("words", F.lit(f"({TOKEN})"), F.lit(1))
-    lines = (
-        files.where("path is not null and text is not null").select("path", lowered.alias("text")).where(F.col("text").rlike(keys))
-        .select("path", F.posexplode(F.split("text", r"\n")).alias("line", "words")).where(F.col("words").rlike(keys))
-        .select("path", "line", words.alias("tokens")).withColumn("found", F.filter("tokens", lambda t: F.array_contains(known, t)))
-        .where(F.size("found") > 1)
-        # exploding a list of one keeps the counts from being worked out again for each template
-        .select("path", "line", "tokens", "found", F.explode(F.array(F.transform(known, lambda t: F.size(F.filter("found", lambda x: x == t)).cast("double")))).alias("held"))
-    )
+    words = F.transform(F.regexp_extract_all("words", F.lit("(?i)([a-z0-9]+)"), F.lit(1)), F.lower)
+
+    def once(value: Column) -> Column:
+        """Exploding a list of one keeps a value from being worked out again wherever it is used."""
+        return F.explode(F.array(value))
 
     def total(factors: list[float], squared: bool = False) -> Column:
         """Sum over the listed tokens of count times factor, or of its square."""
         terms = F.zip_with("held", F.array(*(F.lit(float(f)) for f in factors)), lambda n, f: n * f * n * f if squared else n * f)
         return F.aggregate(terms, F.lit(0.0), lambda s, x: s + x)
 
-    # the other tokens' part of a line's length is at least what it would be if all of them differed
-    others = (F.size("tokens") - F.size("found")) * unknown**2
-    of = {(name, token): weight for name, token, weight in rows}
-    dots = [total([rare[t] * of.get((name, t), 0.0) for t in listed]) for name in sorted({r[0] for r in rows})]
-    bound = F.greatest(*dots) >= (similarity - 1e-5) * F.sqrt(total([rare[t] for t in listed], squared=True) + others)
-    tokens = lines.where(bound).select("path", "line", "tokens").distinct().select("path", "line", F.explode("tokens").alias("token"))
-    counts = tokens.groupBy("path", "line", "token").agg(F.count("*").alias("n"))
-    # the templates are a fixed, short list
-    rarity = F.broadcast(weighed.select("token", "rare").distinct())
-    counts = counts.join(rarity, "token", "left").withColumn("amount", F.col("n") * F.coalesce("rare", F.lit(unknown)))
-    counts = materialise(counts)
-    length = counts.groupBy("path", "line").agg(F.sqrt(F.sum(F.col("amount") * F.col("amount"))).alias("length"))
-    dots = counts.join(F.broadcast(weighed.select("licence", "token", "weight")), "token").groupBy("path", "line", "licence").agg(F.sum(F.col("amount") * F.col("weight")).alias("dot"), F.count("*").alias("common"))
-    near = dots.where("common > 1").join(length, ["path", "line"]).withColumn("similarity", F.round(F.col("dot") / F.col("length"), 6)).where(F.col("similarity") >= similarity)
-    best = near.groupBy("path").agg(F.min(F.struct((-F.col("similarity")).alias("minus"), "licence", "line")).alias("best"))
+    def in_common(tokens: set[str]) -> Column:
+        return F.size(F.filter(F.zip_with("held", F.array(*(F.lit(t in tokens) for t in listed)), lambda n, own: (n > 0) & own), lambda x: x))
+
+    # A line's length is at least what it would be if its other tokens all differed; with unit templates the cosine is
+    # at most the length of the listed part over the whole length.
+    room = 1 / similarity**2 - 1 + 1e-5
+    lines = (
+        files.where("path is not null and text is not null").select("path", "text").where(F.col("text").rlike(keys))
+        .select("path", F.posexplode(F.split("text", r"\n")).alias("line", "words")).where(F.col("words").rlike(keys))
+        .select("path", "line", once(words).alias("tokens")).select("path", "line", "tokens", once(F.filter("tokens", lambda t: F.array_contains(known, t))).alias("found"))
+        .where((F.size("found") > 1) & (F.size("found") * F.size("found") * room >= F.size("tokens") - F.size("found")))
+        .select("path", "line", "tokens", once(F.transform(known, lambda t: F.size(F.filter("found", lambda x: x == t)).cast("double"))).alias("held"))
+        .select("path", "line", "tokens", "held", once(total([rare[t] for t in listed], squared=True)).alias("part"))
+        .where(F.col("part") * room >= (F.size("tokens") - F.aggregate("held", F.lit(0.0), lambda s, n: s + n)) * unknown**2)
+    )
+    # equal other tokens stand together once sorted: a token that is the k-th of its run adds k*k - (k-1)*(k-1) = 2k - 1
+    others = F.array_sort(F.filter("tokens", lambda t: ~F.array_contains(known, t)))
+    runs = F.aggregate(
+        others, F.struct(F.lit("").alias("last"), F.lit(0).cast("bigint").alias("k"), F.lit(0).cast("bigint").alias("squares")),
+        lambda s, t: F.struct(
+            t.alias("last"), F.when(s.last == t, s.k + 1).otherwise(F.lit(1).cast("bigint")).alias("k"),
+            (s.squares + F.when(s.last == t, 2 * s.k + 1).otherwise(F.lit(1).cast("bigint"))).alias("squares"),
+        ),
+        lambda s: s.squares,
+    )
+    measured = lines.select("path", "line", "held", once(F.sqrt(F.col("part") + runs * unknown**2)).alias("length"))
+    of: dict[str, dict[str, float]] = {}
+    for name, token, weight in rows:
+        of.setdefault(name, {})[token] = weight
+    cosines = F.array(*(
+        F.struct(F.round(total([rare[t] * own.get(t, 0.0) for t in listed]) / F.col("length"), 6).alias("similarity"), F.lit(name).alias("licence"), in_common(set(own)).alias("common"))
+        for name, own in sorted(of.items())
+    ))
+    near = measured.select("path", "line", F.explode(F.filter(cosines, lambda c: (c.common > 1) & (c.similarity >= similarity))).alias("near"))
+    best = near.groupBy("path").agg(F.min(F.struct((-F.col("near.similarity")).alias("minus"), F.col("near.licence").alias("licence"), "line")).alias("best"))
     return best.select("path", F.col("best.licence").alias("licence"), (-F.col("best.minus")).alias("similarity"), F.col("best.line").cast("bigint").alias("line"))
 
 
