@@ -1,7 +1,10 @@
 """Fingerprints and licences, which stay within Spark SQL."""
 
 import hashlib
+import math
 import random
+import re
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -90,3 +93,35 @@ def test_every_template_is_its_own_best(spark):
     rows = [(f"d{k}/f{k}", f"x\n// {text.upper()}\nlong " * 3) for k, (_, text) in enumerate(licenses.TEMPLATES)]
     got = {r.path: r.licence for r in licenses.own_licences(spark.createDataFrame(rows, "path string, text string")).collect()}
     assert got == {f"d{k}/f{k}": name for k, (name, _) in enumerate(licenses.TEMPLATES)}
+
+
+def test_cosines_against_brute_force(spark):
+    """Repeated known and unknown tokens, lines of one token, empty and very long lines."""
+    rare, rows, unknown = licenses.weights()
+    of = {}
+    for name, token, weight in rows:
+        of.setdefault(name, {})[token] = weight
+    rng = random.Random(3)
+    texts = ["", "\n\n", "mit", "isc " * 3000, "x " * 3000 + "released under the MIT license"]
+    for k in range(300):
+        words = re.findall(licenses.TOKEN, rng.choice(licenses.TEMPLATES)[1].lower())
+        words = [w for w in words if rng.random() < 0.9] * rng.choice((1, 1, 2)) + rng.choices(["qq", "zz", "the", "KelvinK"], k=rng.randrange(6))
+        rng.shuffle(words)
+        texts.append(f"line {k}\n" + " ".join(words))
+
+    def brute(text):
+        found = []
+        for number, line in enumerate(text.split("\n")):
+            count = Counter(t.lower() for t in re.findall("[A-Za-z0-9]+", line))
+            length = math.sqrt(sum((n * rare.get(t, unknown)) ** 2 for t, n in count.items()))
+            for name, own in of.items():
+                if len(own.keys() & count.keys()) > 1:
+                    near = round(sum(n * rare[t] * own[t] for t, n in count.items() if t in own) / length, 6)
+                    found += [(-near, name, number)] if near >= licenses.SIMILARITY else []
+        return min(found, default=None)
+
+    files = spark.createDataFrame([(str(k), t) for k, t in enumerate(texts)], "path string, text string")
+    got = {int(r.path): (-r.similarity, r.licence, r.line) for r in licenses.own_licences(files).collect()}
+    want = {k: best for k, t in enumerate(texts) if (best := brute(t))}
+    assert len(want) > 100 and got.keys() == want.keys()
+    assert all(got[k][1:] == want[k][1:] and got[k][0] == pytest.approx(want[k][0], abs=2e-6) for k in want)
