@@ -20,8 +20,6 @@ from foldwise.functions import text as T
 from foldwise.functions.epoch import to_epoch
 
 DEFAULT_WORD_LIMIT = 250
-#: Nesting levels of ``content`` unrolled into the plan; deeper payloads raise instead of losing text.
-MAX_CONTENT_DEPTH = 6
 
 # Metadata fields searched for excluded keywords, flags that drop a message, role labels.
 METADATA_TEXTS = ("message_type", "source", "message_source", "description")
@@ -40,37 +38,27 @@ def clean_word_limit(limit: Any) -> int:
 # -- content ------------------------------------------------------------------------------------
 
 
-def text_fragments(content: str, depth: int = MAX_CONTENT_DEPTH) -> str:
-    """Stripped, non-empty text pieces of a content payload, depth first, as array<string>."""
-    no_text = "cast(array() as array<string>)"
+def text_fragments(content: str) -> str:
+    """Stripped, non-empty text pieces of a content payload of any depth, in reading order, as array<string>.
 
-    def walk(value: str, levels: int) -> str:
-        kind = J.first_truthy(J.field(value, "content_type"), J.field(value, "type"))
-        shown = f"({J.is_object(value)} and not {T.has_excluded_keyword(J.as_text(kind))})"
-        nested = (
-            f"case when {J.is_array(value)} then {J.array_items(value)} "
-            f"when {shown} then {J.array_items(J.field(value, 'parts'))} else {J.NO_ITEMS} end"
-        )
-        # Each level refers to the next one exactly once, so the plan grows linearly with depth.
-        if levels == 0:
-            too_deep = "raise_error('content is nested deeper than max_depth; raise the parameter')"
-            below = f"if(size({nested}) > 0, cast({too_deep} as array<string>), {no_text})"
-        else:
-            item = f"c{levels}"
-            below = f"flatten(transform({nested}, {item} -> {walk(item, levels - 1)}))"
-        own = ", ".join(
-            [
-                J.first_truthy(J.field(value, "text"), J.field(value, "value")),
-                J.field(value, "data.code"),
-                J.field(value, "data.text"),
-            ]
-        )
-        leaves = (
-            f"case when {J.is_string(value)} then array({value}) when {shown} then array({own}) else {J.NO_ITEMS} end"
-        )
-        return f"concat({below}, transform({leaves}, leaf -> {T.strip(J.string_or_null('leaf'))}))"
-
-    return f"filter({T.let(content, 'c', walk('c', depth))}, s -> s is not null and s != '')"
+    A list starts with the payload.  Each round replaces every container in it by its members, until only
+    strings are left; the brackets of the payload's JSON text bound the rounds.
+    """
+    kind = J.first_truthy(J.field("x", "content_type"), J.field("x", "type"))
+    shown = f"({J.is_object('x')} and not {T.has_excluded_keyword(J.as_text(kind))})"
+    own = ", ".join([J.first_truthy(J.field("x", "text"), J.field("x", "value")), J.field("x", "data.code"), J.field("x", "data.text")])
+    members = (
+        f"case when {J.is_string('x')} then array(x) when {J.is_array('x')} then {J.array_items('x')} "
+        f"when {shown} then concat({J.array_items(J.field('x', 'parts'))}, filter(array({own}), lf -> {J.is_string('lf')})) "
+        f"else {J.NO_ITEMS} end"
+    )
+    opened = f"named_struct('items', it, 'open', exists(it, y -> not {J.is_string('y')}))"
+    step = f"if(st.open, {T.let(f'flatten(transform(st.items, x -> {members}))', 'it', opened)}, st)"
+    brackets = "coalesce(length(to_json(c)) - length(translate(to_json(c), '[{', '')), 0)"
+    start = "named_struct('items', array(c), 'open', true)"
+    leaves = f"transform(st.items, leaf -> {T.strip(J.string_or_null('leaf'))})"
+    walked = f"aggregate(sequence(0, {brackets}), {start}, (st, rd) -> {step}, st -> {leaves})"
+    return f"filter({T.let(content, 'c', walked)}, s -> s is not null and s != '')"
 
 
 def labelled_text(role: str, fragments: str) -> str:
@@ -101,10 +89,10 @@ def message_role(message: str) -> str:
     return J.string_or_null(J.field(message, "author.role"))
 
 
-def message_block(message: str, depth: int = MAX_CONTENT_DEPTH) -> str:
+def message_block(message: str) -> str:
     """Transcript block of one message held as VARIANT, or null when it is left out."""
     allowed = metadata_allowed(J.field(message, "metadata"), J.field(message, "message_type"))
-    block = labelled_text("role", text_fragments(J.field(message, "content"), depth))
+    block = labelled_text("role", text_fragments(J.field(message, "content")))
     return T.let(message_role(message), "role", f"case when {role_allowed('role')} and {allowed} then {block} end")
 
 
@@ -173,9 +161,9 @@ def take_words(blocks: str, limit: int) -> str:
     return f"aggregate({blocks}, {start}, (st, bl) -> {step}, st -> nullif(st.txt, ''))"
 
 
-def excerpt_of_messages(messages: str, limit: int, depth: int = MAX_CONTENT_DEPTH) -> str:
+def excerpt_of_messages(messages: str, limit: int) -> str:
     """Excerpt from the array made by ``with_message_array``."""
-    blocks = f"filter(transform({messages}, m -> {message_block('m.message', depth)}), b -> b is not null)"
+    blocks = f"filter(transform({messages}, m -> {message_block('m.message')}), b -> b is not null)"
     return take_words(blocks, limit)
 
 

@@ -139,13 +139,6 @@ def _sorted_edges(frames: Iterator[pd.DataFrame]) -> pd.DataFrame | None:
     return pd.concat(parts).sort_values(["weight", "lo", "hi"], kind="stable") if parts else None
 
 
-def _kruskal(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    edges = _sorted_edges(frames)
-    if edges is not None:
-        forest = _Forest()
-        yield edges[[forest.join(lo, hi) for lo, hi in zip(edges["lo"].tolist(), edges["hi"].tolist())]]
-
-
 def _finish(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Forest edges of a contracted edge table, and (c, root) for its components."""
     edges = _sorted_edges(frames)
@@ -159,14 +152,6 @@ def _finish(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             )
 
 
-def _components_of(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    forest = _Forest()
-    for pdf in frames:
-        for lo, hi in zip(pdf["lo"].tolist(), pdf["hi"].tolist()):
-            forest.join(lo, hi)
-    yield pd.DataFrame(forest.labels(), columns=["node", "component"], dtype="int64")
-
-
 def _renamed(labels: DataFrame, names: DataFrame) -> DataFrame:
     """Replace components by the roots they were merged into."""
     to = names.select(F.col("c").alias("component"), "root")
@@ -234,10 +219,7 @@ def _to_roots(up: DataFrame) -> DataFrame:
 
 
 def minimum_spanning_forest(edges: DataFrame, limit: int = SINGLE_TASK_ROWS) -> DataFrame:
-    """Forest of an edge table: in one task while the edges are few, else by rounds over the cluster."""
-    edges = materialise(edges.select("lo", "hi", "weight"))
-    if edges.count() <= limit:
-        return edges.coalesce(1).mapInPandas(_kruskal, EDGES)
+    """Forest of an edge table (lo, hi, weight)."""
     return contract(edges, limit)[0]
 
 
@@ -264,9 +246,6 @@ def mutual_reachability_tree(points: DataFrame, min_samples: int, block_rows: in
 
 def components(edges: DataFrame, limit: int = SINGLE_TASK_ROWS) -> DataFrame:
     """(node, component) of the nodes that have an edge; a component is named by its smallest node."""
-    edges = materialise(edges.select("lo", "hi", "weight"))
-    if edges.count() <= limit:
-        return edges.coalesce(1).mapInPandas(_components_of, "node bigint, component bigint")
     return contract(edges, limit)[1]
 
 

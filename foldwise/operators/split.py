@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import json
+import os
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from foldwise.functions import identifiers as I
 from foldwise.functions import jsonval as J
 from foldwise.operators.ordering import with_row_index
+from foldwise.session import materialise
 
 
 def named_conversations(conversations: DataFrame) -> DataFrame:
@@ -28,21 +32,21 @@ def write_conversation_files(named: DataFrame, output_dir: str, indent: int = 2)
 
     Tasks write their own rows through the cluster's file system, so nothing passes the driver.
     """
-    import json
-
     clash = duplicate_names(named).take(1)
     if clash:
         raise ValueError(f"duplicate file name: {clash[0].file_name}")
     target = output_dir.rstrip("/")
+    if "://" not in target and not target.startswith("file:"):
+        if not named.sparkSession.sparkContext.master.startswith("local"):
+            raise ValueError(f"name the file system of {target}: tasks would write to their own machines")
+        target = os.path.abspath(target)
 
     def write(batches):
-        import os
-
         import pandas as pd
         import pyarrow.fs as fs
 
-        where = target if "://" in target or target.startswith("file:") else os.path.abspath(target)
-        system, root = fs.FileSystem.from_uri(where.replace("file:/", "file:///", 1) if where.startswith("file:/") and not where.startswith("file://") else where)
+        whole = target.startswith("file:/") and not target.startswith("file://")
+        system, root = fs.FileSystem.from_uri(target.replace("file:/", "file:///", 1) if whole else target)
         system.create_dir(root, recursive=True)
         for pdf in batches:
             paths = []
@@ -52,6 +56,4 @@ def write_conversation_files(named: DataFrame, output_dir: str, indent: int = 2)
                 paths.append(f"{target}/{name}")
             yield pd.DataFrame({"path": paths})
 
-    from foldwise.session import materialise
-
     return materialise(named.select("file_name", "raw").mapInPandas(write, "path string"))

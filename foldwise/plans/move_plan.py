@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from typing import Any
 
@@ -11,12 +11,17 @@ from pyspark.sql import functions as F
 
 from foldwise.functions import text as T
 from foldwise.operators import batching, clustering, cohesion, embedding, labels, messages, normalize
+from foldwise.operators.neighbours import union_all
 from foldwise.operators.ordering import with_row_index
 from foldwise.session import configure, materialise
 from foldwise.sources import export, store
 
 
 
+#: Most groups in which new embeddings are requested and stored.
+MOST_GROUPS = 64
+
+
 @dataclass
 class PlanParameters:
     eps_cosine: float = 0.25
@@ -85,30 +90,59 @@ def embed_missing(
         try:
             cached = materialise(store.lookup(spark, store_path, chats))
         except Exception as error:
+            if not store.is_store_error(error):
+                raise
             print(f"embedding store unreadable, treated as empty: {error}")
     todo = store.misses(chats, cached) if cached is not None else chats
     texts = materialise(todo.withColumn("text", F.expr(T.embedding_text("title", "prompt_excerpt"))))
     if texts.isEmpty():
         return cached
-    batches = batching.word_batches(texts, parameters.embedding_batch_words, order=("pos",), keep=("id",))
-    made = materialise(
-        embedding.embed_batches(texts.select("id", "text").join(batches.select("id", "batch_id"), "id"), make_embedder)
-    )
-    if store_path:
-        try:
-            store.upsert(spark, store_path, texts.join(made, "id"))
-        except Exception as error:
-            print(f"embedding store not written, going on without it: {error}")
-    return made if cached is None else cached.unionByName(made)
+    found = [] if cached is None else [cached]
+    for made in embedded_groups(texts, parameters, make_embedder):
+        found.append(made)
+        if store_path:
+            try:
+                store.upsert(spark, store_path, texts.join(made, "id"))
+            except Exception as error:
+                if not store.is_store_error(error):
+                    raise
+                print(f"embedding store not written, going on without it: {error}")
+                store_path = None
+    return union_all(found)
+
+
+def embedded_groups(
+    texts: DataFrame, parameters: PlanParameters, make_embedder: Callable[[], embedding.Embedder]
+) -> Iterator[DataFrame]:
+    """(id, vector) of rows (pos, id, text), group after group of consecutive batches.
+
+    A group is requested only once the caller is done with the one before, so it can be stored first.  Each group
+    has ``embedding_batch_parallelism`` batches, or more where that would make over ``MOST_GROUPS`` groups; that
+    many requests are in flight at a time.
+    """
+    batches = materialise(batching.word_batches(texts, parameters.embedding_batch_words, order=("pos",), keep=("id",)).select("id", "batch_id"))
+    count = batches.agg(F.coalesce(F.max("batch_id") + 1, F.lit(0)).alias("n")).first().n
+    size = max(parameters.embedding_batch_parallelism, -(-count // MOST_GROUPS))
+    grouped = batching.batch_groups(batches, size)
+    for group in range(-(-count // size)):
+        wanted = grouped.where(F.col("group_id") == group).select("id", "batch_id")
+        requests = texts.select("id", "text").join(wanted, "id")
+        yield materialise(embedding.embed_batches(requests, make_embedder, tasks=parameters.embedding_batch_parallelism))
 
 
 def assemble(
     chats: DataFrame, assigned: DataFrame, vectors: DataFrame, filed: DataFrame, parameters: PlanParameters,
     make_labeller: Callable[[], labels.Labeller] | None = None, source: str = "", collection: str = "chats",
 ) -> MovePlan:
-    """Plan tables from chats (pos, id, …), their (pos, cluster_id) and their (pos, vector)."""
+    """Plan tables from chats (pos, id, …), their (pos, cluster_id) and their (pos, vector).
+
+    A chat without a cluster or without a vector is listed among the singletons.
+    """
     placed = materialise(
-        chats.select("pos", "id", "title", "create_time", "update_time").join(assigned, "pos").join(vectors, "pos")
+        chats.select("pos", "id", "title", "create_time", "update_time")
+        .join(assigned, "pos", "left").join(vectors, "pos", "left")
+        .withColumn("cluster_id", F.when(F.col("vector").isNotNull(), F.col("cluster_id")))
+        .fillna({"cluster_id": -1})
     )
     clustered = placed.where(F.col("cluster_id") >= 0)
     numbered = materialise(clustering.member_index(clustered.drop("vector")))

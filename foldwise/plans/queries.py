@@ -22,6 +22,8 @@ from foldwise.streaming import incremental
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 DENSITY_EPS = 0.64
+#: Rows of a block in the clustering queries: small, so that the test tables already take many blocks.
+BLOCK_ROWS = 100
 BATCH_WORDS = 512
 
 
@@ -218,10 +220,12 @@ def message_filter(spark, sf_dir):
 
 @query
 def text_fragments(spark, sf_dir):
+    """Every third payload lies within twelve more lists and parts."""
     nested = F.expr(
         "to_json(named_struct('parts', array(to_json(array(text)), role), 'text', concat('  ', role, ' '), 'data', named_struct('code', text, 'text', '')))"
     )
-    rows = D.turns(spark, sf_dir).select("chat_id", "ord", nested.alias("j"))
+    deep = F.expr("""if(ord % 3 = 1, concat(repeat('[{"parts":[', 6), j, repeat(']}]', 6)), j)""")
+    rows = D.turns(spark, sf_dir).select("chat_id", "ord", nested.alias("j")).withColumn("j", deep)
     found = F.expr(messages.text_fragments("parse_json(j)"))
     return rows.select("chat_id", "ord", F.posexplode(found).alias("ix", "fragment")).select("chat_id", "ord", F.col("ix").cast("bigint").alias("ix"), "fragment")
 
@@ -522,7 +526,7 @@ def split_files(spark, sf_dir):
 
 
 def _blocks(spark, sf_dir) -> neighbours.Blocks:
-    return neighbours.lay_out(materialise(neighbours.fold_copies(D.vectors(spark, sf_dir))))
+    return neighbours.lay_out(materialise(neighbours.fold_copies(D.vectors(spark, sf_dir))), BLOCK_ROWS)
 
 
 @query
@@ -549,24 +553,24 @@ def mutual_reach(spark, sf_dir):
 
 @query
 def mst_weight(spark, sf_dir):
-    tree = spanning.mutual_reachability_tree(D.vectors(spark, sf_dir), 2)
+    tree = spanning.mutual_reachability_tree(D.vectors(spark, sf_dir), 2, BLOCK_ROWS)
     return tree.agg(F.count("*").alias("edges"), F.round(F.sum("weight"), 6).alias("weight"))
 
 
 @query
 def density_components(spark, sf_dir):
-    return spanning.density_components(D.vectors(spark, sf_dir), DENSITY_EPS, 2, 2)
+    return spanning.density_components(D.vectors(spark, sf_dir), DENSITY_EPS, 2, 2, BLOCK_ROWS)
 
 
 @query
 def hdbscan_clusters(spark, sf_dir):
-    return clustering.hdbscan(D.vectors(spark, sf_dir), 0.0, 2, 2)
+    return clustering.hdbscan(D.vectors(spark, sf_dir), 0.0, 2, 2, BLOCK_ROWS)
 
 
 @query
 def hdbscan_planted(spark, sf_dir):
     """Planted labels must come back as clusters when splits below the radius are merged."""
-    return clustering.hdbscan(D.planted(spark, sf_dir), 0.25, 2, 2)
+    return clustering.hdbscan(D.planted(spark, sf_dir), 0.25, 2, 2, BLOCK_ROWS)
 
 
 @query

@@ -9,8 +9,8 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: Rows that one task may hold for a step that is sequential by nature.  Every caller
-#: counts first and takes a partitioned route when the count is larger.
+#: Rows that one task may hold for a step that is sequential by nature: the remainder of a contraction, a slice of
+#: a hierarchy.  Rounds or slices over the cluster bring larger tables down to it.
 SINGLE_TASK_ROWS = 1_000_000
 
 

@@ -1,12 +1,16 @@
 """Keyed table of embeddings: an append-only log of upserts in parquet, read as the latest row per id.
 
-An upsert writes one folder and rewrites nothing, so its cost follows the new rows, not the store.
-Writing the same step again replaces that step, which makes a replayed micro-batch harmless.
+An upsert writes one folder and rewrites nothing, so its cost follows the new rows, not the store.  The folder is
+its own unless the caller names it, so writers at the same time lose nothing; of one step the later write wins.
+Writing a named folder again replaces it, which makes a replayed micro-batch harmless.
 """
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
+import time
+import uuid
+
+from pyspark.errors import AnalysisException, PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -19,13 +23,33 @@ SCHEMA = T.StructType(
         T.StructField("prompt_excerpt", T.StringType()),
         T.StructField("create_time", T.DoubleType()),
         T.StructField("update_time", T.DoubleType()),
+        T.StructField("vectors", T.MapType(T.StringType(), T.ArrayType(T.FloatType()))),
     ]
 )
+_WRITE = ("step", "write")
+#: Start of Spark's error conditions for files it cannot read.
+UNREADABLE = "FAILED_READ_FILE"
+
+
+def is_store_error(error: Exception) -> bool:
+    """Whether the store itself is at fault: its path, its files or the shape of its vectors.  Lost executors and bugs are not."""
+    if isinstance(error, (AnalysisException, ValueError, OSError)):
+        return True
+    if isinstance(error, PySparkException) and (error.getCondition() or "").startswith(UNREADABLE):
+        return True
+    cause = getattr(error, "java_exception", None)
+    if cause is not None and cause.getClass().getName().startswith(("java.io.", "java.nio.file.", "org.apache.hadoop.")):
+        return True
+    while cause is not None:
+        if f"[{UNREADABLE}" in (cause.getMessage() or "")[:200]:
+            return True
+        cause = cause.getCause()
+    return False
 
 
 def _log(spark: SparkSession, path: str) -> DataFrame:
-    """Every written row with its step; empty when the store does not exist yet."""
-    schema = T.StructType(SCHEMA.fields + [T.StructField("step", T.LongType())])
+    """Every written row with its step and write; empty when the store does not exist yet."""
+    schema = T.StructType(SCHEMA.fields + [T.StructField("step", T.LongType()), T.StructField("write", T.StringType())])
     try:
         return spark.read.schema(schema).parquet(path)
     except AnalysisException as error:
@@ -35,9 +59,10 @@ def _log(spark: SparkSession, path: str) -> DataFrame:
 
 
 def latest(log: DataFrame) -> DataFrame:
-    """The last written row of each id; rows combine before the shuffle."""
-    columns = [c for c in log.columns if c not in ("id", "step")]
-    return log.groupBy("id").agg(F.max_by(F.struct(*columns), F.col("step")).alias("r")).select("id", "r.*")
+    """The last written row of each id; rows combine before the shuffle.  Of repeats in one write the greatest row wins."""
+    columns = [c for c in log.columns if c not in ("id", *_WRITE)]
+    order = F.struct(*_WRITE, *[c for c in columns if c != "vectors"])
+    return log.groupBy("id").agg(F.max_by(F.struct(*columns), order).alias("r")).select("id", "r.*")
 
 
 def read_store(spark: SparkSession, path: str) -> DataFrame:
@@ -55,8 +80,8 @@ def lookup(spark: SparkSession, path: str, ids: DataFrame) -> DataFrame:
 
     The log is cut to the wanted ids before versions are compared, and only two columns are read.
     """
-    wanted = _log(spark, path).select("id", "vector", "step").join(ids.select("id").distinct(), "id", "left_semi")
-    return latest(wanted).withColumn("vector", F.expr(first_vector())).where(F.col("vector").isNotNull())
+    wanted = _log(spark, path).select("id", "vector", "vectors", *_WRITE).join(ids.select("id").distinct(), "id", "left_semi")
+    return latest(wanted).select("id", F.expr(first_vector(named="vectors")).alias("vector")).where(F.col("vector").isNotNull())
 
 
 def next_step(spark: SparkSession, path: str) -> int:
@@ -65,14 +90,17 @@ def next_step(spark: SparkSession, path: str) -> int:
 
 
 def upsert(spark: SparkSession, path: str, rows: DataFrame, step: int | None = None) -> None:
-    """Write rows (id, vector, payload); later steps win.  All vectors must have one dimension."""
-    at = next_step(spark, path) if step is None else step
-    shaped = rows.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in SCHEMA])
+    """Write rows (id, vector, payload); later steps win.  All vectors must have one dimension.
+
+    ``step`` names the folder: writing it again replaces it.  Missing payload columns are null.
+    """
+    at, write = (next_step(spark, path), f"{time.time_ns():020d}-{uuid.uuid4().hex}") if step is None else (step, "named")
+    shaped = rows.select(*[(F.col(f.name) if f.name in rows.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in SCHEMA])
     new, held = (d.where(F.col("vector").isNotNull()).select(F.size("vector").alias("n")) for d in (shaped, _log(spark, path)))
     sizes = {r.n for r in new.distinct().take(2) + held.take(1)}
     if len(sizes) > 1:
         raise ValueError(f"vectors of different dimensions: {sorted(sizes)}")
-    shaped.write.mode("overwrite").parquet(f"{path.rstrip('/')}/step={at}")
+    shaped.write.mode("overwrite").parquet(f"{path.rstrip('/')}/step={at}/write={write}")
 
 
 def misses(chats: DataFrame, cached: DataFrame) -> DataFrame:

@@ -8,15 +8,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foldwise.functions import text as T
-from foldwise.operators import batching, embedding, normalize
-from foldwise.plans.move_plan import PlanParameters
+from foldwise.operators import embedding, normalize
+from foldwise.plans.move_plan import PlanParameters, embedded_groups
 from foldwise.session import configure, materialise
 from foldwise.sources import export, store
 
 
 def fill_step(
     spark: SparkSession, conversations: DataFrame, store_path: str, make_embedder: Callable[[], embedding.Embedder],
-    parameters: PlanParameters, step: int | None = None,
+    parameters: PlanParameters,
 ) -> int:
     """Embed the unfiled chats among (pos, raw) that the store lacks; returns how many were added."""
     chats = normalize.dedup_latest(normalize.normalize_chats(conversations))
@@ -27,10 +27,8 @@ def fill_step(
         return 0
     chats = normalize.with_excerpt(todo, parameters.conversation_word_limit)
     texts = materialise(chats.withColumn("text", F.expr(T.embedding_text("title", "prompt_excerpt"))))
-    batches = batching.word_batches(texts, parameters.embedding_batch_words, order=("pos",), keep=("id",))
-    requests = texts.select("id", "text").join(batches.select("id", "batch_id"), "id")
-    made = materialise(embedding.embed_batches(requests, make_embedder))
-    store.upsert(spark, store_path, texts.join(made, "id"), step)
+    for made in embedded_groups(texts, parameters, make_embedder):
+        store.upsert(spark, store_path, texts.join(made, "id"))
     return added
 
 
@@ -42,8 +40,8 @@ def fill_from_stream(
     """Process the export files not seen before, documents and newline-delimited ones alike, then stop.
 
     The stream tells which files are new; their contents go through the batch reader, so a broken line or document
-    fails the run instead of being lost.  Each micro-batch is stored before the next is requested.  A replayed
-    batch looks up what it already stored, so no text is embedded twice.
+    fails the run instead of being lost.  Each group of requests is stored before the next
+    is made.  A replayed batch looks up what it already stored, so no text is embedded twice.
     """
     p = parameters or PlanParameters()
     configure(spark)
@@ -55,12 +53,11 @@ def fill_from_stream(
         .load(export_dir)
         .select(F.col("_metadata.file_path").alias("file"))
     )
-    first = store.next_step(spark, store_path)
 
     def add(batch: DataFrame, batch_id: int) -> None:
         files = sorted(r.file for r in batch.distinct().collect())  # files_per_step at most
         if files:
-            fill_step(batch.sparkSession, export.read_export(batch.sparkSession, files), store_path, make_embedder, p, first + batch_id)
+            fill_step(batch.sparkSession, export.read_export(batch.sparkSession, files), store_path, make_embedder, p)
 
     query = (
         arrived.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint_dir).trigger(availableNow=True).start()

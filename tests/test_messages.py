@@ -49,14 +49,13 @@ def test_text_fragments(spark):
     assert got == want
 
 
-def test_deep_content_raises_instead_of_losing_text(spark):
-    deep = ["x"]
-    for _ in range(8):
-        deep = [deep]
-    df = variants(spark, [deep])
-    assert df.select(F.expr(M.text_fragments("v", 9)).alias("t")).first().t == ["x"]
-    with pytest.raises(Exception, match="max_depth"):
-        df.select(F.expr(M.text_fragments("v", 3))).collect()
+def test_content_of_any_depth(spark):
+    deep = ["x[{"]
+    for level in range(60):
+        deep = [f"{level}", {"parts": [deep], "text": f"after {level}"}]
+    rounds = [str(n) for n in range(59, -1, -1)] + ["x[{"] + [f"after {n}" for n in range(60)]
+    got = variants(spark, [deep, []]).select(F.expr(M.text_fragments("v")).alias("t")).collect()
+    assert [r.t for r in got] == [rounds, []]
 
 
 def test_message_block_filters(spark):

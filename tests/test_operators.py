@@ -105,7 +105,7 @@ def test_store(spark, tmp_path):
     assert store.lookup(spark, path, ids).count() == 0
 
     def rows(*items):
-        return spark.createDataFrame([(i, v, f"t{i}", None, 1.0, None) for i, v in items], store.SCHEMA)
+        return spark.createDataFrame([(i, v, f"t{i}", None, 1.0, None, None) for i, v in items], store.SCHEMA)
 
     store.upsert(spark, path, rows(("a", [1.0, 0.0]), ("b", None), ("d", [0.0, 1.0])))
     store.upsert(spark, path, rows(("a", [0.5, 0.5])))
@@ -113,10 +113,24 @@ def test_store(spark, tmp_path):
     assert store.read_store(spark, path).count() == 3
     with pytest.raises(ValueError, match="dimension"):
         store.upsert(spark, path, rows(("e", [1.0])))
+    store.upsert(spark, path, spark.createDataFrame([("c", {"title": [0.25, 0.75]})], "id string, vectors map<string,array<float>>"))
+    assert {r.id: r.vector for r in store.lookup(spark, path, ids).collect()} == {"a": [0.5, 0.5], "c": [0.25, 0.75]}
     named = spark.createDataFrame([(None, {"default": [0.5]}), ([1.0], None), (None, {})], "v array<float>, n map<string,array<float>>")
     assert [r[0] for r in named.select(F.expr(store.first_vector("v", "n"))).collect()] == [[0.5], [1.0], None]
 
 
+def test_store_keeps_both_of_two_writers(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "store")
+    monkeypatch.setattr(store, "next_step", lambda *_: 7)
+    for name, x in (("a", 1.0), ("b", 2.0), ("a", 3.0)):
+        store.upsert(spark, path, spark.createDataFrame([(name, [x]), (name, [x])], "id string, vector array<float>"))
+    got = sorted((r.id, r.vector) for r in store.read_store(spark, path).collect())
+    assert got == [("a", [3.0]), ("b", [2.0])]
+    store.upsert(spark, path, spark.createDataFrame([("a", [5.0])], "id string, vector array<float>"), step=8)
+    store.upsert(spark, path, spark.createDataFrame([("a", [6.0])], "id string, vector array<float>"), step=8)
+    assert sorted((r.id, r.vector) for r in store.read_store(spark, path).collect()) == [("a", [6.0]), ("b", [2.0])]
+
+
 def test_text_cohesion(spark):
     rows = [(0, [1.0, 1.0]), (0, [2.0, 2.0]), (1, [1.0, 0.0]), (2, [0.0, 0.0]), (2, [1.0, 0.0]), (3, [1.0, 0.0]), (3, [-1.0, 0.0])]
     got = cohesion.text_cohesion(spark.createDataFrame(rows, "cluster_id bigint, vector array<double>"))

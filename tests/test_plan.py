@@ -98,6 +98,28 @@ def test_broken_store_is_given_up(spark, tmp_path, capsys):
     assert "treated as empty" in capsys.readouterr().out
 
 
+def test_each_group_is_stored_before_the_next_is_asked_for(spark, tmp_path):
+    items = [conversation(i, "Alpha") for i in range(4)]
+    kept = str(tmp_path / "store")
+
+    class Failing(Topics):
+        def __call__(self, texts):
+            if any("2" in text for text in texts):
+                raise ConnectionError("gone")
+            return super().__call__(texts)
+
+    p = PlanParameters(embedding_batch_words=1)
+    with pytest.raises(Exception, match="gone"):
+        build_move_plan(spark, export(tmp_path, items), p, make_embedder=Failing, store_path=kept)
+    assert sorted(r.id for r in store.read_store(spark, kept).collect()) == ["chat-0", "chat-1"]
+
+
+def test_chat_without_vector_is_a_singleton(spark):
+    chats, assigned, vectors, filed = many(spark, 3)
+    plan = P.assemble(chats, assigned, vectors.where("pos <> 4"), filed, PlanParameters())
+    assert [r.id for r in plan.singletons.collect()] == ["c4"] and plan.members.count() == 5
+
+
 def many(spark, n):
     chats = spark.createDataFrame(
         [(i, f"c{i}", f"Topic {i // 2}", 1.0, None) for i in range(2 * n)], "pos bigint, id string, title string, create_time double, update_time double"
