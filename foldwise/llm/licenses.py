@@ -5,6 +5,10 @@ are among the templates; its cosine to a template must reach ``SIMILARITY``, wit
 heaviest tokens can't reach it (the remaining tokens' weight bounds the cosine), so one pattern test spares many lines;
 bounds from the counts of template tokens then spare nearly all others.  Cosines are sums within a line, so lines and
 tokens are not shuffled; only the licences found are.
+
+Besides, windows of a template's length slide over all tokens of a file, across lines: whole short licences, headers
+of several lines and the beginnings of long licence files, and the one-line statements within longer lines.  A file
+shorter than a template is one window.  SPDX tags are read as they stand.  Of all that is found the likest counts.
 A file without a licence of its own takes that of the licence file in its nearest ancestor directory.
 """
 
@@ -12,11 +16,13 @@ from __future__ import annotations
 
 import math
 from collections import Counter
+from functools import reduce
 import re
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from foldwise.llm.licence_texts import TEXTS
 from foldwise.session import materialise
 
 SIMILARITY = 0.7
@@ -39,6 +45,12 @@ TEMPLATES = (
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
 )
 TOKEN = "[a-z0-9]+"
+#: Tokens at which windows start in one piece of a file, and the share of a template's length from one start to the next.
+STRETCH = 512
+STEP = 1 / 16
+SPDX = r"(?i)SPDX-License-Identifier:[ \t]*(\(*[a-z0-9][a-z0-9.+-]*\)*(?:[ \t]+(?:AND|OR|WITH)[ \t]+\(*[a-z0-9][a-z0-9.+-]*\)*)*)"
+# words of any English text, of no use in sparing texts
+_COMMON = frozenset("the of to in by or and for is a an at on as be any all not use you this that with from other have without which such will their they your under into above provided been more".split())
 LICENCE_FILE = r"(?i)(^|/)(licen[sc]e|copying|unlicense)([.-][^/]*)?$"
 
 
@@ -130,6 +142,134 @@ def own_licences(files: DataFrame, templates=TEMPLATES, similarity: float = SIMI
     return best.select("path", F.col("best.licence").alias("licence"), (-F.col("best.minus")).alias("similarity"), F.col("best.line").cast("bigint").alias("line"))
 
 
+def fewest_tokens(own: dict[str, float], similarity: float) -> tuple[list[str], int]:
+    """Tokens of a template and how many of them a window must hold at least to reach the similarity.
+
+    Words of any English text are left out where the template can't be met by them alone.
+    """
+    need = similarity**2 * 0.999
+    telling = {t: w for t, w in own.items() if t not in _COMMON}
+    left = need - sum(w * w for t, w in own.items() if t in _COMMON)
+    if left <= 0:
+        telling, left = own, need
+    mass = 0.0
+    for k, weight in enumerate(sorted(telling.values(), reverse=True), 1):
+        mass += weight * weight
+        if mass >= left:
+            return sorted(telling), k
+    return sorted(telling), len(telling)
+
+
+def window_licences(files: DataFrame, templates=TEXTS, similarity: float = SIMILARITY) -> DataFrame:
+    """path, licence, similarity, line of the files with a window like a template: the likest, then the first by name and line.
+
+    A window is as long as the template, or ends with the file; it starts at a line's first token or at every
+    ``STEP`` of the template's length.  Pieces of a file overlap by the longest template, so no window is cut.
+    """
+    rare, rows, unknown = weights([(k, text) for k, (_, text) in enumerate(templates)])
+    of: list[dict[str, float]] = [{} for _ in templates]
+    for k, token, weight in rows:
+        of[k][token] = weight
+    sizes = [len(re.findall(TOKEN, text.lower())) for _, text in templates]
+    listed = sorted(rare)
+    def packed(values, kind: str = "string") -> Column:
+        """A constant array as one literal; thousands of literals would slow the planning."""
+        return F.split(F.lit(" ".join(str(v) for v in values)), " ").cast(f"array<{kind}>")
+
+    def likely(held: str) -> list[Column]:
+        """A cosine is at most the length of that part of the template whose tokens are held at all."""
+        return [F.size(F.array_intersect(packed(telling), F.col(held))) >= few for telling, few in (fewest_tokens(own, similarity) for own in of)]
+
+    def once(value: Column) -> Column:
+        return F.explode(F.array(value))
+
+    def of_template(values: list) -> Column:
+        return F.element_at(F.array(*(F.lit(v) for v in values)), F.col("k") + 1)
+
+    tokens = F.flatten(F.transform(F.split("text", r"\n"), lambda words, line: F.transform(
+        F.regexp_extract_all(words, F.lit("(?i)([a-z0-9]+)"), F.lit(1)), lambda t: F.struct(F.lower(t).alias("token"), line.alias("line")))))
+    starts = F.sequence(F.lit(0), F.size("tokens") - 1, F.lit(STRETCH))
+    pieces = (
+        files.where("path is not null and text is not null")
+        .select("path", "text", once(F.array_intersect(packed(listed), F.split(F.lower("text"), "[^a-z0-9]+"))).alias("held"))
+        .where((F.size("held") > 1) & reduce(Column.__or__, likely("held")))
+        .select("path", once(tokens).alias("tokens")).where(F.size("tokens") > 1)
+        .select("path", F.explode(F.transform(starts, lambda a: F.slice("tokens", a + 1, F.lit(STRETCH + max(sizes))))).alias("piece"))
+        .select("path", "piece", once(F.array_intersect(packed(listed), F.col("piece.token"))).alias("held")).where(F.size("held") > 1)
+    )
+    near = pieces.select("path", "piece", F.explode(F.filter(F.array(*(F.when(may, F.lit(k)) for k, may in enumerate(likely("held")))), lambda k: k.isNotNull())).alias("k"))
+    rarity = packed((rare[t] for t in listed), "double")
+    weight = F.element_at(F.array(*(packed((own.get(t, 0.0) for t in listed), "double") for own in of)), F.col("k") + 1)
+    placed = F.transform("piece", lambda x: F.struct(x.token.alias("token"), x.line.alias("line"), F.array_position(packed(listed), x.token).cast("int").alias("place")))
+    known = near.select("path", "k", once(placed).alias("piece")).select("path", "k", "piece", weight.alias("weight"))
+    valued = F.transform("piece", lambda x: F.struct(
+        x.token.alias("token"), x.line.alias("line"),
+        F.when(x.place > 0, F.element_at(rarity, F.greatest(x.place, F.lit(1)))).otherwise(unknown).alias("rare"),
+        F.when(x.place > 0, F.element_at("weight", F.greatest(x.place, F.lit(1)))).otherwise(0.0).alias("weight"),
+    ))
+    size, step = of_template(sizes), of_template([max(1, int(n * STEP)) for n in sizes])
+    ready = known.select("path", "k", once(valued).alias("piece"), size.alias("size"), step.alias("step"))
+
+    def first_of_line(p: Column) -> Column:
+        return F.element_at("piece", p + 1)["line"] != F.element_at("piece", F.greatest(p, F.lit(1)))["line"]
+
+    def enough(p: Column) -> Column:
+        """A window is at least as long as if its tokens all differed."""
+        sums = F.aggregate(
+            F.slice("piece", p + 1, F.col("size")), F.struct(F.lit(0.0).alias("dot"), F.lit(0.0).alias("squares")),
+            lambda s, x: F.struct((s["dot"] + x.rare * x.weight).alias("dot"), (s.squares + x.rare * x.rare).alias("squares")),
+        )
+        return F.exists(F.array(sums), lambda s: s["dot"] * (1 + 1e-9) >= (similarity - 1e-6) * F.sqrt(s.squares))
+
+    every = F.sequence(F.lit(0), F.least(F.size("piece"), F.lit(STRETCH)) - 1)
+    windows = ready.select("path", "k", "piece", "size", F.explode(F.filter(every, lambda p: ((p % F.col("step") == 0) | first_of_line(p)) & enough(p))).alias("p"))
+    # equal tokens stand together once sorted: the k-th of a run adds k*k - (k-1)*(k-1) = 2k - 1 squares
+    cosine = F.aggregate(
+        F.sort_array(F.slice("piece", F.col("p") + 1, F.col("size"))),
+        F.struct(F.lit("").alias("last"), F.lit(0).alias("run"), F.lit(0.0).alias("squares"), F.lit(0.0).alias("dot"), F.lit(0).alias("common")),
+        lambda s, x: F.struct(
+            x.token.alias("last"), F.when(s["last"] == x.token, s.run + 1).otherwise(F.lit(1)).alias("run"),
+            (s.squares + F.when(s["last"] == x.token, 2 * s.run + 1).otherwise(F.lit(1)) * x.rare * x.rare).alias("squares"),
+            (s["dot"] + x.rare * x.weight).alias("dot"),
+            (s.common + F.when((s["last"] != x.token) & (x.weight > 0), F.lit(1)).otherwise(F.lit(0))).alias("common"),
+        ),
+        lambda s: F.when(s.common > 1, F.round(s["dot"] / F.sqrt(s.squares), 6)).otherwise(F.lit(0.0)),
+    )
+    found = windows.select(
+        "path", of_template([name for name, _ in templates]).alias("licence"), once(cosine).alias("similarity"),
+        F.element_at("piece", F.col("p") + 1)["line"].cast("bigint").alias("line"),
+    )
+    return likest(found.where(F.col("similarity") >= similarity))
+
+
+def tagged_licences(files: DataFrame) -> DataFrame:
+    """path, licence, similarity 1, line of the files with an SPDX tag; -only, -or-later and + are left off a lone identifier."""
+    tag = F.regexp_replace(F.regexp_extract("words", SPDX, 1), r"[.]+$", "")
+    lone = F.regexp_replace(F.regexp_replace(tag, r"^\(+([^()\s]+)\)+$", "$1"), r"(?i)^(\S+?)(-only|-or-later|\+)$", "$1")
+    names = sorted({name for name, _ in (*TEMPLATES, *TEXTS)})
+    named = F.coalesce(*(F.when(F.lower("licence") == name.lower(), name) for name in names), F.col("licence"))
+    lines = (
+        files.where("path is not null and text is not null").select("path", "text").where(F.col("text").rlike(SPDX))
+        .select("path", F.posexplode(F.split("text", r"\n")).alias("line", "words")).where(F.col("words").rlike(SPDX))
+    )
+    found = lines.select("path", lone.alias("licence"), F.lit(1.0).alias("similarity"), F.col("line").cast("bigint").alias("line"))
+    return likest(found.where(~F.upper("licence").isin("NONE", "NOASSERTION")).withColumn("licence", named))
+
+
+def likest(found: DataFrame) -> DataFrame:
+    """One row of each path: the likest licence, then the first by name and line."""
+    best = found.groupBy("path").agg(F.min(F.struct((-F.col("similarity")).alias("minus"), "licence", "line")).alias("best"))
+    return best.select("path", F.col("best.licence").alias("licence"), (-F.col("best.minus")).alias("similarity"), F.col("best.line").alias("line"))
+
+
+def stated_licences(files: DataFrame, templates=TEMPLATES, similarity: float = SIMILARITY) -> DataFrame:
+    """path, licence, similarity, line of the files that state a licence by a line, by a window or by a tag."""
+    found = own_licences(files, templates, similarity)
+    for more in (window_licences(files, templates, similarity), window_licences(files, TEXTS, similarity), tagged_licences(files)):
+        found = found.unionByName(more)
+    return likest(found)
+
+
 def directory(path: str | Column) -> Column:
     """The directory of a path; empty at the top."""
     return F.regexp_extract(path, r"^(.*)/[^/]*$", 1)
@@ -144,7 +284,7 @@ def scan(files: DataFrame, licence_file: Column | None = None, templates=TEMPLAT
     """
     kept = [c for c in files.columns if c not in ("licence", "similarity", "origin", "licence_dir", "own_line")]
     files = files.select(*kept)
-    own = materialise(own_licences(files.select("path", "text"), templates, similarity).withColumnRenamed("line", "own_line"))
+    own = materialise(stated_licences(files.select("path", "text"), templates, similarity).withColumnRenamed("line", "own_line"))
     flag = licence_file if licence_file is not None else F.col("path").rlike(LICENCE_FILE)
     licensed = own.where(flag).withColumn("dir", directory("path"))
     by_dir = licensed.groupBy("dir").agg(F.min(F.struct((-F.col("similarity")).alias("minus"), "licence")).alias("best"))

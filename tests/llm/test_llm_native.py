@@ -125,3 +125,87 @@ def test_cosines_against_brute_force(spark):
     want = {k: best for k, t in enumerate(texts) if (best := brute(t))}
     assert len(want) > 100 and got.keys() == want.keys()
     assert all(got[k][1:] == want[k][1:] and got[k][0] == pytest.approx(want[k][0], abs=2e-6) for k in want)
+
+
+MIT_FILE = """MIT License
+
+Copyright (c) 2019 Somebody Else
+
+Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated
+documentation files (the "Software"), to deal in the Software without restriction, including without limitation
+the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and
+to permit persons to whom the Software is furnished to do so.
+
+The above copyright notice shall be included in all copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND. IN NO EVENT SHALL THE AUTHORS BE LIABLE FOR ANY
+CLAIM, DAMAGES OR OTHER LIABILITY, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OF THE SOFTWARE."""
+GPL_HEADER = """# tool.py - does a thing
+# Copyright 2011 A. N. Author
+#
+# tool is free software: you can redistribute it and/or modify
+# it under the terms of the GNU General Public License as published by
+# the Free Software Foundation, either version 3 of the License, or
+# (at your option) any later version.
+#
+# tool is distributed in the hope that it will be useful,
+# but WITHOUT ANY WARRANTY; without even the implied warranty of
+# MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+# GNU General Public License for more details.
+import os
+"""
+MPL_HEADER = """/* This Source Code Form is subject to the terms of the Mozilla Public
+ * License, v. 2.0. If a copy of the MPL was not distributed with this
+ * file, You can obtain one at http://mozilla.org/MPL/2.0/. */
+int main() { return 0; }"""
+BSD_FILE = """Redistribution and use, with or without modification, are permitted provided that these conditions are met:
+ * Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+ * Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the
+   following disclaimer in the documentation and/or other materials provided with the distribution.
+ * Neither the name of Example Inc. nor the names of its contributors may be used to endorse or promote products
+   derived from this software without specific prior written permission.
+THIS SOFTWARE IS PROVIDED BY EXAMPLE AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES ARE DISCLAIMED. IN NO
+EVENT SHALL EXAMPLE BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES
+HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT ARISING IN ANY WAY OUT
+OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."""
+
+
+def test_windows_and_tags(spark):
+    """Texts that are no templates: edited licence files, headers over lines, sentences within lines, tags."""
+    files = {
+        "m/LICENSE": (MIT_FILE, "MIT"), "g/tool.py": (GPL_HEADER, "GPL-3.0"), "h/far.py": ("word " * 1100 + "\n" + GPL_HEADER, "GPL-3.0"),
+        "z/main.c": (MPL_HEADER, "MPL-2.0"), "b/LICENSE": (BSD_FILE, "BSD-3-Clause"), "one/line.js": ("var a = 1; /* " + " ".join(MIT_FILE.split()) + " */ var b = 2;", "MIT"),
+        "s/a.c": ("// SPDX-License-Identifier: MIT\nint a;", "MIT"), "s/b.c": ("/* SPDX-License-Identifier: gpl-2.0-or-later */", "GPL-2.0"),
+        "s/c.c": ("# SPDX-License-Identifier: (MIT OR Apache-2.0)\n", "(MIT OR Apache-2.0)"), "s/d.c": ("# SPDX-License-Identifier: NONE", None),
+        "i/readme": ("Copyright 2020 by some people of a far away place; released under the MIT license, see the other file for what that means to you", "MIT"),
+        "n/prose": ("The software is useful, and any person may copy the notice without a fee.\n" * 30, None), "n/empty": ("", None),
+    }
+    df = spark.createDataFrame([(path, text) for path, (text, _) in files.items()], "path string, text string")
+    got = {r.path: (r.licence, r.origin) for r in licenses.scan(df).collect()}
+    assert {path: licence for path, (licence, origin) in got.items() if origin == "own"} == {path: want for path, (_, want) in files.items() if want}
+
+
+@pytest.mark.parametrize("size", (3, 40, 700))
+def test_windows_against_brute_force(spark, size, monkeypatch):
+    monkeypatch.setattr(licenses, "STRETCH", size)
+    texts = (("A", "alpha beta gamma delta alpha beta epsilon zeta"), ("B", "one two three alpha four five"), ("C", "beta gamma one"))
+    rare, rows, unknown = licenses.weights([(k, t) for k, (_, t) in enumerate(texts)])
+    rng = random.Random(size)
+    files = [(str(k), "\n".join(" ".join(rng.choices([*rare, "qq", "zz"], k=rng.randrange(6))) for _ in range(rng.randrange(1, 9)))) for k in range(60)]
+
+    def brute(text):
+        words = [(w, number) for number, line in enumerate(text.split("\n")) for w in line.split()]
+        found = []
+        for k, (name, template) in enumerate(texts):
+            own = {t: w for j, t, w in rows if j == k}
+            for a in range(len(words)):  # texts this short step by one token
+                count = Counter(w for w, _ in words[a : a + len(template.split())])
+                near = round(sum(n * rare[t] * own[t] for t, n in count.items() if t in own) / math.sqrt(sum((n * rare.get(t, unknown)) ** 2 for t, n in count.items())), 6)
+                if near >= licenses.SIMILARITY and len(own.keys() & count.keys()) > 1:
+                    found.append((-near, name, words[a][1]))
+        return min(found, default=None)
+
+    got = {r.path: (-r.similarity, r.licence, r.line) for r in licenses.window_licences(spark.createDataFrame(files, "path string, text string"), texts).collect()}
+    want = {path: best for path, text in files if (best := brute(text))}
+    assert len(want) > 10 and got.keys() == want.keys()
+    assert all(got[k][1:] == want[k][1:] and got[k][0] == pytest.approx(want[k][0], abs=2e-6) for k in want)
