@@ -1,10 +1,11 @@
 """Main text of web pages by the distribution of text over line blocks.
 
 Markup is stripped into lines, one for each block of text.  A line weighs as many characters as it has outside
-links; lines of menus, adverts, forms and the like weigh nothing, and where a page marks its article, so do lines
-outside it.  Weights are summed over windows of ``WIDTH`` lines.  The text surges where a window's sum rises above
-nothing, dives where it falls back, and everything weighty between a surge and its dive is kept.  On pages without a marked
-article only stretches whose densest window holds ``DENSE`` characters, or the densest there is, count.
+links; lines of menus, adverts, forms and the like weigh nothing.  Weights are summed over windows of ``WIDTH`` lines,
+within and outside of article and main elements apart; within them they count ``MARKED`` times.  The text surges where
+a window's sum rises above nothing, dives where it falls back.  Where the densest window lies in such an element, all
+stretches in these elements are kept, and others that are as dense as it is without the factor.  Where it lies outside, the
+stretches are kept whose densest window holds ``DENSE`` characters, or the densest there is.
 """
 
 from __future__ import annotations
@@ -20,6 +21,8 @@ from pyspark.sql import functions as F
 
 WIDTH = 3
 DENSE = 120
+#: How many times text in an article or main element counts.
+MARKED = 3
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*'|[\"'])*?)>", re.S)
 _RAW = ("script", "style", "noscript", "template", "svg", "iframe", "textarea", "select", "object", "math", "title")
 _ASIDE = frozenset(("nav", "footer", "aside", "form", "button", "dialog", "menu", "fieldset", "head"))
@@ -131,19 +134,23 @@ def main_text(page: str | None) -> str:
     if not page:
         return ""
     lines, weights, inside = line_blocks(page)
-    article = bool(inside.any() and weights[inside].any())
-    if article:
-        weights = np.where(inside, weights, 0)
     if not weights.any():
         return ""
-    total = np.concatenate([[0], np.cumsum(weights)])
-    ends = np.minimum(np.arange(len(weights)) + WIDTH, len(weights))
-    windows = total[ends] - total[:-1]
-    surging = windows > 0
-    edge = np.flatnonzero(np.diff(np.concatenate([[False], surging, [False]]).astype(int)))
-    enough = 1 if article else min(DENSE, int(windows.max()))
-    kept = [k for a, b in zip(edge[::2], edge[1::2]) if windows[a:b].max() >= enough for k in range(a, b) if weights[k] > 0]
-    return " ".join(lines[k] for k in kept)
+    stretches = []  # densest window, whether it lies in a marked element, and the lines
+    borders = [0, *(np.flatnonzero(np.diff(inside)) + 1), len(lines)]
+    for start, stop in zip(borders[:-1], borders[1:]):
+        total = np.concatenate([[0], np.cumsum(weights[start:stop])])
+        windows = total[np.minimum(np.arange(stop - start) + WIDTH, stop - start)] - total[:-1]
+        edge = np.flatnonzero(np.diff(np.concatenate([[False], windows > 0, [False]]).astype(int)))
+        stretches += [(int(windows[a:b].max()), bool(inside[start]), range(start + a, start + b)) for a, b in zip(edge[::2], edge[1::2])]
+    marked = max((dense for dense, tag, _ in stretches if tag), default=0)
+    plain = max((dense for dense, tag, _ in stretches if not tag), default=0)
+    if marked * MARKED >= plain:
+        kept = [rows for dense, tag, rows in stretches if tag or dense >= marked]
+    else:
+        enough = min(DENSE, plain)
+        kept = [rows for dense, tag, rows in stretches if dense * (MARKED if tag else 1) >= enough]
+    return " ".join(lines[k] for rows in kept for k in rows if weights[k] > 0)
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

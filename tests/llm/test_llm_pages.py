@@ -40,6 +40,16 @@ def test_surge_and_dive_without_marked_article():
     assert main_text.main_text(page) == " ".join([(sentence * 3).strip()] * 4)
 
 
+def test_dense_stretch_outside_articles():
+    """Cards as articles and an empty-looking main don't throw away the body in a div."""
+    body = "This sentence stands for the body of a page and is long enough to matter here. " * 3
+    paragraphs, text = "".join(f"<p>{body}</p>" for _ in range(3)), " ".join([body.strip()] * 3)
+    cards = "".join(f"<article><p>Card {k}</p></article>" for k in range(3))
+    assert main_text.main_text(f"<div>{paragraphs}</div><nav>x</nav>{cards}") == text
+    assert main_text.main_text(f"<main>.</main><div>{paragraphs}</div>") == text
+    assert main_text.main_text(f"<div><p>Short words outside</p></div><article>{paragraphs}</article>") == text
+
+
 def test_extract_table(spark):
     rows = [(k, None if k == 2 else f"u{k}", page) for k, (page, _) in enumerate(CASES)] + [(0, "u0", None), (None, "x", "<p>" + "long text " * 200_000)]
     df = spark.createDataFrame(rows, PAGES).withColumn("text", F.lit("clash")).withColumn("n_chars", F.lit("clash"))
