@@ -28,6 +28,7 @@ _RAW = ("script", "style", "noscript", "template", "svg", "iframe", "textarea",
 _ASIDE = frozenset(("nav", "footer", "aside", "form", "button", "dialog", "menu", "fieldset", "head"))
 _INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
+_ITEMS = frozenset(("p", "li", "dt", "dd", "tr", "td", "th"))
 _OUTER = frozenset(("article", "main"))
 _ATTRIBUTE = re.compile(r"(?:^|\s)(?:class|id|role|aria-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _HIDDEN = re.compile(r"(?:^|\s)(?:hidden(?=[\s=/]|$)|aria-hidden\s*=\s*[\"']?true)", re.I)
@@ -47,7 +48,11 @@ def _marked(attributes: str) -> bool:
 
 
 def line_blocks(page: str) -> tuple[list[str], np.ndarray, np.ndarray]:
-    """The non-empty lines of a page, the weight of each, and which lie in a marked article."""
+    """The non-empty lines of a page, the weight of each, and which lie in a marked article.
+
+    There a line of links weighs 1, so that it is kept and doesn't make a stretch dense.  A link ends with its
+    element, at the next link, at the end of a block and at a new paragraph or item.
+    """
     lines: list[str] = []
     weights: list[int] = []
     inside: list[bool] = []
@@ -71,7 +76,8 @@ def line_blocks(page: str) -> tuple[list[str], np.ndarray, np.ndarray]:
             text = " ".join(html.unescape("".join(parts)).split())
             if text:
                 lines.append(text)
-                weights.append(0 if aside else max(len(text) - (linked if linked < 0.5 * len(text) else len(text)), 0))
+                plain = max(len(text) - linked, 0) if linked < 0.5 * len(text) else 0
+                weights.append(0 if aside else max(plain, int(outer > 0)))
                 inside.append(outer > 0)
             parts.clear()
         linked = 0
@@ -99,7 +105,7 @@ def line_blocks(page: str) -> tuple[list[str], np.ndarray, np.ndarray]:
                     at = len(page)
             continue
         if name == "a":
-            links = max(0, links + (-1 if closing else 1))
+            links = 0 if closing else 1
         if name in _INLINE and not (aside and name == aside[0]) and (closing or not _marked(found[3])):
             continue
         if name in _INLINE and not aside and f"</{name}" not in page[at:]:
@@ -107,6 +113,8 @@ def line_blocks(page: str) -> tuple[list[str], np.ndarray, np.ndarray]:
         end_line()
         if name in _VOID:
             continue
+        if closing or name in _ITEMS:
+            links = 0
         if closing:
             if aside and name == aside[0]:
                 aside.pop()

@@ -50,6 +50,18 @@ def test_dense_stretch_outside_articles():
     assert main_text.main_text(f"<div><p>Short words outside</p></div><article>{paragraphs}</article>") == text
 
 
+def test_links_that_stay_open_and_lines_of_links():
+    body = "This sentence stands for the body of a page and is long enough to matter here. " * 3
+    for page in (
+        f"<ul><li><a href=1>Home</li><li><a href=2>News</li></ul><div><p>{body}</p></div>",
+        f"<div><a href=1>Home</div><article><p>{body}</p></article>", f"<div><p><a href=1>Home<p>{body}</div>",
+        f"<div><a href=1>Home <a href=2>News</a></div><p>{body}</p>",
+    ):
+        assert main_text.main_text(page).endswith(body.strip())
+    page = f"<article><p><a href=1>First link</a></p><p>{body}</p><ul><li><a href=2>An item</a></li></ul><p>end</p></article>"
+    assert main_text.main_text(page) == f"First link {body.strip()} An item end"
+
+
 def test_extract_table(spark):
     rows = [(k, None if k == 2 else f"u{k}", page) for k, (page, _) in enumerate(CASES)] + [(0, "u0", None), (None, "x", "<p>" + "long text " * 200_000)]
     df = spark.createDataFrame(rows, PAGES).withColumn("text", F.lit("clash")).withColumn("n_chars", F.lit("clash"))
