@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from foldwise.llm import bytetext as B
-from foldwise.llm.sampling import bounded_sample, held_out
+from foldwise.llm.sampling import held_out, sample_of_each
 
 WINDOW = 256
 WIDTHS = (2, 3, 4)
@@ -24,6 +24,8 @@ EMBEDDING = 6
 #: Bounds on the labelled texts the network is fitted on and on the windows taken from each.
 TRAIN_ROWS = 3_000
 TRAIN_WINDOWS = 4
+#: Texts of each language at least, where it has as many.
+LANGUAGE_ROWS = 50
 STEPS = 500
 UNKNOWN = "und"
 _LAST = max(WIDTHS)
@@ -142,10 +144,14 @@ def _train_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 
 
 def fit(docs: DataFrame, train_rows: int = TRAIN_ROWS) -> Network | None:
-    """Fit on at most about ``train_rows`` texts with a language that are not held out; None when there are none."""
+    """Fit on texts with a language that are not held out; None when there are none.
+
+    Above ``train_rows`` texts, each language gives an equal share of about so many, ``LANGUAGE_ROWS`` at least; a
+    language with fewer gives all, so that every language is learnt at every size.
+    """
     known = docs.select(*(F.col(c).cast(t).alias(c) for c, t in (("doc_id", "bigint"), ("text", "string"), ("lang", "string"))))
     known = known.where(F.col("lang").isNotNull() & (F.length("text") > 0) & F.col("doc_id").isNotNull() & ~held_out())
-    sample = bounded_sample(known, "doc_id", train_rows)
+    sample = sample_of_each(known, "lang", ("doc_id", "text"), train_rows, LANGUAGE_ROWS)
     found = sample.select("lang", "text").mapInArrow(_train_windows, "lang string, window binary").toArrow()
     if not len(found):
         return None

@@ -7,7 +7,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from foldwise.llm import language, quality
+from foldwise.llm import language, quality, sampling
 from foldwise.llm.sampling import bounded_sample, held_out
 
 DATA = "/root/testdata/sf0.01"
@@ -107,3 +107,16 @@ def test_machine_matches_all_pairs():
         want = machine.bias + sum(machine.linear[s[k]] * x[k] for k in at)
         want += sum(machine.factors[s[a]] @ machine.factors[s[b]] * x[a] * x[b] for i, a in enumerate(at) for b in at[i + 1 :])
         assert got[text] == pytest.approx(float(want), abs=1e-4)
+
+
+def test_rare_language_is_learnt_at_every_size(spark):
+    """A few texts among many are no matter of luck in the sample."""
+    rows = [(k, f"the and of text {k}", "en") for k in range(4000)] + [(k, f"der die das und {k}", "de") for k in range(9000, 9003)] + [(k, f"le la les et {k}", "fr") for k in range(9500, 9600)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    network = language.fit(docs, 200)
+    assert network.languages == ["de", "en", "fr"]
+    picked = sampling.sample_of_each(docs, "lang", ("doc_id", "text"), 200, 50).groupBy("lang").count().collect()
+    counts = {r["lang"]: r["count"] for r in picked}
+    assert counts["de"] == 3 and 30 < counts["en"] < 110 and 30 < counts["fr"] < 101
+    same = spark.createDataFrame([(1, "same", "en")] * 300 + [(2, "other", "de")] * 300, docs.schema)
+    assert {r.lang for r in sampling.sample_of_each(same, "lang", ("doc_id", "text"), 4, 1).distinct().collect()} == {"de", "en"}
