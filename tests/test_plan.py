@@ -141,8 +141,7 @@ def test_low_confidence(spark, tmp_path):
     assert got["proposed_moves"] == [] and got["skipped"]["clusters_low_confidence"] == ["0", "1"]
 
 
-def test_large_document_keeps_its_order_over_parts(spark, tmp_path, monkeypatch):
-    monkeypatch.setattr(P, "SINGLE_FILE_LINES", 0)
+def test_large_document_keeps_its_order_over_parts(spark, tmp_path):
     got = document(P.assemble(*many(spark, 12), PlanParameters()), tmp_path)
     assert [c["cluster_id"] for c in got["clusters"]] == list(range(12))
 
