@@ -5,7 +5,9 @@ links; lines of menus, adverts, forms and the like weigh nothing.  Weights are s
 within and outside of article and main elements apart; within them they count ``MARKED`` times.  The text surges where
 a window's sum rises above nothing, dives where it falls back.  Where the densest window lies in such an element, all
 stretches in these elements are kept, and others that are as dense as it is without the factor.  Where it lies outside, the
-stretches are kept whose densest window holds ``DENSE`` characters, or the densest there is.
+text from the first to the last stretch whose densest window holds ``DENSE`` characters, or the densest there is, is kept.
+
+Pages are read from left to right once, so broken markup takes no longer than whole markup of its length.
 """
 
 from __future__ import annotations
@@ -23,7 +25,8 @@ WIDTH = 3
 DENSE = 120
 #: How many times text in an article or main element counts.
 MARKED = 3
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*'|[\"'])*?)>", re.S)
+_OPEN = re.compile(r"<!--|<[!?]|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)")
+_STOP = re.compile(r"[>\"']")
 _RAW = ("script", "style", "noscript", "template", "svg", "iframe", "textarea", "select", "object", "math", "title")
 _ASIDE = frozenset(("nav", "footer", "aside", "form", "button", "dialog", "menu", "fieldset", "head"))
 _INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
@@ -47,6 +50,19 @@ def _marked(attributes: str) -> bool:
     return bool(_HIDDEN.search(attributes)) or any(_MARKS.search(" ".join(m.groups(""))) for m in _ATTRIBUTE.finditer(attributes))
 
 
+def _tag_end(page: str, at: int) -> int:
+    """The place of the ``>`` that ends a tag whose attributes begin at ``at``; there must be one.
+
+    A ``>`` between two equal quotes belongs to a value, unless no other one follows.
+    """
+    place = at
+    while found := _STOP.search(page, place):
+        if found[0] == ">":
+            return found.start()
+        place = page.find(found[0], found.end()) + 1 or found.end()
+    return page.find(">", at)
+
+
 def line_blocks(page: str) -> tuple[list[str], np.ndarray, np.ndarray]:
     """The non-empty lines of a page, the weight of each, and which lie in a marked article.
 
@@ -61,7 +77,17 @@ def line_blocks(page: str) -> tuple[list[str], np.ndarray, np.ndarray]:
     links = outer = 0
     aside: list[str] = []  # the open element that is left out and those of the same name within it
     at = 0
-    lowered = None
+    lowered = page.lower()
+    if len(lowered) != len(page):
+        lowered = page
+    last = page.rfind(">")
+    closings: dict[str, int] = {}
+
+    def closes(name: str, after: int) -> bool:
+        """Whether the element's end tag stands anywhere after a place."""
+        if name not in closings:
+            closings[name] = lowered.rfind(f"</{name}")
+        return closings[name] >= after
 
     def put(piece: str) -> None:
         nonlocal linked
@@ -83,32 +109,38 @@ def line_blocks(page: str) -> tuple[list[str], np.ndarray, np.ndarray]:
         linked = 0
 
     while True:
-        found = _TOKEN.search(page, at)
+        found = _OPEN.search(page, at)
         if found is None:
             put(page[at:])
             break
         put(page[at : found.start()])
-        at = found.end()
         name = found[2]
         if name is None:
+            end = page.find("-->" if found[0] == "<!--" else ">", found.end())
+            at = len(page) if end < 0 else end + len("-->" if found[0] == "<!--" else ">")
+            continue
+        if found.end() > last:  # no tag ends behind this place
+            put(found[0])
+            at = found.end()
             continue
+        end = _tag_end(page, found.end())
+        attributes = page[found.end() : end]
+        at = end + 1
         name = name.lower()
         closing = bool(found[1])
         if name in _RAW:
-            if not closing and not found[3].endswith("/"):
-                lowered = page.lower() if lowered is None else lowered
-                stop = lowered.find(f"</{name}", at) if len(lowered) == len(page) else page.find(f"</{name}", at)
-                if stop >= 0:
-                    end = page.find(">", stop)
+            if not closing and not attributes.endswith("/"):
+                if closes(name, at):
+                    end = page.find(">", lowered.find(f"</{name}", at))
                     at = len(page) if end < 0 else end + 1
                 elif name != "title":
                     at = len(page)
             continue
         if name == "a":
             links = 0 if closing else 1
-        if name in _INLINE and not (aside and name == aside[0]) and (closing or not _marked(found[3])):
+        if name in _INLINE and not (aside and name == aside[0]) and (closing or not _marked(attributes)):
             continue
-        if name in _INLINE and not aside and f"</{name}" not in page[at:]:
+        if name in _INLINE and not aside and not closes(name, at):
             continue
         end_line()
         if name in _VOID:
@@ -128,8 +160,8 @@ def line_blocks(page: str) -> tuple[list[str], np.ndarray, np.ndarray]:
             elif name in _OUTER and aside[0] in ("nav", "head", "header"):
                 aside.clear()  # an article never stands in these: they were left open
                 outer += 1
-        elif name in _ASIDE or (name == "header" and not outer) or (name not in ("html", "body", "main") and _marked(found[3])):
-            if not found[3].endswith("/"):
+        elif name in _ASIDE or (name == "header" and not outer) or (name not in ("html", "body", "main") and _marked(attributes)):
+            if not attributes.endswith("/"):
                 aside.append(name)
         elif name in _OUTER:
             outer += 1
@@ -157,7 +189,8 @@ def main_text(page: str | None) -> str:
         kept = [rows for dense, tag, rows in stretches if tag or dense >= marked]
     else:
         enough = min(DENSE, plain)
-        kept = [rows for dense, tag, rows in stretches if dense * (MARKED if tag else 1) >= enough]
+        good = [k for k, (dense, tag, _) in enumerate(stretches) if dense * (MARKED if tag else 1) >= enough]
+        kept = [rows for _, _, rows in stretches[good[0] : good[-1] + 1]]
     return " ".join(lines[k] for rows in kept for k in rows if weights[k] > 0)
 
 

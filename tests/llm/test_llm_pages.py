@@ -114,6 +114,45 @@ def test_index_over_many_blocks(spark, tmp_path, monkeypatch):
     assert all(records[k] == f"page {k} " * 30 for k in records)
 
 
+@pytest.mark.parametrize("page", ["<a " + '"' * 100_001, "<a " * 100_000, "<a '" * 50_001 + ">", "<title>" * 50_000, "<i class=ad>" * 30_000, "<!" * 100_000, "<a \"'" * 40_000 + "x"])
+def test_broken_markup_takes_linear_time(page):
+    import time
+
+    start = time.perf_counter()
+    main_text.main_text(f"<p>first {page}")
+    assert time.perf_counter() - start < 5
+
+
+def test_text_between_dense_stretches_stays():
+    body = "This sentence stands for the body of a page and is long enough to matter here. " * 3
+    links = "<div><a href=3>More</a></div>" * 4
+    page = f"<p>{body}</p>{links}<p>Short part</p>{links}<p>{body}</p>{links}<p>Short end</p>"
+    assert main_text.main_text(page) == f"{body.strip()} Short part {body.strip()}"
+
+
+def test_kept_stretches_against_brute_force():
+    """Windows summed one by one choose the same lines."""
+    import random
+
+    rng = random.Random(5)
+    for _ in range(300):
+        sizes = [rng.choice((0, 0, 0, 5, 30, 60, 200)) for _ in range(rng.randrange(1, 14))]
+        page = "".join(f"<p>{'w' * n}</p>" if n else "<p><a href=1>link</a></p>" for n in sizes)
+        sums = [sum(sizes[k : k + main_text.WIDTH]) for k in range(len(sizes))]
+        enough = min(main_text.DENSE, max(sums))
+        runs, at = [], 0
+        while at < len(sizes):
+            stop = at
+            while stop < len(sizes) and sums[stop] > 0:
+                stop += 1
+            if stop > at:
+                runs.append((max(sums[at:stop]), at, stop))
+            at = max(stop, at + 1)
+        good = [k for k, run in enumerate(runs) if run[0] >= enough]
+        want = [sizes[k] for run in (runs[good[0] : good[-1] + 1] if good else []) for k in range(run[1], run[2]) if sizes[k]]
+        assert main_text.main_text(page) == " ".join("w" * n for n in want)
+
+
 def test_token_scan(spark, tmp_path):
     documents = [[1, 2, 3], [], [4], [7] * 25, [], [], list(range(10, 31)), [50_000, 0x5050]]
     stream = b"".join(b"".join(t.to_bytes(2, "little") for t in d) + (50256).to_bytes(2, "little") for d in documents)
