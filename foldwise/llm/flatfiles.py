@@ -29,13 +29,33 @@ def _system(scheme_and_host: str):
     return pafs.FileSystem.from_uri(scheme_and_host)[0]
 
 
-def open_file(uri: str):
-    """A seekable input of a file named by a URI as Spark writes it."""
+def _place(uri: str) -> tuple[pafs.FileSystem, str]:
+    """The file system and the path of a file named by a URI as Spark writes it."""
     if uri.startswith("file:"):
         from urllib.parse import unquote
 
-        return pafs.LocalFileSystem().open_input_file(unquote("/" + uri[5:].lstrip("/")))
+        return pafs.LocalFileSystem(), unquote("/" + uri[5:].lstrip("/"))
     head, _, rest = uri.partition("://")
-    host = rest.split("/", 1)[0]
-    system, place = pafs.FileSystem.from_uri(uri) if head not in ("hdfs", "viewfs") else (_system(f"{head}://{host}/"), "/" + rest.split("/", 1)[1])
+    if head in ("hdfs", "viewfs"):
+        return _system(f"{head}://{rest.split('/', 1)[0]}/"), "/" + rest.split("/", 1)[1]
+    return pafs.FileSystem.from_uri(uri)
+
+
+def open_file(uri: str):
+    """A seekable input of a file named by a URI as Spark writes it."""
+    system, place = _place(uri)
     return system.open_input_file(place)
+
+
+def create_file(uri: str):
+    """An output stream to a new file."""
+    system, place = _place(uri)
+    return system.open_output_stream(place)
+
+
+def make_folder(spark: SparkSession, path: str) -> str:
+    """Make a folder; its URI with scheme and host."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    system = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    system.mkdirs(folder)
+    return system.makeQualified(folder).toString()

@@ -9,6 +9,8 @@ last one, which completes the documents that cross block borders.
 from __future__ import annotations
 
 import base64
+import contextlib
+import uuid
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
@@ -19,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from foldwise.llm import bytetext as B
-from foldwise.llm.flatfiles import files, open_file, write_bytes
+from foldwise.llm.flatfiles import create_file, files, make_folder, open_file, write_bytes
 from foldwise.session import scratch_path
 
 RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -100,20 +102,50 @@ def scan_token_files(spark: SparkSession, path: str, separator: int = SEPARATOR,
     return rows.select("path", (F.col("number") + F.col("at")).cast("bigint").alias("document"), first.alias("first_token"), (F.col("stop") - first).alias("n_tokens"))
 
 
-def count_tokens(docs: DataFrame, folder: str | None = None, ranks: str = RANKS) -> DataFrame:
-    """doc_id, n_tokens, first_token, file of every row of ``docs``, through token files below ``folder``.
+def _listed(name: str, folder: str, separator: int, width: int) -> Callable:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoding, end = _encoding(name), separator.to_bytes(width, "little")
+        file = f"{uuid.uuid4().hex}.tokens"  # one for each attempt of a task
+        number = 0
+        with contextlib.ExitStack() as opened:
+            out = None
+            for batch in batches:
+                out = out or opened.enter_context(create_file(f"{folder}/{file}"))
+                for a, b in B.row_slices(batch["text"]):
+                    texts = [t or "" for t in batch["text"].slice(a, b - a).to_pylist()]
+                    sizes = []
+                    for ids in encoding.encode_ordinary_batch(texts, num_threads=1):
+                        out.write(np.array(ids, f"<u{width}").tobytes() + end)
+                        sizes.append(len(ids))
+                    places = pa.array(range(number, number + len(sizes)), pa.int64())
+                    number += len(sizes)
+                    yield pa.RecordBatch.from_arrays(
+                        [batch["doc_id"].slice(a, b - a), pa.array([file] * len(sizes), pa.string()), places, pa.array(sizes, pa.int64())],
+                        names=["doc_id", "file", "document", "written"],
+                    )
+
+    return run
+
+
+def count_tokens(docs: DataFrame, folder: str | None = None, ranks: str = RANKS, separator: int = SEPARATOR, width: int = WIDTH) -> DataFrame:
+    """doc_id, n_tokens, first_token, file, document of every row of ``docs``, through token files below ``folder``.
 
-    Files carry no ids: a document is known by its file and its place there, which are its partition and its row in
-    the partition.  A place without a row, or a row without a place, raises.
+    Files carry no ids.  The task that writes a file also lists which document stands at which place of it, so both
+    come from one evaluation of ``docs``, in whatever order its rows arrive.  A repeated attempt writes a file of its
+    own; files of lost attempts are not listed and so never counted.  A listed document that the scan doesn't find, or
+    finds with another number of tokens than were written, raises.  Null and empty texts have no tokens; repeated
+    ids keep a row each; other columns are ignored; an empty table gives an empty table.
     """
-    folder = folder or scratch_path(docs.sparkSession, "tokens")
+    spark = docs.sparkSession
+    folder = make_folder(spark, folder or scratch_path(spark, "tokens"))
+    files_at = make_folder(spark, f"{folder}/files")
+    spark.sparkContext.addFile(ranks)
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    write_token_files(rows, folder, ranks)
-    at = F.monotonically_increasing_id()
-    ids = rows.select("doc_id", F.shiftright(at, 33).alias("part"), at.bitwiseAND(F.lit((1 << 33) - 1)).alias("document"), F.lit(True).alias("listed"))
-    scanned = scan_token_files(docs.sparkSession, folder).withColumn("part", F.regexp_extract("path", r"part-(\d+)", 1).cast("bigint"))
+    write = _listed(ranks.rsplit("/", 1)[-1], files_at, separator, width)
+    rows.mapInArrow(write, "doc_id bigint, file string, document bigint, written bigint").write.parquet(f"{folder}/places")
+    placed = spark.read.parquet(f"{folder}/places")
+    scanned = scan_token_files(spark, files_at, separator, width).select(F.regexp_extract("path", r"([^/]*)$", 1).alias("file"), "document", "first_token", "n_tokens")
     lost = F.raise_error(F.lit("token files and documents differ")).cast("bigint")
-    return ids.join(scanned, ["part", "document"], "full").select(
-        F.when(F.col("listed").isNull(), lost).otherwise(F.col("doc_id")).alias("doc_id"),
-        F.coalesce("n_tokens", lost).alias("n_tokens"), "first_token", F.regexp_extract("path", r"([^/]*)$", 1).alias("file"), "document",
+    return placed.join(scanned, ["file", "document"], "left").select(
+        "doc_id", F.when(F.col("n_tokens") == F.col("written"), F.col("n_tokens")).otherwise(lost).alias("n_tokens"), "first_token", "file", "document"
     )

@@ -185,6 +185,23 @@ def test_count_tokens(spark, tmp_path):
     assert token_files.count_tokens(df.limit(0), str(tmp_path / "e")).collect() == []
 
 
+@pytest.mark.parametrize("arrange", ["repartition", "order", "join", "lost attempt"])
+def test_each_document_gets_its_own_count(spark, tmp_path, arrange):
+    """Documents of k words, dealt in ways that may give another row order each time they are evaluated."""
+    docs = spark.range(300).selectExpr("id AS doc_id", "repeat(' word', CAST(id % 97 AS int)) AS text", "'x' AS file")
+    if arrange == "repartition":
+        docs = docs.repartition(3)
+    elif arrange == "order":
+        docs = docs.orderBy(F.rand())
+    elif arrange == "join":
+        docs = docs.join(spark.range(300).withColumnRenamed("id", "doc_id").repartition(5), "doc_id")
+    else:
+        (tmp_path / "t" / "files").mkdir(parents=True)
+        (tmp_path / "t" / "files" / "lost.tokens").write_bytes(b"\x01\x00" * 9)
+    got = token_files.count_tokens(docs, str(tmp_path / "t")).collect()
+    assert sorted((r.doc_id, r.n_tokens) for r in got) == [(k, k % 97) for k in range(300)]
+
+
 def test_flat_files_hold_the_bytes(spark, tmp_path):
     data = [bytes(range(256)), b"", b"\n\r\n", b"\xff\xfe"]
     flatfiles.write_bytes(spark.createDataFrame([(d,) for d in data], "value binary").coalesce(1), "value", b"\x00\xc4\n", str(tmp_path / "x"))
