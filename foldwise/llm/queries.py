@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foldwise.llm import decontaminate, fingerprint, language, licenses, main_text, near_dups, pieces, quality, token_files, warc
+from foldwise.llm import decontaminate, fingerprint, language, licenses, main_text, near_dups, pieces, quality, token_files, turns, warc
 from foldwise.session import configure
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -84,3 +84,10 @@ def op10_sentencepiece(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     decoded = pieces.round_trip(docs)
     return decoded.select("doc_id", F.size("ids").cast("bigint").alias("n_pieces"), "ids", "same")
+
+
+@query
+def op12_turn_repair(spark, sf_dir):
+    """Conversations after damage, and their cheapest repair."""
+    conversations = table(spark, sf_dir, "conversations")
+    return turns.repair(turns.damage(conversations), conversations)
