@@ -59,3 +59,9 @@ def make_folder(spark: SparkSession, path: str) -> str:
     system = folder.getFileSystem(spark._jsc.hadoopConfiguration())
     system.mkdirs(folder)
     return system.makeQualified(folder).toString()
+
+
+def remove_folder(spark: SparkSession, path: str) -> None:
+    """Remove a scratch folder that no later step reads."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)

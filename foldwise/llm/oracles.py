@@ -57,3 +57,25 @@ SELECT doc_id, path, coalesce(own.licence, nearest.licence) AS licence, similari
        CASE WHEN own.licence IS NULL THEN up END AS licence_dir
 FROM file LEFT JOIN own USING (doc_id) LEFT JOIN nearest USING (dir)
 """
+
+ORACLES["op13_phrases"] = rf"""
+WITH piece AS (
+    SELECT coalesce(lang, 'und') AS lang, unnest(list_transform(regexp_split_to_array({_LOWERED}, '[.,;:!?\x0A-\x0D]'), lambda p: regexp_extract_all(p, '[^\x20\x09]+'))) AS w FROM documents
+), run AS (SELECT lang, w, unnest([1, 2, 3, 4]) AS k FROM piece),
+phrase AS (SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS phrase FROM (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM run)),
+counted AS (SELECT lang, k, phrase, count(*) AS f FROM phrase GROUP BY ALL),
+total AS (SELECT lang, sum(f)::BIGINT AS n FROM counted WHERE k = 1 GROUP BY lang),
+candidate AS (SELECT lang, k, phrase, f AS a, string_split(phrase, ' ') AS w FROM counted WHERE k > 1 AND f >= 30),
+cut AS (SELECT lang, phrase, a, unnest(range(1, k)) AS c, w FROM candidate),
+part AS (SELECT lang, phrase, a, c, array_to_string(w[:c], ' ') AS x, array_to_string(w[c + 1:], ' ') AS y FROM cut),
+scored AS (
+    SELECT part.lang, part.phrase, a, c, p.f AS l, q.f AS r, (2000000::HUGEINT * a) // (p.f::HUGEINT + q.f) AS score
+    FROM part JOIN counted p ON p.lang = part.lang AND p.phrase = x JOIN counted q ON q.lang = part.lang AND q.phrase = y
+), weakest AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, c) = 1),
+inner_ AS (
+    SELECT lang, max(a) AS longer, array_to_string(w[i:i + m - 1], ' ') AS phrase
+    FROM (SELECT lang, a, w, m, unnest(range(1, len(w) - m + 2)) AS i FROM (SELECT lang, a, w, unnest(range(2, k)) AS m FROM candidate)) GROUP BY ALL
+), kept AS (SELECT weakest.* FROM weakest LEFT JOIN inner_ USING (lang, phrase) WHERE longer IS NULL OR 100::HUGEINT * longer < 80::HUGEINT * a)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score::BIGINT AS score
+FROM kept JOIN total USING (lang) QUALIFY rank <= 2000
+"""

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foldwise.llm import decontaminate, fingerprint, language, licenses, main_text, near_dups, pieces, quality, token_files, turns, warc
+from foldwise.llm import decontaminate, fingerprint, language, licenses, main_text, near_dups, phrases, pieces, quality, token_files, turns, warc
 from foldwise.session import configure
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -91,3 +91,9 @@ def op12_turn_repair(spark, sf_dir):
     """Conversations after damage, and their cheapest repair."""
     conversations = table(spark, sf_dir, "conversations")
     return turns.repair(turns.damage(conversations), conversations)
+
+
+@query
+def op13_phrases(spark, sf_dir):
+    """The best phrases of two to four words of each language."""
+    return phrases.collocations(table(spark, sf_dir, "documents"))
