@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foldwise.llm import decontaminate, fingerprint, language, licenses, main_text, near_dups, phrases, pieces, quality, token_files, turns, warc
+from foldwise.llm import decontaminate, fingerprint, hnsw, language, licenses, main_text, near_dups, phrases, pieces, quality, token_files, turns, warc
 from foldwise.session import configure
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -86,6 +86,12 @@ def op10_sentencepiece(spark, sf_dir):
     return decoded.select("doc_id", F.size("ids").cast("bigint").alias("n_pieces"), "ids", "same")
 
 
+@query
+def op11_neighbours(spark, sf_dir):
+    """The five nearest vectors of each row whose id is divisible by 50."""
+    return hnsw.nearest_neighbours(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 @query
 def op12_turn_repair(spark, sf_dir):
     """Conversations after damage, and their cheapest repair."""
