@@ -6,9 +6,11 @@ threshold, the longer one becomes active, in the middle of a cycle if need be, a
 in every shard.  The scans end when a whole cycle has passed since the last phrase reached the threshold.
 
 What is active is decided inside the scan by two bit fields of fixed size over phrase hashes: phrases that have
-reached the threshold, and those that did so within the last cycle.  A phrase is counted if both parts are in the
-first field and one is in the second.  The fields miss nothing; what they let through by chance is counted
-early, which does no harm: the table of counts remembers for each phrase the shards it was counted in, and no shard counts twice.
+reached the threshold, and those that had a whole cycle before.  A phrase is counted if both its parts are in the first
+field and not both in the second, hence in exactly as many scans as there are shards, beginning with the first
+that finds its parts in the field.  The fields miss nothing; what they let through by chance is counted earlier than
+need be, but over a whole cycle too.  So each count is complete one cycle after the phrase was first met; rare phrases leave the table of
+counts then.
 """
 
 from __future__ import annotations
@@ -26,7 +28,7 @@ from foldwise.session import materialise, scratch_path
 
 LONGEST = 4
 LEAST = 30
-SHARDS = 4
+SHARDS = 2
 #: A phrase is dropped if a longer one has at least so many hundredths of its occurrences.
 SHARE = 80
 MOST = 2000
@@ -127,7 +129,7 @@ def _scan(words: bool, fields, longest: int) -> Callable:
     """Count the active phrases of a shard; ``fields`` is a broadcast pair of bit fields, or None."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reached, recent = (np.frombuffer(x, np.uint8) for x in fields.value) if fields is not None else (None, None)
+        reached, before = (np.frombuffer(x, np.uint8) for x in fields.value) if fields is not None else (None, None)
 
         def choose(k: int, shorter: np.ndarray) -> np.ndarray | None:
             if k == 1:
@@ -137,7 +139,7 @@ def _scan(words: bool, fields, longest: int) -> Callable:
             old = _within(reached, shorter)
             chosen = old[:-1] & old[1:]
             at = np.flatnonzero(chosen)
-            chosen[at] = _within(recent, shorter[at]) | _within(recent, shorter[at + 1])
+            chosen[at] = ~(_within(before, shorter[at]) & _within(before, shorter[at + 1]))
             return chosen
 
         for batch in batches:
@@ -186,39 +188,33 @@ def count_phrases(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, s
     rows = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.col("text").cast("string").alias("text"))
     rows.where("text <> ''").withColumn("shard", (F.monotonically_increasing_id() % shards).cast("int")).write.partitionBy("shard").parquet(f"{folder}/shards")
     corpus = spark.read.schema("lang string, text string, shard int").parquet(f"{folder}/shards")
-    state = spark.createDataFrame([], "lang string, phrase string, k int, total bigint, mask bigint, reached int")
-    fields: list[np.ndarray | None] = []  # of the phrases that reached the threshold in each scan
+    state = spark.createDataFrame([], "lang string, phrase string, k int, total bigint, since int, reached int")
+    reached = [np.zeros(bits // 8, np.uint8)]  # the field before each scan
     words, step, last, path = None, 0, 0, None
     while step < shards or step <= last + shards:
-        known = [x for x in fields if x is not None]
-        recent = [x for x in fields[-shards:] if x is not None]
-        active = spark.sparkContext.broadcast((np.bitwise_or.reduce(known).tobytes(), np.bitwise_or.reduce(recent).tobytes())) if recent else None
+        active = spark.sparkContext.broadcast((reached[step].tobytes(), reached[max(0, step - shards)].tobytes())) if reached[step].any() else None
         found = corpus.where(F.col("shard") == step % shards).select("lang", "text").mapInArrow(_scan(step < shards, active, longest), _COUNTS)
         old_path, path = path, f"{folder}/counts-{step}"
-        _added(state, found, step, step % shards, least).write.parquet(path)
+        _added(state.where((F.col("since") > step - shards) | F.col("reached").isNotNull()), found, step, least).write.parquet(path)
         state = spark.read.schema(state.schema).parquet(path)
         if old_path:
             remove_folder(spark, old_path)
-        fields.append(_field(state.where((F.col("reached") == step) & (F.col("k") < longest)), bits))
-        if fields[-1] is not None:
+        fresh = _field(state.where((F.col("reached") == step) & (F.col("k") < longest)), bits)
+        reached.append(reached[step] if fresh is None else reached[step] | fresh)
+        if fresh is not None:
             last = step
-        if step == shards - 1:  # words are complete: rare ones are needed no longer
+        if step == shards - 1:
             words = materialise(state.where("k = 1").groupBy("lang").agg(F.sum("total").alias("n")))
-            state = state.where("k > 1 OR reached IS NOT NULL")
         step += 1
     remove_folder(spark, f"{folder}/shards")
     return state.where("reached IS NOT NULL").select("lang", "phrase", "k", F.col("total").alias("f")), words
 
 
-def _added(state: DataFrame, found: DataFrame, step: int, shard: int, least: int) -> DataFrame:
-    """The table of counts with those of one scan; a shard that a phrase was counted in before adds nothing."""
-    bit = 1 << shard
-    new = found.select("lang", "phrase", "k", F.lit(0).cast("bigint").alias("total"), F.lit(0).cast("bigint").alias("mask"), F.lit(None).cast("int").alias("reached"), "c")
-    both = state.withColumn("c", F.lit(0).cast("bigint")).unionByName(new)
-    both = both.groupBy("lang", "phrase", "k").agg(F.sum("total").alias("total"), F.bit_or("mask").alias("mask"), F.min("reached").alias("reached"), F.sum("c").alias("c"))
-    fresh = (F.col("c") > 0) & (F.col("mask").bitwiseAND(F.lit(bit)) == 0)
-    both = both.withColumns({"total": F.col("total") + F.when(fresh, F.col("c")).otherwise(0), "mask": F.when(F.col("c") > 0, F.col("mask").bitwiseOR(F.lit(bit))).otherwise(F.col("mask"))})
-    return both.select("lang", "phrase", "k", "total", "mask", F.coalesce("reached", F.when(F.col("total") >= least, F.lit(step))).alias("reached"))
+def _added(state: DataFrame, found: DataFrame, step: int, least: int) -> DataFrame:
+    """The table of counts with those of one scan: total, the scan that met a phrase first, the scan that brought it to the threshold."""
+    new = found.select("lang", "phrase", "k", F.col("c").alias("total"), F.lit(step).alias("since"), F.lit(None).cast("int").alias("reached"))
+    both = state.unionByName(new).groupBy("lang", "phrase", "k").agg(F.sum("total").alias("total"), F.min("since").alias("since"), F.min("reached").alias("reached"))
+    return both.withColumn("reached", F.coalesce("reached", F.when(F.col("total") >= least, F.lit(step))))
 
 
 def _joined(words: Column, start: Column | int, size: Column | int) -> Column:
