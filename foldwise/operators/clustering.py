@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from foldwise.functions.vectors import cosine_to_euclid
-from foldwise.operators.hierarchy import flat_clusters
+from foldwise.operators.hierarchy import SLICE_EDGES, flat_clusters
 from foldwise.operators.neighbours import copies_of, fold_copies
 from foldwise.operators.ordering import with_row_index
 from foldwise.operators.spanning import mutual_reachability_tree
@@ -36,11 +36,11 @@ def by_first_member(labels: DataFrame) -> DataFrame:
 
 def hdbscan(
     points: DataFrame, eps_cosine: float = 0.25, min_samples: int = 2, min_cluster_size: int = 2,
-    block_rows: int | None = None, limit: int = SINGLE_TASK_ROWS,
+    block_rows: int | None = None, limit: int = SINGLE_TASK_ROWS, slice_edges: int = SLICE_EDGES,
 ) -> DataFrame:
     """(pos, cluster_id) of rows (pos, vector); noise gets -1."""
     tree = mutual_reachability_tree(points, max(1, int(min_samples)), block_rows, limit)
-    labels = materialise(flat_clusters(tree, min_cluster_size, cosine_to_euclid(eps_cosine), limit))
+    labels = materialise(flat_clusters(tree, min_cluster_size, cosine_to_euclid(eps_cosine), min(limit, slice_edges)))
     numbered = by_first_member(labels)
     return points.select("pos").join(numbered, "pos", "left").fillna({"cluster_id": -1})
 

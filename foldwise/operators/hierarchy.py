@@ -1,18 +1,29 @@
 """Flat clusters from a spanning tree: condensed hierarchy, excess of mass, merge below a radius.
 
-The hierarchy is built upwards, edge by edge in ascending order.  A component is open as a cluster once
-it has ``min_cluster_size`` points; when two such components meet, both clusters are closed and a parent
-opens.  All a component needs to carry is its size, its open cluster, the sum over its points of the
-density at which they leave that cluster, and the best total stability of the clusters below.  That
-makes the walk divisible: edges are taken in slices of bounded size, in each slice the touched
-components form separate trees that are processed in parallel, and only these small states go on.
+The edges, numbered in ascending order, are the merges of a binary hierarchy: edge k joins two components into one
+that is named k.  A component is a cluster once it has ``min_cluster_size`` points; when two clusters meet, both
+are closed and the edge opens their parent.  All steps go over slices of consecutive edges, of bounded size, in parallel:
+
+1. Names.  The ends of each edge are renamed to the components that all earlier slices make of them.  Slices are halved
+   again and again: what the left half connects renames the ends in the right half, for all halves of a level at once.
+2. Merges.  Each slice is walked on its own and gives the two components that each of its edges joins.
+3. Sizes of the components that go from slice to slice, by pointer doubling over the slices.
+4. Condensing.  Each slice is walked again.  What happens to a component that was a cluster before is noted under that
+   component's name; the names are followed back to clusters by pointer doubling.
+5. Excess of mass.  Best stabilities rise from the leaves of the tree of clusters: nodes whose children are known are
+   settled (rake), and chains of nodes that wait for one child each are composed, as max(a, b + x) is closed under
+   composition (compress); within slices of clusters, and in rounds between them.
+6. Selection, by a walk up within slices and pointer doubling between them.
+
+Every step takes a number of rounds that grows with the logarithm of the number of slices.  Densities are whole
+numbers of 2⁻⁴⁰, so that sums don't depend on their order.
 
 Method: Campello, Moulavi and Sander 2013; merge below a radius: Malzer and Baum 2020.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from decimal import Decimal
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -20,268 +31,369 @@ from pyspark.sql import functions as F
 
 from foldwise.operators.ordering import with_row_index
 from foldwise.operators.spanning import components
-from foldwise.session import SINGLE_TASK_ROWS, materialise
+from foldwise.session import written
 
 #: Smallest distance taken as different from zero, so that densities stay finite.
 LEAST_DISTANCE = 1e-12
+#: Edges that one task walks.
+SLICE_EDGES = 1 << 16
 
-STATE = "comp bigint, size bigint, cluster bigint, mass double, below double"
 CLUSTERS = "cluster bigint, parent bigint, birth double, best double, chosen boolean"
-STEP = (
-    "kind string, comp bigint, target bigint, size bigint, cluster bigint, mass double, below double, "
-    "parent bigint, birth double, best double, chosen boolean"
-)
-_STEP_NAMES = [part.split()[0] for part in STEP.split(", ")]
+MERGES = "number bigint, slice bigint, x bigint, y bigint, weight double, root bigint"
+#: ``pointer``: a component's cluster, or the component whose cluster it has.  ``mass``: an amount for a cluster.
+#: ``closed``: a cluster, the one that follows it, and the weight and its size then.
+NOTES = "kind string, label bigint, via bigint, cluster bigint, amount decimal(38,0), parent bigint, birth double, size bigint"
+_EXACT = "decimal(38,0)"
 
 
-class _Component:
-    __slots__ = ("size", "cluster", "mass", "below", "waiting")
+def density(weight: float) -> int:
+    return int(2.0**40 / max(weight, LEAST_DISTANCE))
 
-    def __init__(self, comp, size=1, cluster=None, mass=0.0, below=None):
-        self.size, self.cluster, self.mass, self.below = size, cluster, mass, below
-        self.waiting = [comp] if cluster is None else []
 
+class _Names:
+    """Components within a slice, each under its current name."""
 
-def _walk(edges, states: dict[int, _Component], min_size: int):
-    """Merge along (a, b, weight, number) edges; returns closed clusters, joins, and the component map.
+    def __init__(self) -> None:
+        self.parent: dict[int, int] = {}
+        self.name: dict[int, int] = {}
 
-    A cluster is named by the number of the edge that opened it.
-    """
-    parent = {c: c for c in states}
-    closed: list[tuple] = []
-    joined: list[tuple[int, int]] = []
-
-    def find(x: int) -> int:
-        while parent[x] != x:
+    def find(self, x: int) -> int:
+        parent = self.parent
+        while parent.setdefault(x, x) != x:
             parent[x] = parent[parent[x]]
             x = parent[x]
         return x
 
-    def close(c: _Component, density: float, into: int, weight: float) -> float:
-        stability = c.mass - c.size * density
-        chosen = c.below is None or not c.below > stability
-        best = stability if chosen else c.below
-        closed.append((c.cluster, into, weight, best, chosen))
-        return best
-
-    for lo, hi, weight, number in edges:
-        a, b = find(lo), find(hi)
-        density = 1.0 / max(weight, LEAST_DISTANCE)
-        x, y = states[a], states[b]
-        if x.size < y.size or (x.size == y.size and b < a):
-            a, b, x, y = b, a, y, x
-        parent[b] = a
-        size = x.size + y.size
-        if y.cluster is not None:
-            x.below = close(x, density, number, weight) + close(y, density, number, weight)
-            x.cluster, x.mass = number, size * density
-        elif x.cluster is not None:
-            x.mass += y.size * density
-            joined.extend((w, x.cluster) for w in y.waiting)
-        else:
-            x.waiting += y.waiting
-            if size >= min_size:
-                x.cluster, x.mass, x.below = number, size * density, None
-                joined.extend((w, number) for w in x.waiting)
-                x.waiting = []
-        x.size = size
-        del states[b]
-    return closed, joined, {c: find(c) for c in parent}
-
-
-def _resolve(clusters: list[tuple], radius: float) -> dict[int, int | None]:
-    """Selected cluster at or above each cluster; None is noise.  Input as closed by ``_walk`` plus the root."""
-    up = {c: p for c, p, _, _, _ in clusters}
-    birth = {c: w for c, _, w, _, _ in clusters}
-    chosen = {c: f for c, _, _, _, f in clusters}
-    order = sorted(up, key=lambda c: -c)  # a parent is opened by a later edge, so it has a larger number
-    top: dict[int, int | None] = {}
-    lifted: dict[int, int | None] = {}
-    for c in order:
-        p = up[c]
-        if p is None:
-            top[c] = lifted[c] = None
-            continue
-        top[c] = top[p] if top[p] is not None else (c if chosen[c] else None)
-        lifted[c] = c if up[p] is None or birth[c] > radius else lifted[p]
-        if lifted[c] is None:
-            lifted[c] = c
-    final = {t if birth[t] >= radius else lifted[t] for t in top.values() if t is not None}
-    at: dict[int, int | None] = {}
-    for c in order:
-        p = up[c]
-        above = at[p] if p is not None else None
-        at[c] = above if above is not None else (c if c in final else None)
-    return at
-
-
-def _in_one_task(min_size: int, radius: float):
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        parts = list(frames)
-        if not parts:
-            return
-        table = pd.concat(parts).sort_values(["weight", "lo", "hi"], kind="stable")
-        edges = list(zip(table["lo"].tolist(), table["hi"].tolist(), table["weight"].tolist(), range(len(table))))
-        nodes = set(table["lo"].tolist()) | set(table["hi"].tolist())
-        states = {n: _Component(n) for n in nodes}
-        closed, joined, _ = _walk(edges, states, min_size)
-        closed += [(s.cluster, None, float("inf"), 0.0, False) for s in states.values() if s.cluster is not None]
-        at = _resolve(closed, radius)
-        pos = [n for n, c in joined if at[c] is not None]
-        yield pd.DataFrame({"pos": pos, "label": [at[c] for n, c in joined if at[c] is not None]}, dtype="int64")
+    def of(self, x: int) -> int:
+        root = self.find(x)
+        return self.name.get(root, root)
+
+    def join(self, x: int, y: int, name: int) -> None:
+        a, b = self.find(x), self.find(y)
+        self.parent[b] = a
+        self.name[a] = name
+
+
+def merges_of_slice(edges: pd.DataFrame) -> pd.DataFrame:
+    """The components x and y that each edge joins, and the name under which they leave the slice."""
+    edges = edges.sort_values("number")
+    names, x, y = _Names(), [], []
+    ends = list(zip(edges["a"].tolist(), edges["b"].tolist(), edges["number"].tolist()))
+    for a, b, number in ends:
+        x.append(names.of(a))
+        y.append(names.of(b))
+        names.join(a, b, number)
+    return pd.DataFrame(
+        {"number": edges["number"], "slice": edges["slice"], "x": x, "y": y, "weight": edges["weight"], "root": [names.of(a) for a, _, _ in ends]}
+    )
+
+
+def names_after_slice(edges: pd.DataFrame) -> pd.DataFrame:
+    """The name that a slice gives each component that it touches."""
+    edges = edges.sort_values("number")
+    names = _Names()
+    for a, b, number in zip(edges["a"].tolist(), edges["b"].tolist(), edges["number"].tolist()):
+        names.join(a, b, number)
+    touched = list(names.parent)
+    return pd.DataFrame({"label": touched, "name": [names.of(x) for x in touched]}, dtype="int64")
+
+
+def condense_slice(min_size: int, slice_edges: int):
+    """Notes on the merges of a slice; ``size_x`` and ``size_y`` are known for components of earlier slices."""
+
+    def run(merges: pd.DataFrame) -> pd.DataFrame:
+        merges = merges.sort_values("number")
+        first = int(merges["slice"].iloc[0]) * slice_edges
+        size: dict[int, int] = {}
+        cluster: dict[int, tuple[str, int]] = {}  # of components that are one: its name, or the earlier component it was
+        waiting: dict[int, list[int]] = {}  # what came into the slice and lies in a small component
+        mass: dict[tuple[str, int], int] = {}
+        notes: list[dict] = []
+
+        def of(ref: tuple[str, int]) -> dict:
+            return {ref[0]: ref[1]}
+
+        def enter(label: int, known: float) -> None:
+            if label < first and label not in size:
+                size[label] = 1 if label < 0 else int(known)
+                if size[label] >= min_size:
+                    cluster[label] = ("via", label)
+                else:
+                    waiting[label] = [label]
+
+        def settle(labels: list[int], ref: tuple[str, int]) -> None:
+            notes.extend({"kind": "pointer", "label": x} | of(ref) for x in labels)
+
+        for x, y, number, weight, known_x, known_y in zip(*(merges[c].tolist() for c in ("x", "y", "number", "weight", "size_x", "size_y"))):
+            enter(x, known_x)
+            enter(y, known_y)
+            total, dense, own = size[x] + size[y], density(weight), ("cluster", number)
+            if x in cluster and y in cluster:
+                notes.extend({"kind": "closed", "parent": number, "birth": weight, "size": size[z]} | of(cluster.pop(z)) for z in (x, y))
+                cluster[number], mass[own] = own, total * dense
+            elif x in cluster or y in cluster:
+                big, small = (x, y) if x in cluster else (y, x)
+                ref = cluster[number] = cluster.pop(big)
+                mass[ref] = mass.get(ref, 0) + size[small] * dense
+                settle(waiting.pop(small), ref)
+            else:
+                few, many = sorted((waiting.pop(x), waiting.pop(y)), key=len)
+                many += few
+                if total >= min_size:
+                    cluster[number], mass[own] = own, total * dense
+                    settle(many, own)
+                else:
+                    waiting[number] = many
+            size[number] = total
+        for label, ref in cluster.items():
+            if label >= first:
+                settle([label], ref)
+        for label, inside in waiting.items():
+            if label >= first:
+                notes.extend({"kind": "pointer", "label": x, "via": label} for x in inside)
+        notes.extend({"kind": "mass", "amount": Decimal(amount)} | of(ref) for ref, amount in mass.items())
+        out = pd.DataFrame(notes, columns=[part.split()[0] for part in NOTES.split(", ")])
+        for name in ("label", "via", "cluster", "parent", "size"):
+            out[name] = out[name].astype("Int64")
+        return out
 
     return run
 
 
-def _resolve_in_one_task(radius: float):
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rows = [
-            (int(r.cluster), None if pd.isna(r.parent) else int(r.parent), r.birth, r.best, r.chosen)
-            for pdf in frames
-            for r in pdf.itertuples()
-        ]
-        at = _resolve(rows, radius)
-        yield pd.DataFrame(list(at.items()), columns=["cluster", "at"], dtype="Int64")
+def _renamed_ends(edges: DataFrame, slices: int, slice_edges: int) -> DataFrame:
+    """Edges whose ends are the components made by all earlier slices."""
+    block = 1 << max(0, (slices - 1).bit_length()) >> 1
+    while block:
+        half = F.floor(F.col("slice") / block)
+        left = edges.where((half % 2 == 0) & ((half + 1) * block < slices))
+        if block == 1:
+            names = left.groupBy("slice").applyInPandas(names_after_slice, "label bigint, name bigint")
+        else:
+            found = components(left.select(F.col("a").alias("lo"), F.col("b").alias("hi"), "weight"), slice_edges)
+            found = _round(found.select(F.col("node").alias("label"), "component"))
+            last = left.join(found, left["a"] == found["label"]).groupBy("component").agg(F.max("number").alias("name"))
+            names = found.join(last, "component").select("label", "name")
+        names = _round(names)
+        right = edges.where(half % 2 == 1)
+        for end in ("a", "b"):
+            right = right.join(names.withColumnRenamed("label", end), end, "left").withColumn(end, F.coalesce("name", end)).drop("name")
+        edges = _round(edges.where(half % 2 == 0).unionByName(right))
+        block >>= 1
+    return edges
 
-    return run
 
+def _round(table: DataFrame) -> DataFrame:
+    """Fix the result of a round; unions of settled and open rows would add partitions with every round."""
+    return written(table.coalesce(int(table.sparkSession.conf.get("spark.sql.shuffle.partitions"))), "hierarchy")
 
-def _step(min_size: int):
-    """One slice of edges within one tree of components: rows of edges, states of the touched components."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        state_rows = pdf[pdf["row"] == "state"]
-        edge_rows = pdf[pdf["row"] == "edge"].sort_values("number")
-        states = {}
-        for r in state_rows.itertuples():
-            cluster = None if pd.isna(r.cluster) else int(r.cluster)
-            below = None if pd.isna(r.below) else float(r.below)
-            states[int(r.comp)] = _Component(int(r.comp), int(r.size), cluster, float(r.mass), below)
-        edges = zip(edge_rows["a"].tolist(), edge_rows["b"].tolist(), edge_rows["weight"].tolist(), edge_rows["number"].tolist())
-        edges = [(int(a), int(b), w, int(n)) for a, b, w, n in edges]
-        closed, joined, moved = _walk(edges, states, min_size)
-        rows: list[dict] = [{"kind": "closed", "cluster": c, "parent": p, "birth": w, "best": s, "chosen": f} for c, p, w, s, f in closed]
-        rows += [{"kind": "joined", "comp": c, "cluster": k} for c, k in joined]
-        rows += [{"kind": "moved", "comp": c, "target": t} for c, t in moved.items()]
-        rows += [
-            {"kind": "state", "comp": c, "size": s.size, "cluster": s.cluster, "mass": s.mass, "below": s.below}
-            for c, s in states.items()
-        ]
-        out = pd.DataFrame(rows, columns=_STEP_NAMES)
-        for name in ("comp", "target", "size", "cluster", "parent"):
-            out[name] = out[name].astype("Int64")
-        return out
 
-    return run
+def _is_open(table: DataFrame, column: str) -> bool:
+    return not table.where(F.col(column).isNotNull()).isEmpty()
 
 
-def _in_slices(tree: DataFrame, min_size: int, slice_edges: int) -> tuple[DataFrame, DataFrame]:
-    """(clusters, joined) over slices of at most ``slice_edges`` edges."""
-    spark = tree.sparkSession
-    edges = materialise(with_row_index(tree, "weight", "lo", "hi", index="number"))
-    total = edges.count()
-    nodes = edges.select(F.explode(F.array("lo", "hi")).alias("comp")).distinct()
-    states = materialise(
-        nodes.select(
-            "comp", F.lit(1).cast("bigint").alias("size"), F.lit(None).cast("bigint").alias("cluster"),
-            F.lit(0.0).alias("mass"), F.lit(None).cast("double").alias("below"),
-        )
+def _carried_sizes(merges: DataFrame, slice_edges: int) -> DataFrame:
+    """(node, total): the points of each component that leaves a slice.
+
+    A component's points are those that enter it in its own slice and those of the components that do.
+    """
+    incoming = merges.select("root", "slice", F.explode(F.array("x", "y")).alias("label")).where(F.col("label") < F.col("slice") * slice_edges)
+    up = incoming.where("label >= 0").select(F.col("label").alias("node"), F.col("root").alias("up"))
+    sizes = incoming.groupBy("root").agg(F.count_if(F.col("label") < 0).alias("total")).withColumnRenamed("root", "node").join(up, "node", "left")
+    sizes = _round(sizes.select("node", "total", "up"))
+    while _is_open(sizes, "up"):
+        # what lies up to 2^k slices below is complete; the same again below those adds what lies up to 2^(k+1) below
+        moving = sizes.where("up IS NOT NULL")
+        more = moving.groupBy("up").agg(F.sum("total").alias("more")).withColumnRenamed("up", "node")
+        further = moving.select("node", "up").join(sizes.select(F.col("node").alias("up"), F.col("up").alias("next")), "up").select("node", F.col("next").alias("up"))
+        sizes = _round(sizes.drop("up").join(more, "node", "left").select("node", (F.col("total") + F.coalesce("more", F.lit(0))).alias("total")).join(further, "node", "left"))
+    return sizes.select("node", "total")
+
+
+def _followed(pointers: DataFrame) -> DataFrame:
+    """(label, cluster): each component's cluster, along any number of pointers; null where there is none."""
+    while _is_open(pointers, "via"):
+        moving = pointers.where("via IS NOT NULL").select("label", "via")
+        to = pointers.select(F.col("label").alias("via"), F.col("via").alias("next"), "cluster")
+        pointers = _round(pointers.where("via IS NULL").unionByName(moving.join(to, "via", "left").select("label", F.col("next").alias("via"), "cluster")))
+    return pointers.select("label", "cluster")
+
+
+def condensed(tree: DataFrame, min_size: int, slice_edges: int = SLICE_EDGES) -> tuple[DataFrame, DataFrame]:
+    """(cluster, parent, birth, stability) and (pos, cluster) of a spanning tree (lo, hi, weight; positions aren't negative).
+
+    A cluster is named by the edge that opened it.  A root has no parent, and no point leaves it.
+    """
+    edges = _round(with_row_index(tree, "weight", "lo", "hi", index="number").withColumn("slice", F.floor(F.col("number") / slice_edges)))
+    slices = -(-edges.count() // slice_edges)
+    # a point's component is named by a negative number
+    edges = edges.select("number", "slice", "weight", (-1 - F.col("lo")).alias("a"), (-1 - F.col("hi")).alias("b"))
+    merges = _round(_renamed_ends(edges, slices, slice_edges).groupBy("slice").applyInPandas(merges_of_slice, MERGES))
+    if slices > 1:
+        sizes = _carried_sizes(merges, slice_edges)
+        for end in ("x", "y"):
+            merges = merges.join(sizes.select(F.col("node").alias(end), F.col("total").alias(f"size_{end}")), end, "left")
+    else:
+        merges = merges.withColumns({"size_x": F.lit(None).cast("bigint"), "size_y": F.lit(None).cast("bigint")})
+    notes = _round(merges.groupBy("slice").applyInPandas(condense_slice(min_size, slice_edges), NOTES))
+    pointers = _followed(notes.where("kind = 'pointer'").select("label", "via", "cluster"))
+    names = pointers.where("label >= 0").select(F.col("label").alias("via"), F.col("cluster").alias("named"))
+
+    def named(kind: str, *columns: str) -> DataFrame:
+        rows = notes.where(F.col("kind") == kind)
+        known = rows.where("via IS NULL").select("cluster", *columns)
+        return known.unionByName(rows.where("via IS NOT NULL").join(names, "via").select(F.col("named").alias("cluster"), *columns))
+
+    mass = named("mass", "amount").groupBy("cluster").agg(F.sum("amount").cast(_EXACT).alias("mass"))
+    closed = named("closed", "parent", "birth", "size")
+    dense = F.floor(F.lit(2.0**40) / F.greatest(F.col("birth"), F.lit(LEAST_DISTANCE))).cast(_EXACT)
+    stability = F.col("mass") - (F.col("size").cast("decimal(19,0)") * dense).cast(_EXACT)
+    clusters = mass.join(closed, "cluster", "left").select("cluster", "parent", F.coalesce("birth", F.lit(float("inf"))).alias("birth"), F.when(F.col("parent").isNotNull(), stability.cast(_EXACT)).alias("stability"))
+    return _round(clusters), pointers.where("label < 0 AND cluster IS NOT NULL").select((-1 - F.col("label")).alias("pos"), "cluster")
+
+
+_NODES = "cluster bigint, slice bigint, least decimal(38,0), left bigint, right bigint, best decimal(38,0), add decimal(38,0), down bigint"
+_COLUMNS = [part.split()[0] for part in _NODES.replace("(38,0)", "").split(", ")]
+
+
+def settle_slice(nodes: pd.DataFrame) -> pd.DataFrame:
+    """Rake and compress within a slice: all that can be known without other slices.  Children come before their parents."""
+    state: dict[int, tuple] = {}  # (best, None, None, None) or (None, least, add, down), or all None while it waits for two
+
+    def known(x) -> tuple:
+        return state.get(x, (None, None, None, None))
+
+    rows = []
+    nodes = nodes.sort_values("cluster").astype({c: "Int64" for c in ("left", "right", "down")})
+    for cluster, slice_, least, left, right, best, add, down in nodes[_COLUMNS].itertuples(index=False, name=None):
+        left, right, down, best, add = (None if pd.isna(x) else x for x in (left, right, down, best, add))
+        own = least
+        if best is None and down is None:
+            x, y = known(left)[0], known(right)[0]
+            if x is not None and y is not None:
+                best = max(least, x + y)
+            elif x is not None or y is not None:
+                add, down = (x, right) if x is not None else (y, left)
+        if best is None and down is not None:
+            below = known(down)
+            if below[0] is not None:
+                best = max(least, add + below[0])
+            elif below[3] is not None:
+                least, add, down = max(least, add + below[1]), add + below[2], below[3]
+        state[cluster] = (best, None, None, None) if best is not None else (None, least, add, down)
+        rows.append((cluster, slice_, own if best is not None else least, left, right, best, add, down))
+    out = pd.DataFrame(rows, columns=_COLUMNS)
+    return out.astype({c: "Int64" for c in ("left", "right", "down")})
+
+
+def _across_slices(nodes: DataFrame) -> DataFrame:
+    """One round of rake and compress between slices."""
+    known = nodes.select("cluster", "best", "least", "add", "down")
+    two = nodes.where("best IS NULL AND down IS NULL").drop("best", "add", "down")
+    for side in ("left", "right"):
+        two = two.join(known.select(F.col("cluster").alias(side), F.col("best").alias(f"best_{side}")), side)
+    settled = F.greatest("least", (F.col("best_left") + F.col("best_right")).cast(_EXACT))
+    two = two.withColumns({
+        "best": F.when(F.col("best_left").isNotNull() & F.col("best_right").isNotNull(), settled), "add": F.coalesce("best_left", "best_right"),
+        "down": F.when(F.col("best_left").isNull() & F.col("best_right").isNotNull(), F.col("left")).when(F.col("best_right").isNull() & F.col("best_left").isNotNull(), F.col("right")),
+    })
+    one = nodes.where("best IS NULL AND down IS NOT NULL").join(
+        known.select(F.col("cluster").alias("down"), F.col("best").alias("best_"), F.col("least").alias("least_"), F.col("add").alias("add_"), F.col("down").alias("down_")), "down"
     )
-    pending = nodes.select(F.col("comp").alias("pos"), "comp")
-    left = edges.select(F.col("lo").alias("a"), F.col("hi").alias("b"), "weight", "number")
-    clusters: list[DataFrame] = []
-    joined: list[DataFrame] = []
-    for start in range(0, total, slice_edges):
-        now = materialise(left.where(F.col("number") < start + slice_edges))
-        groups = components(now.select(F.col("a").alias("lo"), F.col("b").alias("hi"), "weight"), slice_edges)
-        groups = materialise(groups.select(F.col("node").alias("comp"), F.col("component").alias("tree")))
-        here = now.join(groups.withColumnRenamed("comp", "a"), "a").select(
-            "tree", F.lit("edge").alias("row"), "a", "b", "weight", "number",
-            *[F.lit(None).cast(t).alias(n) for n, t in (p.split() for p in STATE.split(", "))],
-        )
-        touched = states.join(groups, "comp").select(
-            "tree", F.lit("state").alias("row"),
-            *[F.lit(None).cast(t).alias(n) for n, t in (("a", "bigint"), ("b", "bigint"), ("weight", "double"), ("number", "bigint"))],
-            *[p.split()[0] for p in STATE.split(", ")],
-        )
-        result = materialise(here.unionByName(touched).groupBy("tree").applyInPandas(_step(min_size), STEP))
-        clusters.append(result.where("kind = 'closed'").select(*[p.split()[0] for p in CLUSTERS.split(", ")]))
-        entered = result.where("kind = 'joined'").select("comp", "cluster")
-        moved = result.where("kind = 'moved'").select("comp", "target")
-        joined.append(materialise(pending.join(entered, "comp").select("pos", "cluster")))
-        pending = materialise(
-            pending.join(entered, "comp", "left_anti").join(moved, "comp", "left").select(
-                "pos", F.coalesce("target", "comp").alias("comp")
-            )
-        )
-        states = materialise(
-            states.join(moved, "comp", "left_anti").unionByName(
-                result.where("kind = 'state'").select(*[p.split()[0] for p in STATE.split(", ")])
-            )
-        )
-        rest = left.where(F.col("number") >= start + slice_edges)
-        for end in ("a", "b"):
-            rest = rest.join(moved.select(F.col("comp").alias(end), F.col("target").alias(f"{end}_")), end, "left").withColumn(
-                end, F.coalesce(f"{end}_", end)
-            ).drop(f"{end}_")
-        left = materialise(rest.select("a", "b", "weight", "number"))
-    roots = states.where(F.col("cluster").isNotNull()).select(
-        "cluster", F.lit(None).cast("bigint").alias("parent"), F.lit(float("inf")).alias("birth"),
-        F.lit(0.0).alias("best"), F.lit(False).alias("chosen"),
+    chain = F.col("down_").isNotNull() & F.col("best_").isNull()
+    one = one.select(
+        "cluster", "slice", F.when(chain, F.greatest("least", (F.col("add") + F.col("least_")).cast(_EXACT))).otherwise(F.col("least")).alias("least"), "left", "right",
+        F.when(F.col("best_").isNotNull(), F.greatest("least", (F.col("add") + F.col("best_")).cast(_EXACT))).alias("best"),
+        F.when(chain, (F.col("add") + F.col("add_")).cast(_EXACT)).otherwise(F.col("add")).alias("add"), F.when(chain, F.col("down_")).otherwise(F.col("down")).alias("down"),
     )
-    from foldwise.operators.neighbours import union_all
-
-    every = union_all([*clusters, roots]) if clusters else roots
-    empty = spark.createDataFrame([], "pos bigint, cluster bigint")
-    return materialise(every), materialise(union_all([empty, *joined]))
+    return nodes.where("best IS NOT NULL").unionByName(two.select(_COLUMNS)).unionByName(one.select(_COLUMNS))
 
 
-def _highest_marked(clusters: DataFrame, mark: str) -> DataFrame:
-    """(cluster, at): the marked cluster nearest the root on each cluster's path upwards, or null.
+def best_stabilities(clusters: DataFrame, slice_edges: int = SLICE_EDGES) -> DataFrame:
+    """(cluster, best): the largest total stability of clusters at or below each cluster that exclude each other.
 
-    Pointer doubling: each round doubles the part of the path already seen.
+    Rake and compress over (cluster, parent, stability), in turn within slices and between them.  A node waits for two children, or
+    for the one ``down`` as max(least, add + best of down), or is settled.
     """
-    seen = materialise(clusters.select("cluster", F.col("parent").alias("up"), F.when(F.col(mark), F.col("cluster")).alias("at")))
-    while not seen.where(F.col("up").isNotNull()).isEmpty():
-        above = seen.select(F.col("cluster").alias("up"), F.col("up").alias("next"), F.col("at").alias("higher"))
-        seen = materialise(
-            seen.join(above, "up", "left").select("cluster", F.col("next").alias("up"), F.coalesce("higher", "at").alias("at"))
-        )
-    return seen.select("cluster", "at")
+    children = clusters.where("parent IS NOT NULL").groupBy(F.col("parent").alias("cluster")).agg(F.min("cluster").alias("left"), F.max("cluster").alias("right"))
+    none = F.lit(None)
+    own = F.coalesce("stability", F.lit(0)).cast(_EXACT)
+    nodes = clusters.join(children, "cluster", "left").select(
+        "cluster", F.floor(F.col("cluster") / slice_edges).alias("slice"), own.alias("least"), "left", "right",
+        F.when(F.col("left").isNull(), own).alias("best"), none.cast(_EXACT).alias("add"), none.cast("bigint").alias("down"),
+    )
+    nodes = _round(nodes.groupBy("slice").applyInPandas(settle_slice, _NODES))
+    while not nodes.where("best IS NULL").isEmpty():
+        nodes = _round(_across_slices(nodes).groupBy("slice").applyInPandas(settle_slice, _NODES))
+    return nodes.select("cluster", "best")
+
+
+def with_choice(clusters: DataFrame, slice_edges: int = SLICE_EDGES) -> DataFrame:
+    """Add ``best`` and ``chosen``: whether a cluster is at least as stable as the best of those below.  Roots never are."""
+    best = best_stabilities(clusters, slice_edges)
+    below = clusters.where("parent IS NOT NULL").join(best, "cluster").groupBy(F.col("parent").alias("cluster")).agg(F.sum("best").cast(_EXACT).alias("below"))
+    chosen = F.col("parent").isNotNull() & (F.col("below").isNull() | (F.col("below") <= F.col("stability")))
+    return clusters.join(best, "cluster").join(below, "cluster", "left").select("cluster", "parent", "birth", F.col("best").cast("double").alias("best"), F.coalesce(chosen, F.lit(False)).alias("chosen"))
+
+
+def _climb(highest: list[str], lowest: list[str]):
+    """Move the pointers of a slice up until they leave it; parents have larger names than their children."""
+    marks = highest + lowest
+
+    def run(nodes: pd.DataFrame) -> pd.DataFrame:
+        at: dict[int, list] = {}
+        for cluster, slice_, up, *own in nodes.sort_values("cluster", ascending=False)[["cluster", "slice", "up", *marks]].astype("Int64").itertuples(index=False, name=None):
+            own = [None if pd.isna(x) else x for x in own]
+            up = None if pd.isna(up) else up
+            if up in at:
+                above = at[up]
+                own = [x if (x is not None and (k >= len(highest) or y is None)) else y for k, (x, y) in enumerate(zip(own, above[2:]))]
+                up = above[1]
+            at[cluster] = [slice_, up, *own]
+        out = pd.DataFrame([(c, *row) for c, row in at.items()], columns=["cluster", "slice", "up", *marks])
+        return out.astype("Int64")
+
+    return run
 
 
-def _resolve_in_rounds(clusters: DataFrame, radius: float) -> DataFrame:
-    """(cluster, at) as ``_resolve``, by joins."""
+def _upwards(nodes: DataFrame, highest: list[str], lowest: list[str], slice_edges: int) -> DataFrame:
+    """For each node (cluster, parent, marks ...) the highest or the lowest marked one at or above it, or null.
+
+    Within slices in one walk, then by pointer doubling over the slices.
+    """
+    marked = [F.when(F.col(m), F.col("cluster")).alias(m) for m in highest + lowest]
+    rows = nodes.select("cluster", F.floor(F.col("cluster") / slice_edges).alias("slice"), F.col("parent").alias("up"), *marked)
+    schema = ", ".join(f"{c} bigint" for c in ("cluster", "slice", "up", *highest, *lowest))
+    seen = _round(rows.groupBy("slice").applyInPandas(_climb(highest, lowest), schema).drop("slice"))
+    while _is_open(seen, "up"):
+        above = seen.select(F.col("cluster").alias("up"), F.col("up").alias("next"), *[F.col(m).alias(f"above_{m}") for m in highest + lowest])
+        marks = [F.coalesce(f"above_{m}", m).alias(m) for m in highest] + [F.coalesce(m, f"above_{m}").alias(m) for m in lowest]
+        moved = seen.where("up IS NOT NULL").join(above, "up", "left").select("cluster", F.col("next").alias("up"), *marks)
+        seen = _round(seen.where("up IS NULL").unionByName(moved))
+    return seen.drop("up")
+
+
+def _resolve_in_rounds(clusters: DataFrame, radius: float, slice_edges: int = SLICE_EDGES) -> DataFrame:
+    """(cluster, at): the selected cluster at or above each one, or null.
+
+    Of the chosen clusters the highest on each path counts.  One born below the radius gives way to the first above it that is
+    born beyond the radius or lies directly below a root.
+    """
     roots = clusters.where(F.col("parent").isNull()).select(F.col("cluster").alias("parent"), F.lit(True).alias("under_root"))
-    facts = clusters.join(roots, "parent", "left").withColumn("under_root", F.coalesce("under_root", F.lit(False)))
-    top = _highest_marked(clusters, "chosen").where(F.col("at").isNotNull()).select(F.col("at").alias("cluster")).distinct()
-    # Rising from a cluster stops at the first one born above the radius, or below the root: cut the path there.
-    stops = facts.withColumn("stop", F.col("under_root") | (F.col("birth") > radius))
-    cut = stops.select("cluster", F.when(~F.col("stop"), F.col("parent")).alias("parent"), "stop")
-    lifted = _highest_marked(cut, "stop").select("cluster", F.col("at").alias("lifted"))
-    final = (
-        top.join(clusters.select("cluster", "birth"), "cluster")
-        .join(lifted, "cluster")
-        .select(F.when(F.col("birth") >= radius, F.col("cluster")).otherwise(F.col("lifted")).alias("cluster"))
-        .distinct()
-        .withColumn("final", F.lit(True))
-    )
+    facts = clusters.join(roots, "parent", "left").withColumn("stop", F.coalesce("under_root", F.lit(False)) | (F.col("birth") > radius) & F.col("parent").isNotNull())
+    seen = _upwards(facts, ["chosen"], ["stop"], slice_edges)
+    births = clusters.select(F.col("cluster").alias("chosen"), "birth")
+    lifts = seen.select(F.col("cluster").alias("chosen"), F.col("stop").alias("lifted"))
+    tops = seen.where("chosen IS NOT NULL").select("chosen").distinct().join(births, "chosen").join(lifts, "chosen")
+    final = tops.select(F.when(F.col("birth") >= radius, F.col("chosen")).otherwise(F.col("lifted")).alias("cluster")).distinct().withColumn("final", F.lit(True))
     marked = clusters.join(final, "cluster", "left").withColumn("final", F.coalesce("final", F.lit(False)))
-    return _highest_marked(marked, "final")
+    return _upwards(marked, ["final"], [], slice_edges).select("cluster", F.col("final").alias("at"))
 
 
-def flat_clusters(tree: DataFrame, min_cluster_size: int, radius: float, limit: int = SINGLE_TASK_ROWS) -> DataFrame:
+def flat_clusters(tree: DataFrame, min_cluster_size: int, radius: float, slice_edges: int = SLICE_EDGES) -> DataFrame:
     """(pos, label) of the clustered points of a spanning tree; the others are noise.
 
-    Labels are arbitrary names.  Small trees take one task; larger ones go slice by slice.
+    Labels are arbitrary names.
     """
-    size = max(2, int(min_cluster_size))
-    tree = materialise(tree)
-    if tree.count() <= limit:
-        return tree.coalesce(1).mapInPandas(_in_one_task(size, radius), "pos bigint, label bigint")
-    clusters, joined = _in_slices(tree, size, limit)
-    if clusters.count() <= limit:
-        at = clusters.coalesce(1).mapInPandas(_resolve_in_one_task(radius), "cluster bigint, at bigint")
-    else:
-        at = _resolve_in_rounds(clusters, radius)
-    return joined.join(at, "cluster").where(F.col("at").isNotNull()).select("pos", F.col("at").alias("label"))
+    clusters, points = condensed(tree, max(2, int(min_cluster_size)), slice_edges)
+    at = _resolve_in_rounds(_round(with_choice(clusters, slice_edges)), radius, slice_edges)
+    return points.join(at, "cluster").where(F.col("at").isNotNull()).select("pos", F.col("at").alias("label"))

@@ -73,3 +73,14 @@ def materialise(df: DataFrame) -> DataFrame:
     """Cut the lineage with a reliable checkpoint, so a lost executor cannot change row order or ids."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def written(df: DataFrame, name: str = "table") -> DataFrame:
+    """Cut the lineage with a table in the shared folder.
+
+    A checkpoint keeps the size that was estimated for its plan, which joins multiply; over rounds of joins the numbers
+    grow without bound.  A table has its true size, so joins of small ones are broadcast.
+    """
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -1,5 +1,6 @@
 import numpy as np
 import pytest
+import walk
 from pyspark.sql import functions as F
 
 from foldwise.functions.vectors import GRID, cosine_to_euclid
@@ -183,7 +184,7 @@ def test_hierarchy_against_brute_force(seed, eps, min_samples, min_size):
     lo, hi, weight = S.tree_of_matrix(w)
     import pandas as pd
 
-    run = H._in_one_task(min_size, cosine_to_euclid(eps))
+    run = walk.in_one_process(min_size, cosine_to_euclid(eps))
     out = list(run(iter([pd.DataFrame({"lo": lo, "hi": hi, "weight": weight})])))[0]
     labels = np.full(len(x), -1)
     labels[out["pos"]] = out["label"]
@@ -202,6 +203,101 @@ def test_hdbscan_routes_agree(spark, limit):
     assert firsts == sorted(firsts)
 
 
+@pytest.mark.parametrize("shape, slice_edges, min_size, radius", [("random", 9, 3, 0.6), ("random", 1000, 2, 0.0), ("chain", 16, 2, 0.0), ("star", 30, 5, 100.0), ("equal", 16, 3, 0.6)])
+def test_hierarchy_over_slices_against_the_walk(spark, shape, slice_edges, min_size, radius):
+    """Trees whose hierarchies are deep, flat, skewed or full of ties, cut into slices of several sizes."""
+    import pandas as pd
+
+    rng = np.random.default_rng(len(shape) * 10 + slice_edges)
+    n = 60
+    up = {"random": lambda k: int(rng.integers(k)), "chain": lambda k: k - 1, "star": lambda k: 0, "equal": lambda k: int(rng.integers(k))}[shape]
+    weight = {"chain": lambda k: k / 7, "equal": lambda k: float(rng.integers(1, 4))}.get(shape, lambda k: float(rng.uniform(0.01, 2)))
+    edges = pd.DataFrame([(up(k), k, weight(k)) for k in range(1, n)], columns=["lo", "hi", "weight"])
+    out = list(walk.in_one_process(min_size, radius)(iter([edges])))
+    want, got = np.full(n, -1), np.full(n, -1)
+    want[out[0]["pos"]] = out[0]["label"]
+    for r in H.flat_clusters(spark.createDataFrame(edges, S.EDGES).repartition(3), min_size, radius, slice_edges).collect():
+        got[r.pos] = r.label
+    same_partition(got, want)
+
+
+@pytest.mark.parametrize("seed", range(12))
+def test_slices_without_spark(seed):
+    """Names, merges and notes of slices, put together in a loop, against the walk."""
+    import pandas as pd
+
+    rng = np.random.default_rng(seed)
+    n, slice_edges, min_size = 80, int(rng.integers(1, 30)), int(rng.integers(2, 7))
+    edges = pd.DataFrame([(int(rng.integers(max(0, k - 5), k)), k, float(rng.integers(1, 50))) for k in range(1, n)], columns=["lo", "hi", "weight"])
+    edges = edges.sort_values(["weight", "lo", "hi"], kind="stable").reset_index(drop=True)
+    states = {k: walk.Component(k) for k in range(n)}
+    closed, joined, _ = walk.walk(list(zip(edges.lo, edges.hi, edges.weight, range(n - 1))), states, min_size)
+    table = pd.DataFrame({"number": range(n - 1), "slice": np.arange(n - 1) // slice_edges, "a": -1 - edges.lo, "b": -1 - edges.hi, "weight": edges.weight})
+    notes, sizes, names = [], {}, {}
+    for _, part in table.groupby("slice"):
+        part = part.assign(a=[names.get(x, x) for x in part.a], b=[names.get(x, x) for x in part.b])
+        merges = H.merges_of_slice(part)
+        known = lambda x: float(sizes[x]) if x in sizes else float("nan")
+        merges = merges.assign(size_x=[known(x) for x in merges.x], size_y=[known(x) for x in merges.y])
+        notes.append(H.condense_slice(min_size, slice_edges)(merges))
+        moved = dict(H.names_after_slice(part).itertuples(index=False))
+        names = {x: moved.get(y, y) for x, y in (names | {k: k for k in moved}).items()}
+        size = lambda x: 1 if x < 0 else sizes[x]
+        for row in merges.itertuples(index=False):
+            sizes[row.number] = size(row.x) + size(row.y)
+    notes = pd.concat(notes)
+    pointer = {r.label: r for r in notes[notes.kind == "pointer"].itertuples()}
+
+    def cluster_of(label):
+        while label in pointer:
+            r = pointer[label]
+            if not pd.isna(r.cluster):
+                return r.cluster
+            label = r.via
+        return None
+
+    assert {(-1 - x, cluster_of(x)) for x in pointer if x < 0 and cluster_of(x) is not None} == set(joined)
+    ref = lambda r: r.cluster if not pd.isna(r.cluster) else cluster_of(r.via)
+    assert sorted((ref(r), r.parent, r.birth) for r in notes[notes.kind == "closed"].itertuples()) == sorted((c, into, w) for c, into, w, _, _ in closed)
+    mass = {}
+    for r in notes[notes.kind == "mass"].itertuples():
+        mass[ref(r)] = mass.get(ref(r), 0) + int(r.amount)
+    stable = {ref(r): mass[ref(r)] - r.size * H.density(r.birth) for r in notes[notes.kind == "closed"].itertuples()}
+    leaves = set(stable) - {into for _, into, _, _, _ in closed}
+    assert all(stable[c] / 2.0**40 == pytest.approx(best, abs=1e-6) for c, _, _, best, _ in closed if c in leaves)
+
+
+def test_hierarchy_of_an_empty_tree(spark):
+    assert H.flat_clusters(spark.createDataFrame([], S.EDGES), 2, 0.1).collect() == []
+
+
+def test_best_stabilities_of_deep_and_wide_trees(spark):
+    """Rake and compress against recursion."""
+    from decimal import Decimal
+
+    rng = np.random.default_rng(2)
+    for deep in (True, False):
+        rows, todo, name = [], [(1000, None, 0)], 999
+        while todo and len(rows) < 61:
+            me, parent, depth = todo.pop()
+            rows.append((me, parent, None if parent is None else int(rng.integers(0, 50))))
+            if len(rows) + len(todo) < 60 and (not deep or name % 2 or depth < 40):
+                todo += [(name, me, depth + 1), (name - 1, me, depth + 1)] if not deep else [(name - 1, me, depth + 1), (name, me, depth + 1)]
+                name -= 2
+        rows += [(me, parent, int(rng.integers(0, 50))) for me, parent, _ in todo]
+        children = {}
+        for me, parent, _ in rows:
+            children.setdefault(parent, []).append(me)
+        own = {me: s or 0 for me, _, s in rows}
+
+        def best(me):
+            return max(own[me], sum(best(c) for c in children[me])) if me in children else own[me]
+
+        df = spark.createDataFrame([(m, p, None if s is None else Decimal(s)) for m, p, s in rows], "cluster bigint, parent bigint, stability decimal(38,0)")
+        for slice_edges in (1000, 7):
+            assert {r.cluster: int(r.best) for r in H.best_stabilities(df, slice_edges).collect()} == {me: best(me) for me in own}
+
+
 def test_contraction_by_rounds_alone(spark):
     rng = np.random.default_rng(3)
     edges = [(int(a), int(b), float(w)) for a, b, w in zip(*rng.integers(0, 40, (2, 60)), rng.integers(1, 9, 60)) if a != b]
@@ -225,8 +321,9 @@ def test_selection_by_rounds_agrees(spark):
         rows.append((c, up, birth, 0.0, bool(rng.random() < 0.4)))
     df = spark.createDataFrame(rows, H.CLUSTERS)
     for radius in (0.0, 3.0):
-        got = {r.cluster: r["at"] for r in H._resolve_in_rounds(df, radius).collect()}
-        assert got == H._resolve(rows, radius)
+        for slice_edges in (1000, 4):
+            got = {r.cluster: r["at"] for r in H._resolve_in_rounds(df, radius, slice_edges).collect()}
+            assert got == walk.resolve(rows, radius)
 
 
 def test_all_noise_falls_back_to_kmeans(spark):
