@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import json
 import os
+import uuid
 
+import pandas as pd
+import pyarrow.fs as fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -30,7 +33,9 @@ def duplicate_names(named: DataFrame) -> DataFrame:
 def write_conversation_files(named: DataFrame, output_dir: str, indent: int = 2) -> DataFrame:
     """Write one JSON document per row and return (path) of each; a repeated name is an error.
 
-    Tasks write their own rows through the cluster's file system, so nothing passes the driver.
+    Files appear under their names only when all are written.  Tasks write hidden files, each attempt of a task its own, and
+    list them; then the listed ones are renamed, also by tasks, which a repeated attempt finds done.  A job that fails or
+    repeats tasks leaves no partial file, and nothing passes the driver.  What lost attempts wrote is removed.
     """
     clash = duplicate_names(named).take(1)
     if clash:
@@ -40,20 +45,37 @@ def write_conversation_files(named: DataFrame, output_dir: str, indent: int = 2)
         if not named.sparkSession.sparkContext.master.startswith("local"):
             raise ValueError(f"name the file system of {target}: tasks would write to their own machines")
         target = os.path.abspath(target)
+    hidden = f"_writing-{uuid.uuid4().hex}"
 
     def write(batches):
-        import pandas as pd
-        import pyarrow.fs as fs
-
-        whole = target.startswith("file:/") and not target.startswith("file://")
-        system, root = fs.FileSystem.from_uri(target.replace("file:/", "file:///", 1) if whole else target)
-        system.create_dir(root, recursive=True)
+        system, root = _place(target)
+        folder = f"{root}/{hidden}/{uuid.uuid4().hex}"
+        system.create_dir(folder, recursive=True)
         for pdf in batches:
-            paths = []
             for name, raw in zip(pdf["file_name"], pdf["raw"]):
-                with system.open_output_stream(f"{root}/{name}") as out:
+                with system.open_output_stream(f"{folder}/{name}") as out:
                     out.write((json.dumps(json.loads(raw), ensure_ascii=False, indent=indent) + "\n").encode())
-                paths.append(f"{target}/{name}")
-            yield pd.DataFrame({"path": paths})
+            yield pd.DataFrame({"folder": folder.rsplit("/", 1)[1], "file_name": pdf["file_name"]})
+
+    def publish(batches):
+        system, root = _place(target)
+        for pdf in batches:
+            for folder, name in zip(pdf["folder"], pdf["file_name"]):
+                source, path = f"{root}/{hidden}/{folder}/{name}", f"{root}/{name}"
+                if system.get_file_info(source).type == fs.FileType.File:
+                    system.move(source, path)
+                elif system.get_file_info(path).type != fs.FileType.File:
+                    raise FileNotFoundError(source)
+            yield pd.DataFrame({"path": target + "/" + pdf["file_name"]})
+
+    listed = materialise(named.select("file_name", "raw").mapInPandas(write, "folder string, file_name string"))
+    done = materialise(listed.mapInPandas(publish, "path string"))
+    system, root = _place(target)
+    if system.get_file_info(f"{root}/{hidden}").type == fs.FileType.Directory:
+        system.delete_dir(f"{root}/{hidden}")
+    return done
+
 
-    return materialise(named.select("file_name", "raw").mapInPandas(write, "path string"))
+def _place(target: str) -> tuple[fs.FileSystem, str]:
+    whole = target.startswith("file:/") and not target.startswith("file://")
+    return fs.FileSystem.from_uri(target.replace("file:/", "file:///", 1) if whole else target)

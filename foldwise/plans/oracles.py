@@ -52,6 +52,7 @@ FILES = f"""{DOCS}, ranked AS (
 )"""
 
 ORACLES["scan_export_json"] = f"WITH {FILES} SELECT file_no, id, title, ord FROM ranked"
+ORACLES["scan_export_split"] = ORACLES["scan_export_json"]
 ORACLES["flatten_wrapped"] = ORACLES["scan_export_json"]
 ORACLES["scan_export_ndjson"] = f"WITH {DOCS} SELECT id, title, create_time FROM normal"
 ORACLES["flatten_container"] = f"""WITH {DOCS}, every AS (
@@ -87,6 +88,8 @@ ORACLES["dedup_latest"] = """WITH v AS (
   SELECT *, row_number() OVER (PARTITION BY id ORDER BY coalesce(update_time, 0) DESC, pos) AS rn, min(pos) OVER (PARTITION BY id) AS first FROM v
 ) SELECT first AS pos, id, title, update_time FROM r WHERE rn = 1"""
 
+ORACLES["incremental_latest"] = ORACLES["dedup_latest"]
+
 
 def excerpt(source: str, limit: int) -> str:
     """CTEs ending in ``excerpts(key, excerpt)`` from ``source(key, late, ts, ord, role, text)``."""
@@ -171,6 +174,12 @@ SELECT row_index, printf('%04d', row_index) || '-' ||
   CASE WHEN conv_id % 4 = 2 THEN printf('conversation-%04d', row_index) ELSE {_NAME} END || '.json' AS file_name
 FROM r"""
 
+ORACLES["split_file_contents"] = f"""WITH {DOCS}, r AS (SELECT *, row_number() OVER (ORDER BY conv_id, part) - 1 AS row_index FROM normal)
+SELECT printf('%04d', row_index) || '-' ||
+  CASE WHEN conv_id % 4 = 2 THEN printf('conversation-%04d', row_index) ELSE {_NAME} END || '.json' AS file_name,
+  id, title, create_time, update_time, project_id, true AS indented
+FROM r"""
+
 ORACLES["word_batches"] = f"""WITH RECURSIVE sized AS (
   SELECT doc_id AS pos, greatest(1, len({words('text')}))::BIGINT AS words, row_number() OVER (ORDER BY doc_id) AS i FROM documents
 ), walk AS (

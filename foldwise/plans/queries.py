@@ -16,8 +16,8 @@ from foldwise.operators import batching, clustering, cohesion, embedding, labels
 from foldwise.plans import move_plan as P
 from foldwise.plans import tables as D
 from foldwise.session import materialise, scratch_path
-from foldwise.sources import export, store, strict
-from foldwise.streaming import incremental
+from foldwise.sources import export, split_list, store, strict
+from foldwise.streaming import incremental, latest
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -48,6 +48,12 @@ def scan_export_json(spark, sf_dir):
     return _by_file(export.read_export(spark, D.write_documents(spark, sf_dir)))
 
 
+@query
+def scan_export_split(spark, sf_dir):
+    """The same documents, each read by as many tasks as it has splits."""
+    return _by_file(split_list.read_list(spark, D.write_documents(spark, sf_dir)))
+
+
 @query
 def scan_export_ndjson(spark, sf_dir):
     path = D.write_lines(spark, sf_dir)
@@ -176,16 +182,30 @@ def head_limit(spark, sf_dir):
     return normalize.head_limit(unfiled, 25).select("id", "title")
 
 
-@query
-def dedup_latest(spark, sf_dir):
+def _versions(spark, sf_dir) -> DataFrame:
     """Events as versions of their user: the value is the update time, so many versions tie."""
-    versions = D.table(spark, sf_dir, "events").select(
+    return D.table(spark, sf_dir, "events").select(
         F.col("event_id").alias("pos"),
         F.col("user_id").cast("string").alias("id"),
         F.concat_ws("-", "event_type", "event_id").alias("title"),
         F.expr("if(event_id % 4 = 0, null, floor(value / 100))").cast("double").alias("update_time"),
     )
-    return normalize.dedup_latest(versions)
+
+
+@query
+def dedup_latest(spark, sf_dir):
+    return normalize.dedup_latest(_versions(spark, sf_dir))
+
+
+@query
+def incremental_latest(spark, sf_dir):
+    """Three arrivals of versions: some, then newer and repeated ones, then all again, stale ones among them."""
+    folder, target = scratch_path(spark, "arrivals"), scratch_path(spark, "latest")
+    versions = _versions(spark, sf_dir)
+    for name, wanted in (("a", "pos % 3 = 1"), ("b", "pos % 3 < 2"), ("c", "true")):
+        versions.where(wanted).write.parquet(f"{folder}/{name}")
+        latest.keep_latest(latest.arriving(spark, folder, versions.schema), target, f"{target}-progress")
+    return latest.read_latest(spark, target)
 
 
 @query
@@ -522,6 +542,19 @@ def split_files(spark, sf_dir):
     return split.named_conversations(rows).select("row_index", "file_name")
 
 
+@query
+def split_file_contents(spark, sf_dir):
+    """The files that the splitter writes, read back."""
+    rows = D.conversations(spark, sf_dir).select(F.struct("conv_id", "part").alias("pos"), "raw")
+    target = scratch_path(spark, "split")
+    split.write_conversation_files(split.named_conversations(rows), target)
+    files = spark.read.text(target, wholetext=True).select(F.col("_metadata.file_name").alias("file_name"), F.col("value").alias("raw"))
+    lines = F.size(F.split("raw", "\n"))
+    found = normalize.normalize_chats(files.select(F.col("file_name").alias("pos"), "raw"))
+    wide = files.select("file_name", (lines > 3).alias("indented"))
+    return found.join(wide, F.col("pos") == F.col("file_name")).select("file_name", "id", "title", "create_time", "update_time", "project_id", "indented")
+
+
 # -- clustering ---------------------------------------------------------------------------------
 
 
