@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+import os
+from collections.abc import Callable
 from dataclasses import dataclass
 from typing import Any
 
@@ -11,17 +12,11 @@ from pyspark.sql import functions as F
 
 from foldwise.functions import text as T
 from foldwise.operators import batching, clustering, cohesion, embedding, labels, messages, normalize
-from foldwise.operators.neighbours import union_all
 from foldwise.operators.ordering import with_row_index
-from foldwise.session import configure, materialise
+from foldwise.session import configure, materialise, scratch_path
 from foldwise.sources import export, store
 
 
-
-#: Most groups in which new embeddings are requested and stored.
-MOST_GROUPS = 64
-
-
 @dataclass
 class PlanParameters:
     eps_cosine: float = 0.25
@@ -97,9 +92,9 @@ def embed_missing(
     texts = materialise(todo.withColumn("text", F.expr(T.embedding_text("title", "prompt_excerpt"))))
     if texts.isEmpty():
         return cached
-    found = [] if cached is None else [cached]
-    for made in embedded_groups(texts, parameters, make_embedder):
-        found.append(made)
+
+    def keep(made: DataFrame) -> None:
+        nonlocal store_path
         if store_path:
             try:
                 store.upsert(spark, store_path, texts.join(made, "id"))
@@ -108,26 +103,34 @@ def embed_missing(
                     raise
                 print(f"embedding store not written, going on without it: {error}")
                 store_path = None
-    return union_all(found)
+
+    made = embed_in_groups(texts, parameters, make_embedder, keep).select("id", "vector")
+    return made if cached is None else cached.unionByName(made)
 
 
-def embedded_groups(
-    texts: DataFrame, parameters: PlanParameters, make_embedder: Callable[[], embedding.Embedder]
-) -> Iterator[DataFrame]:
-    """(id, vector) of rows (pos, id, text), group after group of consecutive batches.
+def embed_in_groups(
+    texts: DataFrame, parameters: PlanParameters, make_embedder: Callable[[], embedding.Embedder],
+    keep: Callable[[DataFrame], None] | None = None,
+) -> DataFrame:
+    """(id, vector, group_id) of rows (pos, id, text), requested group after group of consecutive batches.
 
-    A group is requested only once the caller is done with the one before, so it can be stored first.  Each group
-    has ``embedding_batch_parallelism`` batches, or more where that would make over ``MOST_GROUPS`` groups; that
-    many requests are in flight at a time.
+    A group has ``embedding_batch_parallelism`` batches, which are in flight together.  ``keep`` gets a group's (id, vector)
+    before the next one is requested, so that a job that stops has lost one group at most.  Texts are dealt into a folder
+    for each group once; a group reads its own.
     """
-    batches = materialise(batching.word_batches(texts, parameters.embedding_batch_words, order=("pos",), keep=("id",)).select("id", "batch_id"))
-    count = batches.agg(F.coalesce(F.max("batch_id") + 1, F.lit(0)).alias("n")).first().n
-    size = max(parameters.embedding_batch_parallelism, -(-count // MOST_GROUPS))
-    grouped = batching.batch_groups(batches, size)
-    for group in range(-(-count // size)):
-        wanted = grouped.where(F.col("group_id") == group).select("id", "batch_id")
-        requests = texts.select("id", "text").join(wanted, "id")
-        yield materialise(embedding.embed_batches(requests, make_embedder, tasks=parameters.embedding_batch_parallelism))
+    spark = texts.sparkSession
+    requests, vectors = scratch_path(spark, "requests"), scratch_path(spark, "vectors")
+    batches = batching.word_batches(texts, parameters.embedding_batch_words, order=("pos",), keep=("id",)).select("id", "batch_id")
+    grouped = batching.batch_groups(batches, parameters.embedding_batch_parallelism)
+    dealt = texts.select("id", "text").join(grouped, "id")
+    dealt.repartition("group_id").write.partitionBy("group_id").parquet(requests)
+    count = spark.read.parquet(requests).agg(F.coalesce(F.max("group_id") + 1, F.lit(0)).alias("n")).first().n
+    for group in range(count):
+        rows = spark.read.schema("id string, text string, batch_id bigint").parquet(f"{requests}/group_id={group}")
+        embedding.embed_batches(rows, make_embedder, tasks=parameters.embedding_batch_parallelism).write.parquet(f"{vectors}/group_id={group}")
+        if keep:
+            keep(spark.read.schema("id string, vector array<float>").parquet(f"{vectors}/group_id={group}"))
+    return spark.read.schema("id string, vector array<float>, group_id bigint").parquet(vectors)
 
 
 def assemble(
@@ -175,7 +178,8 @@ def build_move_plan(
     """Read, deduplicate, set aside filed chats, embed, cluster, score and label."""
     p = parameters or PlanParameters()
     configure(spark)
-    every = materialise(chats_of_export(spark, export_path, layout))
+    source = os.path.realpath(export_path) if os.path.exists(export_path) else export_path
+    every = materialise(chats_of_export(spark, source, layout))
     filed, unfiled = normalize.split_filed(every)
     picked = normalize.head_limit(unfiled, p.limit)
     todo = materialise(normalize.with_excerpt(picked, p.conversation_word_limit))
@@ -183,14 +187,14 @@ def build_move_plan(
     numbered = with_row_index(todo.withColumnRenamed("pos", "at"), "at", index="pos").drop("at")
     chats = materialise(numbered)
     if chats.isEmpty():
-        return empty_plan(spark, filed, p, export_path, collection)
+        return empty_plan(spark, filed, p, source, collection)
     vectors = embed_missing(spark, chats, p, make_embedder, store_path)
     left = store.missing_vectors(chats, vectors).take(5)
     if left:
         raise RuntimeError(f"missing embeddings for chats: {[r.id for r in left]}")
     points = materialise(store.vectors_for_chats(chats.select("id", "pos"), vectors).select("pos", "vector"))
     assigned = clustering.cluster_points(points, p.eps_cosine, p.min_samples, p.min_cluster_size)
-    return assemble(chats, assigned, points, filed, p, make_labeller, export_path, collection)
+    return assemble(chats, assigned, points, filed, p, make_labeller, source, collection)
 
 
 def empty_plan(spark: SparkSession, filed: DataFrame, p: PlanParameters, source: str = "", collection: str = "chats") -> MovePlan:
@@ -284,12 +288,13 @@ def plan_lines(plan: MovePlan, generated_at: str | None = None) -> DataFrame:
     def comma(number):
         return F.when(number > 0, F.lit(",")).otherwise(F.lit(""))
 
+    # The keys of the document and their order.
     head = [
         "{",
         f'  "plan_generated_at": {_json_text(stamp)},',
         f'  "source": {_json_text({"type": "conversations_json", "path": plan.source})},',
         f'  "parameters": {_json_text(plan.parameters.shown())},',
-        f'  "collections": {_json_text({"collection": plan.collection})},',
+        f'  "collections": {_json_text({"qdrant_collection": plan.collection})},',
         '  "clusters": [',
     ]
     fields = (

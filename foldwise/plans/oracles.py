@@ -189,6 +189,7 @@ ORACLES["word_batches"] = f"""WITH RECURSIVE sized AS (
     CASE WHEN w.used + s.words > 512 OR w.used >= 512 THEN w.batch_id + 1 ELSE w.batch_id END
   FROM walk w JOIN sized s ON s.i = w.i + 1
 ) SELECT pos, words, batch_id, batch_id // 4 AS group_id FROM walk"""
+ORACLES["embed_groups"] = f"SELECT CAST(pos AS VARCHAR) AS id, batch_id // 100 AS group_id, 64 AS dim FROM ({ORACLES['word_batches']})"
 ORACLES["chunk_rows"] = "SELECT doc_id, (row_number() OVER (ORDER BY doc_id) - 1) // 96 AS chunk FROM documents"
 ORACLES["embed_hashed"] = f"SELECT CAST(doc_id AS VARCHAR) AS id, 64 AS dim, len({words('text')})::DOUBLE AS words FROM documents"
 ORACLES["incremental_fill"] = f"WITH {DOCS} SELECT id, title, 256 AS dim FROM normal WHERE project_id IS NULL"

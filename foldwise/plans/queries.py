@@ -384,6 +384,15 @@ def embed_hashed(spark, sf_dir):
     return made.select("id", F.size("vector").alias("dim"), F.expr("aggregate(vector, 0.0D, (s, x) -> s + x)").alias("words"))
 
 
+@query
+def embed_groups(spark, sf_dir):
+    """Vectors with the group they were requested in; a group's vectors are stored before the next is requested."""
+    docs = D.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("pos"), F.col("doc_id").cast("string").alias("id"), "text")
+    parameters = P.PlanParameters(embedding_batch_words=BATCH_WORDS, embedding_batch_parallelism=100)
+    made = P.embed_in_groups(docs, parameters, lambda: embedding.HashingEmbedder(64))
+    return made.select("id", "group_id", F.size("vector").alias("dim"))
+
+
 @query
 def incremental_fill(spark, sf_dir):
     """Two arrivals of export files; the second repeats the first, and nothing is embedded twice."""

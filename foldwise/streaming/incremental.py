@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from foldwise.functions import text as T
 from foldwise.operators import embedding, normalize
-from foldwise.plans.move_plan import PlanParameters, embedded_groups
+from foldwise.plans.move_plan import PlanParameters, embed_in_groups
 from foldwise.session import configure, materialise
 from foldwise.sources import export, store
 
@@ -27,8 +27,7 @@ def fill_step(
         return 0
     chats = normalize.with_excerpt(todo, parameters.conversation_word_limit)
     texts = materialise(chats.withColumn("text", F.expr(T.embedding_text("title", "prompt_excerpt"))))
-    for made in embedded_groups(texts, parameters, make_embedder):
-        store.upsert(spark, store_path, texts.join(made, "id"))
+    embed_in_groups(texts, parameters, make_embedder, lambda made: store.upsert(spark, store_path, texts.join(made, "id")))
     return added
 
 

@@ -146,6 +146,43 @@ def test_large_document_keeps_its_order_over_parts(spark, tmp_path):
     assert [c["cluster_id"] for c in got["clusters"]] == list(range(12))
 
 
+def test_keys_and_absolute_path_of_the_document(spark, tmp_path, monkeypatch):
+    monkeypatch.chdir(tmp_path)
+    path = export(tmp_path, [conversation(i, "Alpha") for i in range(3)])
+    relative = str(path)[len(str(tmp_path)) + 1 :]
+    plan = build_move_plan(spark, relative, make_embedder=Topics)
+    got = document(plan, tmp_path)
+    assert got["source"] == {"type": "conversations_json", "path": str(tmp_path / relative)} and list(got["collections"]) == ["qdrant_collection"]
+
+
+def test_a_stopped_job_asks_for_nothing_twice(spark, tmp_path):
+    """The model fails at one text; what was requested in groups before is stored, and only the rest is asked for again."""
+    asked, kept = tmp_path / "asked", str(tmp_path / "kept")
+    asked.mkdir()
+    fail = asked / "fail"
+    fail.touch()
+
+    class Failing(Topics):
+        def __call__(self, texts):
+            for text in texts:
+                if fail.exists() and text.split()[-1] == "9":
+                    raise ValueError("model is gone")
+                with (asked / f"text-{text.split()[-1]}").open("a") as f:
+                    f.write("x")
+            return super().__call__(texts)
+
+    items = [conversation(i, "Alpha") for i in range(12)]
+    p = PlanParameters(embedding_batch_words=4, embedding_batch_parallelism=2)
+    with pytest.raises(Exception):
+        build_move_plan(spark, export(tmp_path, items), p, make_embedder=Failing, store_path=kept)
+    stored = {r.id for r in store.read_store(spark, kept).collect()}
+    assert 0 < len(stored) < 12
+    fail.unlink()
+    plan = build_move_plan(spark, export(tmp_path, items), p, make_embedder=Failing, store_path=kept)
+    assert plan.members.count() + plan.singletons.count() == 12
+    assert all((asked / f"text-{k.rsplit('-', 1)[1]}").read_text() == "x" for k in stored)
+
+
 def test_parameters():
     p = PlanParameters(time_weight=3, min_samples=0, min_cluster_size=1, embedding_batch_words=-1, conversation_word_limit="oops")
     assert (p.time_weight, p.min_samples, p.min_cluster_size, p.embedding_batch_words, p.conversation_word_limit) == (1.0, 1, 2, 1, 250)
