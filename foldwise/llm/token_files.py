@@ -146,6 +146,7 @@ def count_tokens(docs: DataFrame, folder: str | None = None, ranks: str = RANKS,
     placed = spark.read.parquet(f"{folder}/places")
     scanned = scan_token_files(spark, files_at, separator, width).select(F.regexp_extract("path", r"([^/]*)$", 1).alias("file"), "document", "first_token", "n_tokens")
     lost = F.raise_error(F.lit("token files and documents differ")).cast("bigint")
-    return placed.join(scanned, ["file", "document"], "left").select(
+    # what the scan finds is far larger than the list of blocks it starts from, by which its size would be judged
+    return placed.join(scanned.hint("merge"), ["file", "document"], "left").select(
         "doc_id", F.when(F.col("n_tokens") == F.col("written"), F.col("n_tokens")).otherwise(lost).alias("n_tokens"), "first_token", "file", "document"
     )
