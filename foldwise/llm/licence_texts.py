@@ -1,5 +1,6 @@
 """Customary texts of licences: whole short licences, headers of several lines, and how long licence files begin."""
 
+# Customary wordings of licences.
 TEXTS = (
     (
         "AGPL-3.0",

@@ -7,8 +7,8 @@ bounds from the counts of template tokens then spare nearly all others.  Cosines
 tokens are not shuffled; only the licences found are.
 
 Besides, windows of a template's length slide over all tokens of a file, across lines: whole short licences, headers
-of several lines and the beginnings of long licence files, and the one-line statements within longer lines.  A file
-shorter than a template is one window.  SPDX tags are read as they stand.  Of all that is found the likest counts.
+of several lines and the beginnings of long licence files, where words of any English text count on neither side, and
+the one-line statements within longer lines.  A file shorter than a template is one window.  SPDX tags are read as they stand.  Of all that is found the likest counts.
 A file without a licence of its own takes that of the licence file in its nearest ancestor directory.
 """
 
@@ -45,9 +45,8 @@ TEMPLATES = (
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
 )
 TOKEN = "[a-z0-9]+"
-#: Tokens at which windows start in one piece of a file, and the share of a template's length from one start to the next.
+#: Tokens at which windows start in one piece of a file.
 STRETCH = 512
-STEP = 1 / 16
 SPDX = r"(?i)SPDX-License-Identifier:[ \t]*(\(*[a-z0-9][a-z0-9.+-]*\)*(?:[ \t]+(?:AND|OR|WITH)[ \t]+\(*[a-z0-9][a-z0-9.+-]*\)*)*)"
 # words of any English text, of no use in sparing texts
 _COMMON = frozenset("the of to in by or and for is a an at on as be any all not use you this that with from other have without which such will their they your under into above provided been more".split())
@@ -160,25 +159,42 @@ def fewest_tokens(own: dict[str, float], similarity: float) -> tuple[list[str],
     return sorted(telling), len(telling)
 
 
-def window_licences(files: DataFrame, templates=TEXTS, similarity: float = SIMILARITY) -> DataFrame:
+def needed_tokens(own: dict[str, float], similarity: float) -> list[str]:
+    """The heaviest tokens of a template, of which a window must hold at least one: the others' weight is too small."""
+    left, needed = sum(w * w for w in own.values()), []
+    for token, weight in sorted(own.items(), key=lambda x: (-x[1], x[0])):
+        if left < similarity**2 * 0.999:
+            break
+        needed.append(token)
+        left -= weight * weight
+    return sorted(needed)
+
+
+def window_licences(files: DataFrame, templates=TEXTS, similarity: float = SIMILARITY, ignored: frozenset[str] = frozenset()) -> DataFrame:
     """path, licence, similarity, line of the files with a window like a template: the likest, then the first by name and line.
 
-    A window is as long as the template, or ends with the file; it starts at a line's first token or at every
-    ``STEP`` of the template's length.  Pieces of a file overlap by the longest template, so no window is cut.
+    Tokens ``ignored`` count on neither side.  A window starts at any token and is as long as the template, or ends with the file.  Pieces of a file overlap by the
+    longest template, so no window is cut.  Running sums over a piece bound the cosine of every window by two
+    look-ups: a window is at least as long as if its tokens all differed.  Windows within the bound are measured.
     """
-    rare, rows, unknown = weights([(k, text) for k, (_, text) in enumerate(templates)])
+    told = [[t for t in re.findall(TOKEN, text.lower()) if t not in ignored] for _, text in templates]
+    rare, rows, unknown = weights([(k, " ".join(tokens)) for k, tokens in enumerate(told)])
     of: list[dict[str, float]] = [{} for _ in templates]
     for k, token, weight in rows:
         of[k][token] = weight
-    sizes = [len(re.findall(TOKEN, text.lower())) for _, text in templates]
+    sizes = [len(tokens) for tokens in told]
     listed = sorted(rare)
+
     def packed(values, kind: str = "string") -> Column:
         """A constant array as one literal; thousands of literals would slow the planning."""
         return F.split(F.lit(" ".join(str(v) for v in values)), " ").cast(f"array<{kind}>")
 
     def likely(held: str) -> list[Column]:
         """A cosine is at most the length of that part of the template whose tokens are held at all."""
-        return [F.size(F.array_intersect(packed(telling), F.col(held))) >= few for telling, few in (fewest_tokens(own, similarity) for own in of)]
+        return [
+            F.arrays_overlap(packed(needed_tokens(own, similarity)), F.col(held)) & (F.size(F.array_intersect(packed(telling), F.col(held))) >= few)
+            for own, (telling, few) in ((own, fewest_tokens(own, similarity)) for own in of)
+        ]
 
     def once(value: Column) -> Column:
         return F.explode(F.array(value))
@@ -186,8 +202,18 @@ def window_licences(files: DataFrame, templates=TEXTS, similarity: float = SIMIL
     def of_template(values: list) -> Column:
         return F.element_at(F.array(*(F.lit(v) for v in values)), F.col("k") + 1)
 
+    def running(values: Column) -> Column:
+        """Sums of the values before each place and of all."""
+        return F.aggregate(values, F.array(F.lit(0.0)), lambda s, x: F.concat(s, F.array(F.element_at(s, -1) + x)))
+
+    def known(ids: str, values: Column, otherwise: float) -> Column:
+        """The value of each token of the piece, by its place among the listed tokens that the piece holds."""
+        return F.transform(ids, lambda i: F.when(i > 0, F.element_at(values, F.greatest(i, F.lit(1)))).otherwise(otherwise))
+
     tokens = F.flatten(F.transform(F.split("text", r"\n"), lambda words, line: F.transform(
         F.regexp_extract_all(words, F.lit("(?i)([a-z0-9]+)"), F.lit(1)), lambda t: F.struct(F.lower(t).alias("token"), line.alias("line")))))
+    if ignored:
+        tokens = F.filter(tokens, lambda x: ~F.array_contains(packed(sorted(ignored)), x.token))
     starts = F.sequence(F.lit(0), F.size("tokens") - 1, F.lit(STRETCH))
     pieces = (
         files.where("path is not null and text is not null")
@@ -196,33 +222,36 @@ def window_licences(files: DataFrame, templates=TEXTS, similarity: float = SIMIL
         .select("path", once(tokens).alias("tokens")).where(F.size("tokens") > 1)
         .select("path", F.explode(F.transform(starts, lambda a: F.slice("tokens", a + 1, F.lit(STRETCH + max(sizes))))).alias("piece"))
         .select("path", "piece", once(F.array_intersect(packed(listed), F.col("piece.token"))).alias("held")).where(F.size("held") > 1)
+        .select("path", "piece", "held", once(F.filter(F.array(*(F.when(may, F.lit(k)) for k, may in enumerate(likely("held")))), lambda k: k.isNotNull())).alias("ks"))
+        .where(F.size("ks") > 0)
     )
-    near = pieces.select("path", "piece", F.explode(F.filter(F.array(*(F.when(may, F.lit(k)) for k, may in enumerate(likely("held")))), lambda k: k.isNotNull())).alias("k"))
     rarity = packed((rare[t] for t in listed), "double")
     weight = F.element_at(F.array(*(packed((own.get(t, 0.0) for t in listed), "double") for own in of)), F.col("k") + 1)
-    placed = F.transform("piece", lambda x: F.struct(x.token.alias("token"), x.line.alias("line"), F.array_position(packed(listed), x.token).cast("int").alias("place")))
-    known = near.select("path", "k", once(placed).alias("piece")).select("path", "k", "piece", weight.alias("weight"))
-    valued = F.transform("piece", lambda x: F.struct(
-        x.token.alias("token"), x.line.alias("line"),
-        F.when(x.place > 0, F.element_at(rarity, F.greatest(x.place, F.lit(1)))).otherwise(unknown).alias("rare"),
-        F.when(x.place > 0, F.element_at("weight", F.greatest(x.place, F.lit(1)))).otherwise(0.0).alias("weight"),
-    ))
-    size, step = of_template(sizes), of_template([max(1, int(n * STEP)) for n in sizes])
-    ready = known.select("path", "k", once(valued).alias("piece"), size.alias("size"), step.alias("step"))
+    valued = (
+        pieces.select(
+            "path", "piece", "ks", once(F.transform("held", lambda t: F.array_position(packed(listed), t).cast("int"))).alias("places"),
+            once(F.transform("piece", lambda x: F.array_position("held", x.token).cast("int"))).alias("ids"),
+        )
+        .select("path", "piece", "ks", "places", "ids", once(F.transform("places", lambda i: F.element_at(rarity, i))).alias("rares"))
+        .select("path", "piece", "ks", "places", "ids", "rares", once(known("ids", F.col("rares"), unknown)).alias("rare"))
+        .select("path", "piece", "ks", "places", "ids", "rare", once(running(F.transform("rare", lambda r: r * r))).alias("squares"))
+        .select("path", "piece", "places", "ids", "rare", "squares", F.explode("ks").alias("k"))
+        .select("path", "k", "piece", "ids", "rare", "squares", "places", once(weight).alias("all"))
+        .select("path", "k", "piece", "ids", "rare", "squares", once(F.transform("places", lambda i: F.element_at("all", i))).alias("weights"))
+        .select("path", "k", "piece", "rare", "squares", once(known("ids", F.col("weights"), 0.0)).alias("weight"), of_template(sizes).alias("size"))
+        .select("path", "k", "piece", "rare", "squares", "weight", "size", once(running(F.zip_with("rare", "weight", lambda r, w: r * w))).alias("dots"))
+    )
 
-    def first_of_line(p: Column) -> Column:
-        return F.element_at("piece", p + 1)["line"] != F.element_at("piece", F.greatest(p, F.lit(1)))["line"]
+    def within(p: Column, sums: str) -> Column:
+        return F.element_at(sums, F.least(p + F.col("size"), F.size("piece")) + 1) - F.element_at(sums, p + 1)
 
     def enough(p: Column) -> Column:
-        """A window is at least as long as if its tokens all differed."""
-        sums = F.aggregate(
-            F.slice("piece", p + 1, F.col("size")), F.struct(F.lit(0.0).alias("dot"), F.lit(0.0).alias("squares")),
-            lambda s, x: F.struct((s["dot"] + x.rare * x.weight).alias("dot"), (s.squares + x.rare * x.rare).alias("squares")),
-        )
-        return F.exists(F.array(sums), lambda s: s["dot"] * (1 + 1e-9) >= (similarity - 1e-6) * F.sqrt(s.squares))
+        return within(p, "dots") * (1 + 1e-9) + 1e-9 >= (similarity - 1e-6) * F.sqrt(F.greatest(within(p, "squares"), F.lit(0.0)))
 
     every = F.sequence(F.lit(0), F.least(F.size("piece"), F.lit(STRETCH)) - 1)
-    windows = ready.select("path", "k", "piece", "size", F.explode(F.filter(every, lambda p: ((p % F.col("step") == 0) | first_of_line(p)) & enough(p))).alias("p"))
+    row = F.transform("piece", lambda x, i: F.struct(x.token.alias("token"), x.line.alias("line"), F.get("rare", i).alias("rare"), F.get("weight", i).alias("weight")))
+    chosen = valued.select("path", "k", "piece", "rare", "weight", "size", once(F.filter(every, enough)).alias("ps")).where(F.size("ps") > 0)
+    windows = chosen.select("path", "k", "size", "ps", once(row).alias("piece")).select("path", "k", "size", "piece", F.explode("ps").alias("p"))
     # equal tokens stand together once sorted: the k-th of a run adds k*k - (k-1)*(k-1) = 2k - 1 squares
     cosine = F.aggregate(
         F.sort_array(F.slice("piece", F.col("p") + 1, F.col("size"))),
@@ -265,7 +294,7 @@ def likest(found: DataFrame) -> DataFrame:
 def stated_licences(files: DataFrame, templates=TEMPLATES, similarity: float = SIMILARITY) -> DataFrame:
     """path, licence, similarity, line of the files that state a licence by a line, by a window or by a tag."""
     found = own_licences(files, templates, similarity)
-    for more in (window_licences(files, templates, similarity), window_licences(files, TEXTS, similarity), tagged_licences(files)):
+    for more in (window_licences(files, templates, similarity), window_licences(files, TEXTS, similarity, _COMMON), tagged_licences(files)):
         found = found.unionByName(more)
     return likest(found)
 
@@ -280,26 +309,28 @@ def scan(files: DataFrame, licence_file: Column | None = None, templates=TEMPLAT
 
     origin is own, inherited or none.  ``licence_file`` tells which files license their directory (by name unless
     given; it may use the column own_line, the line of the file's own licence).  Of several the likest counts, then
-    the first by licence name.  A null path has no licence; repeated rows get equal results.
+    the first by licence name.  A null path has no licence; repeated rows get equal results; of different texts under one path the
+    likest licence counts for all its rows.  Columns of ``files`` named like those returned, or own_line, are replaced; others
+    may have any name.
     """
     kept = [c for c in files.columns if c not in ("licence", "similarity", "origin", "licence_dir", "own_line")]
-    files = files.select(*kept)
+    rows = files.select(F.struct(*kept).alias("row"), "path", directory("path").alias("dir"))
     own = materialise(stated_licences(files.select("path", "text"), templates, similarity).withColumnRenamed("line", "own_line"))
     flag = licence_file if licence_file is not None else F.col("path").rlike(LICENCE_FILE)
     licensed = own.where(flag).withColumn("dir", directory("path"))
     by_dir = licensed.groupBy("dir").agg(F.min(F.struct((-F.col("similarity")).alias("minus"), "licence")).alias("best"))
     by_dir = by_dir.select(F.col("dir").alias("up"), F.col("best.licence").alias("dir_licence"))
     # inheritance is settled once for each directory; an ancestor meets the directories below it, not their files
-    dirs = files.where("path is not null").select(directory("path").alias("dir")).distinct()
+    dirs = rows.where("path is not null").select("dir").distinct()
     parts = F.split("dir", "/")
     ups = F.transform(F.sequence(F.lit(0), F.size(parts)), lambda k: F.array_join(F.slice(parts, F.lit(1), k), "/"))
     above = dirs.select("dir", F.explode(F.array_distinct(F.concat(ups, F.array("dir")))).alias("up"))
     nearest = above.join(by_dir, "up").groupBy("dir").agg(F.max(F.struct(F.length("up").alias("depth"), "up", "dir_licence")).alias("best"))
     nearest = nearest.select("dir", F.col("best.up").alias("licence_dir"), F.col("best.dir_licence").alias("dir_licence"))
-    joined = files.withColumn("dir", directory("path")).join(own, "path", "left").join(nearest, "dir", "left")
+    joined = rows.join(own, "path", "left").join(nearest, "dir", "left")
     mine = F.col("licence").isNotNull()
     origin = F.when(mine, "own").when(F.col("dir_licence").isNotNull(), "inherited").otherwise("none")
     return joined.select(
-        *kept, F.coalesce("licence", "dir_licence").alias("licence"), "similarity", origin.alias("origin"),
+        *[F.col("row").getField(c).alias(c) for c in kept], F.coalesce("licence", "dir_licence").alias("licence"), "similarity", origin.alias("origin"),
         F.when(~mine & F.col("dir_licence").isNotNull(), F.col("licence_dir")).alias("licence_dir"),
     )

@@ -89,6 +89,23 @@ def test_nearest_ancestor(spark):
     assert licenses.scan(df.limit(0)).collect() == []
 
 
+def test_clashing_columns_repeated_paths_ties_and_long_texts(spark):
+    apache, mit = "Licensed under the Apache License, Version 2.0.", "Released under the MIT License."
+    rows = [
+        ("a/x", mit), ("a/x", mit), ("b/x", "nothing"), ("b/x", mit), ("c/LICENSE", f"{mit}\n{apache}"), ("c/LICENCE", apache), ("c/y", "word " * 60_000),
+        ("d/z", "word " * 60_000 + mit),
+    ]
+    names = ("dir", "dir_licence", "up", "row", "best", "k", "piece", "own_line", "origin", "similarity")
+    df = spark.createDataFrame(rows, "path string, text string").withColumns({c: F.lit(f"clash {c}") for c in names})
+    got = licenses.scan(df).collect()
+    assert len(got) == len(rows) and all(r["dir"] == "clash dir" and r.dir_licence == "clash dir_licence" for r in got)
+    found = {(r.path, r.text[:9]): (r.licence, r.origin, r.licence_dir) for r in got}
+    assert found["a/x", mit[:9]] == found["b/x", "nothing"] == found["b/x", mit[:9]] == ("MIT", "own", None)
+    # of two licences that are equally like, the first by name
+    assert found["c/LICENSE", mit[:9]][0] == "Apache-2.0" and found["c/y", "word word"] == ("Apache-2.0", "inherited", "c")
+    assert found["d/z", "word word"] == ("MIT", "own", None)
+
+
 def test_every_template_is_its_own_best(spark):
     rows = [(f"d{k}/f{k}", f"x\n// {text.upper()}\nlong " * 3) for k, (_, text) in enumerate(licenses.TEMPLATES)]
     got = {r.path: r.licence for r in licenses.own_licences(spark.createDataFrame(rows, "path string, text string")).collect()}
