@@ -315,3 +315,4 @@ SELECT vec_id AS pos, coalesce(cluster_id, -1) AS cluster_id FROM embeddings LEF
 ORACLES["hdbscan_planted"] = """WITH firsts AS (SELECT label, min(vec_id) AS first FROM embeddings GROUP BY label),
 numbered AS (SELECT label, row_number() OVER (ORDER BY first) - 1 AS cluster_id FROM firsts)
 SELECT vec_id AS pos, cluster_id FROM embeddings JOIN numbered USING (label)"""
+ORACLES["hdbscan_planted_slices"] = ORACLES["hdbscan_planted"]

@@ -609,6 +609,12 @@ def hdbscan_clusters(spark, sf_dir):
     return clustering.hdbscan(D.vectors(spark, sf_dir), 0.0, 2, 2, BLOCK_ROWS)
 
 
+@query
+def hdbscan_planted_slices(spark, sf_dir):
+    """The planted clusters again, their hierarchy condensed over slices of few edges."""
+    return clustering.hdbscan(D.planted(spark, sf_dir), 0.25, 2, 2, BLOCK_ROWS, slice_edges=BLOCK_ROWS)
+
+
 @query
 def hdbscan_planted(spark, sf_dir):
     """Planted labels must come back as clusters when splits below the radius are merged."""
