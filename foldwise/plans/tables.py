@@ -98,8 +98,9 @@ def conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
     def member(name: str, value: str) -> str:
+        """A member of an object; null when its value is, so that ``concat_ws`` leaves no empty place between commas."""
         packed = f"to_json(named_struct('{name}', {value}))"
-        return f"substring({packed}, 2, length({packed}) - 2)"
+        return f"nullif(substring({packed}, 2, length({packed}) - 2), '')"
 
     inner = member("conversation", "named_struct('id', name, 'title', title)")
     named = (

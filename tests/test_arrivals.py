@@ -2,6 +2,7 @@
 
 import json
 import random
+from datetime import datetime
 
 import pytest
 from oracle import differences
@@ -103,3 +104,13 @@ def test_a_failing_job_leaves_no_file(spark, tmp_path):
     paths = {r.path for r in split.write_conversation_files(good, str(tmp_path / "out")).collect()}
     assert paths == {str(p) for p in (tmp_path / "out").glob("*.json")} and len(paths) == 59
     assert all(json.loads(p.read_text())["id"] == int(p.name[:4]) for p in (tmp_path / "out").glob("*.json"))
+
+
+def test_chats_without_times_are_written_too(spark, tmp_path):
+    turns = [(c, t, ("user", "assistant")[t % 2], f"word{c} more {t}") for c in range(24) for t in range(3)]
+    spark.createDataFrame(turns, "conv_id bigint, turn bigint, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    times = [(c, datetime(2024, 1, 1 + c) if c % 2 else None) for c in range(12)]
+    spark.createDataFrame(times, "event_id bigint, ts timestamp").write.parquet(f"{tmp_path}/events.parquet")
+    found = {r.id: r for r in QUERIES["split_file_contents"](spark, str(tmp_path)).collect()}
+    assert sorted(found, key=int) == [str(c) for c in range(24)] and all(r.title.startswith(f"word{c} ") for c, r in found.items())
+    assert {int(c) for c, r in found.items() if r.create_time is not None} == {1, 3, 5, 7, 9, 11}
