@@ -5,7 +5,8 @@ that is named k.  A component is a cluster once it has ``min_cluster_size`` poin
 are closed and the edge opens their parent.  All steps go over slices of consecutive edges, of bounded size, in parallel:
 
 1. Names.  The ends of each edge are renamed to the components that all earlier slices make of them.  Slices are halved
-   again and again: what the left half connects renames the ends in the right half, for all halves of a level at once.
+   again and again: what the left half connects renames the ends in the right half, for all halves of a level at once, one
+   task for each half of at most ``TASK_EDGES`` edges.
 2. Merges.  Each slice is walked on its own and gives the two components that each of its edges joins.
 3. Sizes of the components that go from slice to slice, by pointer doubling over the slices.
 4. Condensing.  Each slice is walked again.  What happens to a component that was a cluster before is noted under that
@@ -31,12 +32,14 @@ from pyspark.sql import functions as F
 
 from foldwise.operators.ordering import with_row_index
 from foldwise.operators.spanning import components
-from foldwise.session import written
+from foldwise.session import SINGLE_TASK_ROWS, written
 
 #: Smallest distance taken as different from zero, so that densities stay finite.
 LEAST_DISTANCE = 1e-12
 #: Edges that one task walks.
 SLICE_EDGES = 1 << 16
+#: Edges of consecutive slices whose names one task finds, where slices are smaller.  Halves beyond that take rounds of contraction.
+TASK_EDGES = SINGLE_TASK_ROWS
 
 CLUSTERS = "cluster bigint, parent bigint, birth double, best double, chosen boolean"
 MERGES = "number bigint, slice bigint, x bigint, y bigint, weight double, root bigint"
@@ -166,10 +169,10 @@ def _renamed_ends(edges: DataFrame, slices: int, slice_edges: int) -> DataFrame:
     while block:
         half = F.floor(F.col("slice") / block)
         left = edges.where((half % 2 == 0) & ((half + 1) * block < slices))
-        if block == 1:
-            names = left.groupBy("slice").applyInPandas(names_after_slice, "label bigint, name bigint")
+        if block == 1 or block * slice_edges <= TASK_EDGES:
+            names = left.groupBy(half.alias("half")).applyInPandas(names_after_slice, "label bigint, name bigint")
         else:
-            found = components(left.select(F.col("a").alias("lo"), F.col("b").alias("hi"), "weight"), slice_edges)
+            found = components(left.select(F.col("a").alias("lo"), F.col("b").alias("hi"), "weight"), max(slice_edges, TASK_EDGES))
             found = _round(found.select(F.col("node").alias("label"), "component"))
             last = left.join(found, left["a"] == found["label"]).groupBy("component").agg(F.max("number").alias("name"))
             names = found.join(last, "component").select("label", "name")
