@@ -1,11 +1,11 @@
 """Exact nearest neighbours and core distances between unit vectors.
 
 Identical vectors are first folded into one point with a multiplicity, so a crowd of copies costs one
-row.  Points are then assigned to the nearest of a bounded set of pivots, and each pivot's cell is split
-by hash into blocks of bounded size.  A block first searches itself; the distance found bounds what any
-other block could add, and the triangle inequality over pivots leaves out the block pairs that cannot.
-What crosses the shuffle is points, once per remaining block pair, and k rows per point; pairs of points
-exist only inside a task's distance matrix.
+row.  Points are then assigned to the nearest of a bounded set of pivots, each pivot's cell is split
+by hash into blocks of bounded size, and consecutive blocks make up a bounded number of parts.  A part first
+searches itself; the distance found bounds what any other part could add, and the triangle inequality over
+pivots leaves out the cells that cannot.  What crosses the shuffle is points, once per part, and k rows per
+point and part; pairs of points exist only inside a task's distance matrices, which are of bounded size.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from foldwise.functions.vectors import grid_distance, grid_vector
+from foldwise.functions.vectors import GRID, grid_distance, grid_vector
 from foldwise.session import materialise, spread
 
 #: Upper bounds: pivots, bytes of a small vector table held by the driver and every task, bytes of one
@@ -27,20 +27,26 @@ MAX_PIVOTS = 1024
 SMALL_TABLE_BYTES = 16 << 20
 BLOCK_BYTES = 32 << 20
 BLOCK_ROWS = 2048
+#: Parts that all points are dealt into, unless a part would then have more than ``BLOCK_BYTES``; each part meets each other
+#: one in a task, so what crosses the shuffle grows with the points.  Rows and columns of a distance matrix there.
+PARTS = 16
+TILE_ROWS = 256
+TILE_COLUMNS = 1024
 
 
 @dataclass
 class Blocks:
     """Points laid out in blocks.
 
-    ``points``: (block, pos, copies, grid, away), ``away`` being the distance to the cell's pivot.
-    ``pivots`` has one grid vector per cell, ``cell_of`` the cell of each block, ``total`` counts all rows
-    including copies.
+    ``points``: (part, cell, block, pos, copies, grid, away), ``away`` being the distance to the cell's pivot; a part holds
+    consecutive blocks.  ``low`` bounds the distance between points of two cells from below, ``cell_of`` is the cell of each
+    block, ``total`` counts all rows including copies.
     """
 
     points: DataFrame
-    pivots: np.ndarray
+    low: np.ndarray
     cell_of: np.ndarray
+    parts: int
     total: int
     dim: int
 
@@ -48,10 +54,6 @@ class Blocks:
     def count(self) -> int:
         return len(self.cell_of)
 
-    @property
-    def pairs(self) -> int:
-        return self.count * (self.count - 1) // 2
-
 
 def matrix(column: pa.ChunkedArray) -> np.ndarray:
     """List column of equal lengths as a float64 matrix."""
@@ -113,146 +115,167 @@ def lay_out(folded: DataFrame, block_rows: int | None = None) -> Blocks:
             assign, "cell int, pos bigint, copies bigint, grid array<int>, away double"
         )
     placed = materialise(placed)
-    sizes = np.zeros(len(pivots), dtype=np.int64)
-    for row in placed.groupBy("cell").count().collect():  # one row per pivot
-        sizes[row["cell"]] = row["count"]
+    sizes, radius = np.zeros(len(pivots), dtype=np.int64), np.zeros(len(pivots))
+    for row in placed.groupBy("cell").agg(F.count("*").alias("n"), F.max("away").alias("away")).collect():  # one row per pivot
+        sizes[row.cell], radius[row.cell] = row.n, row.away
     splits = np.maximum(1, -(-sizes // rows))
-    first = np.concatenate(([0], np.cumsum(splits)[:-1]))
+    first, before = (np.concatenate(([0], np.cumsum(x)[:-1])) for x in (splits, sizes))
+    parts = int(max(1, min(splits.sum(), max(PARTS, -(-n * dim * 4 // BLOCK_BYTES)))))
     table = placed.sparkSession.createDataFrame(
-        [(c, int(splits[c]), int(first[c])) for c in range(len(pivots))], "cell int, splits int, first int"
+        [(c, int(splits[c]), int(first[c]), int(before[c]), int(sizes[c])) for c in range(len(pivots))],
+        "cell int, splits int, first int, before bigint, size bigint",
     )
-    blocks = placed.join(F.broadcast(table), "cell").select(
-        (F.col("first") + F.pmod(F.xxhash64("pos"), F.col("splits"))).cast("int").alias("block"),
-        "pos", "copies", "grid", "away",
+    split = F.pmod(F.xxhash64("pos"), F.col("splits"))
+    middle = F.col("before") + (split + 0.5) * F.col("size") / F.col("splits")
+    points = placed.join(F.broadcast(table), "cell").select(
+        F.least(F.lit(parts - 1), F.floor(middle * F.lit(parts / max(1, n)))).cast("int").alias("part"),
+        "cell", (F.col("first") + split).cast("int").alias("block"), "pos", "copies", "grid", "away",
     )
     cell_of = np.repeat(np.arange(len(pivots)), splits)
-    return Blocks(blocks, pivots, cell_of, int(facts.total or 0), dim)
-
-
-def _nearest(distance: np.ndarray, k: int) -> np.ndarray:
-    """Column numbers of the k smallest entries per row, ties by column."""
-    if k < distance.shape[1]:
-        limit = np.partition(distance, k - 1, axis=1)[:, k - 1 : k]
-    else:
-        limit = distance.max(axis=1, keepdims=True)
-    order = np.argsort(np.where(distance <= limit, distance, np.inf), axis=1, kind="stable")
-    return order[:, :k]
-
-
-def _found(pos, reach, cols, distance, names, copies, keep) -> pa.Table:
-    rows = np.repeat(np.arange(len(pos)), cols.shape[1])
-    flat = cols.ravel()
-    value = distance[rows, flat]
-    chosen = np.isfinite(value) & keep[rows, flat] if keep is not None else np.isfinite(value)
-    rows, flat, value = rows[chosen], flat[chosen], value[chosen]
-    return pa.table(
-        {
-            "pos": pos[rows],
-            "nbr": names[flat],
-            "dist": value,
-            "nbr_copies": copies[flat],
-            "reach": reach[rows],
-        }
-    )
+    low = np.maximum(0.0, grid_distance(pivots, pivots) - radius[:, None] - radius[None, :])
+    np.fill_diagonal(low, 0.0)
+    return Blocks(points, low, cell_of, parts, int(facts.total or 0), dim)
 
 
 FOUND = "pos bigint, nbr bigint, dist double, nbr_copies bigint, reach double"
+NOTHING_FOUND = pa.table({"pos": pa.array([], pa.int64()), "nbr": pa.array([], pa.int64()), "dist": pa.array([], pa.float64()), "nbr_copies": pa.array([], pa.int64()), "reach": pa.array([], pa.float64())})
+
+
+class Side:
+    """Rows of one part in a task, ordered by cell and position."""
+
+    def __init__(self, table: pa.Table) -> None:
+        table = table.sort_by([("cell", "ascending"), ("pos", "ascending")])
+        self.pos, self.cell, self.grid = table["pos"].to_numpy(), table["cell"].to_numpy(), matrix(table["grid"])
+        self.own = np.einsum("ij,ij->i", self.grid, self.grid)
+        self.table = table
+        starts = np.flatnonzero(np.r_[len(self.cell) > 0, np.diff(self.cell) != 0])
+        self.cells, self.starts, self.ends = self.cell[starts], starts, np.r_[starts[1:], len(self.cell)].astype(np.int64)
+
+    def column(self, name: str) -> np.ndarray:
+        return self.table[name].to_numpy()
+
+
+def tiles(here: Side, there: Side, low: np.ndarray):
+    """(rows, list of (columns, lower bound)) over tiles of bounded size; columns of the nearest cells come first."""
+    for first in range(0, len(here.pos), TILE_ROWS):
+        rows = slice(first, first + TILE_ROWS)
+        bounds = low[np.ix_(np.unique(here.cell[rows]), there.cells)].min(axis=0)
+        order = np.argsort(bounds, kind="stable")
+        columns = np.concatenate([np.arange(there.starts[k], there.ends[k]) for k in order] or [np.arange(0)])
+        bound = np.repeat(bounds[order], (there.ends - there.starts)[order])
+        yield rows, [(columns[k : k + TILE_COLUMNS], bound[k]) for k in range(0, len(columns), TILE_COLUMNS)]
+
+
+def halved(here: Side, rows: slice, there: Side, columns: np.ndarray) -> np.ndarray:
+    """x·y - y·y/2 of a tile; the square of the distance is x·x minus twice that."""
+    near = here.grid[rows] @ there.grid[columns].T
+    near -= there.own[columns][None, :] / 2
+    return near
+
+
+def least_halved(own: np.ndarray, reach: np.ndarray) -> np.ndarray:
+    """What ``halved`` is at least where the distance is no larger than the reach, with a guard for rounding."""
+    return (own - (np.square(reach * GRID) * (1 + 1e-12) + 4)) / 2
+
+
+def distances_at(here: Side, i: np.ndarray, there: Side, j: np.ndarray) -> np.ndarray:
+    """The distances of single pairs, as ``grid_distance`` gives them."""
+    cross = np.einsum("ij,ij->i", here.grid[i], there.grid[j])
+    square = (here.own[i] - cross) + (there.own[j] - cross)
+    return np.sqrt(np.maximum(square, 0.0)) / GRID
+
+
+def _nearest(here: Side, there: Side, reach: np.ndarray, k: int, low: np.ndarray) -> pa.Table:
+    """The k nearest of ``there`` within the reach of each row; where both are one side, a row isn't its own neighbour."""
+    found = []
+    copies = there.column("copies")
+    for rows, parts in tiles(here, there, low):
+        first, size = rows.start, len(here.pos[rows])
+        limit = reach[rows].copy()
+        dist, nbr = np.full((size, k), np.inf), np.full((size, k), -1)
+        for columns, bound in parts:
+            if bound - 1e-9 > limit.max():
+                break
+            near = halved(here, rows, there, columns)
+            least = least_halved(here.own[rows], limit)
+            unbound = np.isinf(limit)
+            if unbound.any() and len(columns) > k + 1:
+                kept = np.partition(near[unbound], len(columns) - k - 1, axis=1)[:, len(columns) - k - 1]
+                least[unbound] = kept - 4
+            i, c = np.nonzero(near >= least[:, None])
+            j = columns[c]
+            if here is there:
+                other = first + i != j
+                i, j = i[other], j[other]
+            d = distances_at(here, first + i, there, j)
+            near_enough = d <= limit[i]
+            i, j, d = i[near_enough], j[near_enough], d[near_enough]
+            touched = np.unique(i)
+            held = nbr[touched].ravel()
+            of, at, value = np.r_[i, np.repeat(touched, k)], np.r_[j, held], np.r_[d, dist[touched].ravel()]
+            order = np.lexsort((np.where(at < 0, np.iinfo(np.int64).max, there.pos[at]), value, of))
+            best = order[np.searchsorted(of[order], touched)[:, None] + np.arange(k)]
+            dist[touched], nbr[touched] = value[best], at[best]
+            limit = np.minimum(limit, dist[:, -1])
+        i, c = np.nonzero(nbr >= 0)
+        j = nbr[i, c]
+        found.append((here.pos[first + i], there.pos[j], dist[i, c], copies[j], limit[i]))
+        if here is there:
+            # A point without a neighbour still has to report that its reach is unbounded.
+            alone = np.flatnonzero((nbr < 0).all(axis=1))
+            found.append((here.pos[first + alone], np.full(len(alone), -1), np.full(len(alone), np.nan), np.full(len(alone), 0), limit[alone]))
+    pos, nbr, dist, n, limit = (np.concatenate(c) for c in zip(*found)) if found else (np.arange(0),) * 5
+    none = np.isnan(dist.astype(float))
+    return pa.table(
+        {"pos": pa.array(pos, pa.int64()), "nbr": pa.array(nbr, pa.int64(), mask=none), "dist": pa.array(dist, pa.float64(), mask=none),
+         "nbr_copies": pa.array(n, pa.int64(), mask=none), "reach": pa.array(limit, pa.float64())}
+    )
 
 
-def _by_pos(table: pa.Table) -> pa.Table:
-    return table.sort_by("pos")
-
-
-def block_pairs(blocks: Blocks, radius: np.ndarray, keep) -> DataFrame:
-    """(i, j, block, side) for every unordered block pair that ``keep(i, js, lower_bound)`` retains.
+def meet(queries: DataFrame, groups: int, points: DataFrame, parts: int, run, schema: str, apart: bool = False) -> DataFrame:
+    """``run(queries, points)`` for each group ``i`` of queries and each part ``j`` of points; ``apart``: where i isn't j.
 
-    The list is made by the tasks that own block i; ``radius`` (one number per block) and the pivots are
-    all they need.
+    A query crosses the shuffle once for each part and a point once for each group, whatever the number of blocks.
     """
-    spark = blocks.points.sparkSession
-    cell_of, count, pivots = blocks.cell_of, blocks.count, blocks.pivots
-
-    def expand(batches):
-        for batch in batches:
-            for i in batch.column("i").to_pylist():
-                js = np.arange(i + 1, count)
-                if len(js) == 0:
-                    continue
-                apart = grid_distance(pivots[cell_of[i]][None, :], pivots)[0][cell_of[js]]
-                bound = np.where(cell_of[js] == cell_of[i], 0.0, np.maximum(0.0, apart - radius[i] - radius[js]))
-                # A guard for rounding in sums of distances.
-                chosen = js[keep(i, js, bound - 1e-9)]
-                both = np.repeat(chosen, 2).astype(np.int32)
-                side = np.tile(np.array([0, 1], dtype=np.int32), len(chosen))
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(np.full(len(both), i, dtype=np.int32)),
-                        pa.array(both),
-                        pa.array(np.where(side == 0, i, both).astype(np.int32)),
-                        pa.array(side),
-                    ],
-                    names=["i", "j", "block", "side"],
-                )
+    here = queries.withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    # Cogroups of two tables from one source mix up columns that they share, so one side gets columns of its own.
+    there = points.select(*[F.col(c).alias(f"{c}_") for c in points.columns]).withColumn("i_", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
+    if apart:
+        here, there = here.where("i <> j"), there.where("i_ <> j_")
+    pairs = groups * parts
+
+    def renamed(here: pa.Table, there: pa.Table) -> pa.Table:
+        return run(here, there.rename_columns([c[:-1] for c in there.column_names]))
 
-    ids = spark.range(count).select(F.col("id").cast("int").alias("i"))
-    return ids.mapInArrow(expand, "i int, j int, block int, side int")
+    left, right = spread(here, pairs, "i", "j").groupBy("i", "j"), spread(there, pairs, "i_", "j_").groupBy("i_", "j_")
+    return left.cogroup(right).applyInArrow(renamed, schema)
 
 
 def nearest_neighbours(blocks: Blocks, k: int) -> DataFrame:
     """(pos, rank, nbr, dist, nbr_copies): the k nearest distinct points of every point, exactly."""
+    low = blocks.low
 
     def own(table: pa.Table) -> pa.Table:
-        table = _by_pos(table)
-        pos, copies = table["pos"].to_numpy(), table["copies"].to_numpy()
-        grid = matrix(table["grid"])
-        distance = grid_distance(grid, grid)
-        np.fill_diagonal(distance, np.inf)
-        cols = _nearest(distance, k)
-        if cols.shape[1] < k or len(pos) <= k:
-            reach = np.full(len(pos), np.inf)
-        else:
-            reach = distance[np.arange(len(pos)), cols[:, k - 1]]
-        found = _found(pos, reach, cols, distance, pos, copies, None)
-        if len(pos) > 1:
-            return found
-        # A lone point still has to report that its reach is unbounded.
-        nothing = {"nbr": pa.nulls(1, pa.int64()), "dist": pa.nulls(1, pa.float64()), "nbr_copies": pa.nulls(1, pa.int64())}
-        return pa.table({"pos": pos, **nothing, "reach": [np.inf]})
-
-    inside = spread(blocks.points, blocks.count, "block").groupBy("block").applyInArrow(own, FOUND)
-    ranked = inside
-    if blocks.count > 1:
-        inside = materialise(inside)
+        side = Side(table)
+        return _nearest(side, side, np.full(len(side.pos), np.inf), k, low)
+
+    points = blocks.points.select("part", "cell", "pos", "copies", "grid")
+    ranked = spread(points, blocks.parts, "part").groupBy("part").applyInArrow(own, FOUND)
+    if blocks.parts > 1:
+        inside = materialise(ranked)
         reach = inside.groupBy("pos").agg(F.max("reach").alias("reach"))
-        points = materialise(blocks.points.join(reach, "pos"))
-        radius, bound = np.zeros(blocks.count), np.zeros(blocks.count)
-        for row in points.groupBy("block").agg(F.max("away").alias("a"), F.max("reach").alias("r")).collect():
-            radius[row.block], bound[row.block] = row.a, row.r
-
-        pairs = block_pairs(blocks, radius, lambda i, js, low: low <= np.maximum(bound[i], bound[js]))
-
-        def across(table: pa.Table) -> pa.Table:
-            table = _by_pos(table)
-            side = table["side"].to_numpy()
-            parts = [table.filter(pa.array(side == s)) for s in (0, 1)]
-            grids = [matrix(p["grid"]) for p in parts]
-            distance = grid_distance(grids[0], grids[1])
-            results = []
-            for s in (0, 1):
-                here, there = parts[s], parts[1 - s]
-                d = distance if s == 0 else distance.T
-                reach_here = here["reach"].to_numpy()
-                results.append(
-                    _found(
-                        here["pos"].to_numpy(), reach_here, _nearest(d, k), d, there["pos"].to_numpy(),
-                        there["copies"].to_numpy(), d <= reach_here[:, None],
-                    )
-                )
-            return pa.concat_tables(results)
+        reaching = materialise(points.join(reach, "pos"))
+
+        def across(here: pa.Table, there: pa.Table) -> pa.Table:
+            if len(here) == 0 or len(there) == 0:
+                return NOTHING_FOUND
+            q, p = Side(here), Side(there)
+            return _nearest(q, p, q.column("reach"), k, low)
 
-        meeting = points.join(pairs, "block").select("i", "j", "side", "pos", "copies", "grid", "reach")
-        crossing = spread(meeting, blocks.pairs, "i", "j").groupBy("i", "j").applyInArrow(across, FOUND)
-        ranked = inside.unionByName(crossing)
+        queries = reaching.select(F.col("part").alias("i"), "cell", "pos", "grid", "reach")
+        others = reaching.select(F.col("part").alias("j"), "cell", "pos", "copies", "grid")
+        ranked = inside.unionByName(meet(queries, blocks.parts, others, blocks.parts, across, FOUND, apart=True))
     rank = F.row_number().over(Window.partitionBy("pos").orderBy("dist", "nbr"))
     return (
         ranked.where(F.col("nbr").isNotNull())

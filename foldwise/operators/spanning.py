@@ -1,8 +1,8 @@
 """Minimum spanning tree of the mutual-reachability graph, and connected components of edge tables.
 
-Edges are ordered by (weight, lo, hi), which makes the tree unique.  By the cycle property a tree edge
-survives in the tree of every vertex subset that contains it.  So each block yields its own tree, each
-block pair the edges that cross it in the tree of both, and the tree of that thin union is the answer.
+Edges are ordered by (weight, lo, hi), which makes the tree unique.  Every tree edge
+is the least edge that leaves some component in each round of smallest outgoing edges.  Lists of nearest
+neighbours settle most rounds; where they can't, points search all parts for the nearest point outside.
 """
 
 from __future__ import annotations
@@ -17,9 +17,13 @@ from pyspark.sql import functions as F
 
 from foldwise.functions.vectors import grid_distance
 from foldwise.operators import neighbours as N
-from foldwise.session import SINGLE_TASK_ROWS, materialise, spread
+from foldwise.session import SINGLE_TASK_ROWS, materialise
 
 EDGES = "lo bigint, hi bigint, weight double"
+#: Neighbours listed for each point before the tree is sought.
+LISTED = 8
+NO_EDGES = pa.table({"c": pa.array([], pa.int64()), "weight": pa.array([], pa.float64()), "lo": pa.array([], pa.int64()), "hi": pa.array([], pa.int64()), "to": pa.array([], pa.int64())})
+CHOSEN = "c bigint, weight double, lo bigint, hi bigint, to bigint"
 
 
 def tree_of_matrix(weight: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -59,58 +63,6 @@ def _block_tree(table: pa.Table) -> pa.Table:
     return _edge_table(pos, *tree_of_matrix(_reachability(N.matrix(table["grid"]), table["core"].to_numpy())))
 
 
-def _crossing_edges(table: pa.Table) -> pa.Table:
-    table = table.sort_by("pos")
-    pos, side = table["pos"].to_numpy(), table["side"].to_numpy()
-    lo, hi, w = tree_of_matrix(_reachability(N.matrix(table["grid"]), table["core"].to_numpy()))
-    crossing = side[lo] != side[hi]
-    return _edge_table(pos, lo[crossing], hi[crossing], w[crossing])
-
-
-def _needed_pairs(blocks: N.Blocks, points: DataFrame, trees: DataFrame) -> DataFrame:
-    """Block pairs that may hold a tree edge.
-
-    Two blocks are already linked through one chosen point each: within a block by its tree, between
-    blocks by the chain of chosen points with the smallest largest step.  A pair whose points are all
-    farther apart than that chain's largest step cannot hold a tree edge.  With too many blocks for the
-    table of chosen points every pair is kept.
-    """
-    radius = np.zeros(blocks.count)
-    if blocks.count > 2048 or blocks.count * blocks.dim * 8 > N.SMALL_TABLE_BYTES:
-        return N.block_pairs(blocks, radius, lambda i, js, low: np.ones(len(js), dtype=bool))
-    least = np.zeros(blocks.count)
-    core = np.zeros(blocks.count)
-    chosen = np.zeros((blocks.count, blocks.dim))
-    widest = np.zeros(blocks.count)
-    facts = points.groupBy("block").agg(
-        F.max("away").alias("radius"),
-        F.min("core").alias("least"),
-        F.min_by(F.struct("core", "grid"), F.struct("away", "pos")).alias("c"),
-    )
-    for row in facts.collect():  # one row per block, at most 2,048
-        radius[row.block], least[row.block] = row.radius, row.least
-        core[row.block], chosen[row.block] = row.c.core, row.c.grid
-    owner = points.select(F.col("pos").alias("lo"), "block")
-    for row in trees.join(owner, "lo").groupBy("block").agg(F.max("weight").alias("w")).collect():
-        widest[row.block] = row.w
-    link = _reachability(chosen, core)
-    lo, hi, w = tree_of_matrix(link)
-    chain = np.zeros_like(link)
-    groups = {b: [b] for b in range(blocks.count)}
-    for k in np.lexsort((hi, lo, w)):
-        a, b = groups[lo[k]], groups[hi[k]]
-        chain[np.ix_(a, b)] = chain[np.ix_(b, a)] = w[k]
-        a.extend(b)
-        for member in b:
-            groups[member] = a
-
-    def keep(i: int, js: np.ndarray, low: np.ndarray) -> np.ndarray:
-        apart = np.maximum(np.maximum(low, least[i]), least[js])
-        return apart <= np.maximum(np.maximum(widest[i], widest[js]), chain[i, js])
-
-    return N.block_pairs(blocks, radius, keep)
-
-
 class _Forest:
     """Union by smaller name, for the steps that are small enough for one task."""
 
@@ -188,11 +140,7 @@ def contract(edges: DataFrame, limit: int = SINGLE_TASK_ROWS) -> tuple[DataFrame
         if best.isEmpty():
             break
         forest.append(materialise(best.select("e.lo", "e.hi", "e.weight").distinct()))
-        # Two components that chose each other share their edge; the smaller becomes the root.
-        back = best.select(F.col("c").alias("to"), F.col("e.to").alias("back"))
-        hop = best.select("c", F.col("e.to").alias("to")).join(back, "to", "left")
-        up = hop.select("c", F.when((F.col("back") == F.col("c")) & (F.col("c") < F.col("to")), F.col("c")).otherwise(F.col("to")).alias("root"))
-        up = _to_roots(materialise(up))
+        up = _hooked(best)
         labels = _renamed(labels, up)
         left = up.select(F.col("c").alias("a"), F.col("root").alias("ra"))
         right = up.select(F.col("c").alias("b"), F.col("root").alias("rb"))
@@ -208,6 +156,16 @@ def contract(edges: DataFrame, limit: int = SINGLE_TASK_ROWS) -> tuple[DataFrame
     return N.union_all(forest), named
 
 
+def _hooked(best: DataFrame) -> DataFrame:
+    """(c, root) from the edge (weight, lo, hi, to) that each component chose; one that chose none is its own root."""
+    # Two components that chose each other share their edge; the smaller becomes the root.
+    back = best.select(F.col("c").alias("to"), F.col("e.to").alias("back"))
+    hop = best.select("c", F.col("e.to").alias("to")).join(back, "to", "left")
+    up = hop.select("c", F.when((F.col("back") == F.col("c")) & (F.col("c") < F.col("to")), F.col("c")).otherwise(F.col("to")).alias("root"))
+    passive = best.select(F.col("e.to").alias("c")).distinct().join(best.select("c"), "c", "left_anti").select("c", F.col("c").alias("root"))
+    return _to_roots(materialise(up.unionByName(passive)))
+
+
 def _to_roots(up: DataFrame) -> DataFrame:
     """Follow (c -> root) pointers to their ends by doubling; rounds grow with the logarithm of depth."""
     while True:
@@ -223,20 +181,137 @@ def minimum_spanning_forest(edges: DataFrame, limit: int = SINGLE_TASK_ROWS) ->
     return contract(edges, limit)[0]
 
 
+def _merged(best: DataFrame, limit: int) -> tuple[DataFrame, DataFrame]:
+    """(edges, names): the distinct chosen edges, and (c, root) of the components that they join; in one task up to ``limit``."""
+    if best.count() > limit:
+        return best.select("e.lo", "e.hi", "e.weight").distinct(), _hooked(best)
+    chosen = best.select(F.col("c").alias("a"), F.col("e.to").alias("b"), "e.weight", "e.lo", "e.hi")
+    done = materialise(chosen.coalesce(1).mapInPandas(_finish, f"{EDGES}, c bigint, root bigint"))
+    return done.where(F.col("c").isNull()).select("lo", "hi", "weight"), done.where(F.col("c").isNotNull()).select("c", "root")
+
+
+def _search_outside(here: pa.Table, there: pa.Table, low: np.ndarray) -> pa.Table:
+    """The least edge (weight, lo, hi) from each component of ``here`` to points of other components in ``there``.
+
+    ``here`` has a limit for each row, the weight of an edge known for its component; heavier edges don't count.
+    """
+    if len(here) == 0 or len(there) == 0:
+        return NO_EDGES
+    q, p = N.Side(here), N.Side(there)
+    mine, theirs, core_q, core_p = q.column("component"), p.column("component"), q.column("core"), p.column("core")
+    names, at = np.unique(mine, return_inverse=True)
+    limit = np.full(len(names), np.inf)
+    np.minimum.at(limit, at, q.column("limit"))
+    chosen: list[tuple | None] = [None] * len(names)
+
+    def offer(i: np.ndarray, j: np.ndarray) -> None:
+        weight = np.maximum(np.maximum(N.distances_at(q, i, p, j), core_q[i]), core_p[j])
+        lo, hi = np.minimum(q.pos[i], p.pos[j]), np.maximum(q.pos[i], p.pos[j])
+        order = np.lexsort((hi, lo, weight, at[i]))
+        of = at[i][order]
+        for k in order[np.r_[True, of[1:] != of[:-1]][: len(of)]]:
+            c, edge = at[i[k]], (weight[k], lo[k], hi[k], theirs[j[k]])
+            if edge[0] <= limit[c] and (chosen[c] is None or edge < chosen[c]):
+                chosen[c], limit[c] = edge, edge[0]
+
+    for rows, parts in N.tiles(q, p, low):
+        first, of = rows.start, at[rows]
+        open_, cores = mine[rows], core_q[rows]
+        for columns, bound in parts:
+            if bound - 1e-9 > limit[of].max():
+                break
+            columns = columns[core_p[columns] <= limit[of].max()]
+            columns = columns if (open_ != open_[0]).any() else columns[theirs[columns] != open_[0]]
+            if len(columns) == 0:
+                continue
+            near = N.halved(q, rows, p, columns)
+            foreign = open_[:, None] != theirs[columns][None, :]
+            near[~foreign] = -np.inf
+            # The nearest point outside lowers the limit first, so that few pairs remain to be weighed.
+            c = near.argmax(axis=1)
+            i = np.flatnonzero(foreign[np.arange(len(c)), c] & (cores <= limit[of]))
+            if len(i):
+                offer(first + i, columns[c[i]])
+            least = np.where(cores <= limit[of], N.least_halved(q.own[rows], limit[of]), np.inf)
+            i, c = np.nonzero((near >= least[:, None]) & foreign)
+            light = core_p[columns[c]] <= limit[of][i]
+            if light.any():
+                offer(first + i[light], columns[c[light]])
+    known = [(int(n), *e) for n, e in zip(names, chosen) if e is not None]
+    return pa.Table.from_arrays([pa.array([row[k] for row in known], kind) for k, kind in enumerate(NO_EDGES.schema.types)], names=NO_EDGES.schema.names)
+
+
+def _tree_of_parts(blocks: N.Blocks, points: DataFrame, near: DataFrame, listed: int, limit: int) -> DataFrame:
+    """The tree by rounds of smallest outgoing edges over all pairs of points, which are never listed.
+
+    ``near`` holds ``listed`` nearest neighbours of each point.  An edge that is not in a point's list weighs no less than the last
+    one's distance, so where a component's best listed edge is lighter, it is the best of all.  Only points for which
+    that is open search the parts, those of the largest component never: the others join it.
+    """
+    low = blocks.low
+    core = points.select("pos", "core")
+    last = near.groupBy("pos").agg(F.max("dist").alias("last"), F.count("*").alias("n"))
+    bound = F.when(F.col("n") >= listed, F.greatest("core", "last")).otherwise(F.lit(float("inf")))
+    spots = materialise(
+        points.select("pos", "part", "cell", "grid", "core").join(last, "pos", "left")
+        .select("pos", "part", "cell", "grid", "core", F.when(F.col("n").isNull(), 0.0).otherwise(bound).alias("bound"), F.col("pos").alias("component"))
+    )
+    other = core.select(F.col("pos").alias("nbr"), F.col("core").alias("nbr_core"))
+    open_ = materialise(
+        near.select("pos", "nbr", "dist").join(core, "pos").join(other, "nbr")
+        .select(F.col("pos").alias("a"), F.col("nbr").alias("b"), F.greatest("dist", "core", "nbr_core").alias("weight"), F.least("pos", "nbr").alias("lo"), F.greatest("pos", "nbr").alias("hi"))
+    )
+    labels = materialise(spots.select(F.col("pos").alias("node"), "component"))
+    forest = []
+    while True:
+        sizes = materialise(labels.groupBy("component").agg(F.count("*").alias("n")))
+        two = sizes.orderBy(F.desc("n"), "component").take(2)
+        if len(two) < 2:
+            return N.union_all(forest) if forest else points.sparkSession.createDataFrame([], EDGES)
+        ends = open_.select(F.col("a").alias("c"), F.struct("weight", "lo", "hi", F.col("b").alias("to")).alias("e")).unionByName(
+            open_.select(F.col("b").alias("c"), F.struct("weight", "lo", "hi", F.col("a").alias("to")).alias("e"))
+        )
+        best = materialise(ends.groupBy("c").agg(F.min("e").alias("e")))
+        placed = spots.drop("component").join(labels.select(F.col("node").alias("pos"), "component"), "pos")
+        placed = placed.join(best.select(F.col("c").alias("component"), F.col("e.weight").alias("limit")), "component", "left").fillna({"limit": float("inf")})
+        placed = materialise(placed.select("pos", "part", "cell", "grid", "core", "component", "limit", (F.col("bound") <= F.col("limit")).alias("seeks")))
+        unsure = placed.where("seeks")
+        largest = two[0].component
+        seekers = unsure.where(F.col("component") != largest)
+        n = seekers.count()
+        if n:
+            groups = max(1, min(blocks.parts, -(-n * blocks.parts // blocks.total)))
+            queries = seekers.select(F.floor(F.col("part") * groups / blocks.parts).cast("int").alias("i"), "cell", "pos", "grid", "core", "component", "limit")
+            others = placed.select(F.col("part").alias("j"), "cell", "pos", "grid", "core", "component")
+            found = N.meet(queries, groups, others, blocks.parts, lambda here, there: _search_outside(here, there, low), CHOSEN)
+            searched = found.groupBy("c").agg(F.min(F.struct("weight", "lo", "hi", "to")).alias("e"))
+            best = best.unionByName(searched).groupBy("c").agg(F.min("e").alias("e"))
+        if not unsure.where(F.col("component") == largest).isEmpty():
+            best = best.where(F.col("c") != largest)
+        edges, names = _merged(materialise(best), limit)
+        forest.append(materialise(edges))
+        names = materialise(names)
+        labels = _renamed(labels, names)
+        for end in ("a", "b"):
+            to = names.select(F.col("c").alias(end), "root")
+            open_ = open_.join(to, end, "left").withColumn(end, F.coalesce("root", end)).drop("root")
+        smallest = open_.where(F.col("a") != F.col("b")).groupBy(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y")).agg(F.min(F.struct("weight", "lo", "hi")).alias("e"))
+        open_ = materialise(smallest.select(F.col("x").alias("a"), F.col("y").alias("b"), "e.weight", "e.lo", "e.hi"))
+
+
 def mutual_reachability_tree(points: DataFrame, min_samples: int, block_rows: int | None = None, limit: int = SINGLE_TASK_ROWS) -> DataFrame:
     """(lo, hi, weight): the spanning tree over rows (pos, vector), n - 1 edges for n rows."""
     folded = materialise(N.fold_copies(points))
     blocks = N.lay_out(folded, block_rows)
     k = max(1, min(int(min_samples), blocks.total - 1))
-    core = N.core_distances(blocks, N.nearest_neighbours(blocks, k), k)
-    placed = materialise(blocks.points.join(core, "pos").select("block", "pos", "copies", "grid", "away", "core"))
-    trees = spread(placed, blocks.count, "block").groupBy("block").applyInArrow(_block_tree, EDGES)
-    if blocks.count > 1:
-        trees = materialise(trees)
-        pairs = _needed_pairs(blocks, placed, trees)
-        meeting = placed.join(pairs, "block").select("i", "j", "side", "pos", "grid", "core")
-        crossing = spread(meeting, blocks.pairs, "i", "j").groupBy("i", "j").applyInArrow(_crossing_edges, EDGES)
-        trees = minimum_spanning_forest(trees.unionByName(crossing), limit)
+    listed = max(k, LISTED) if blocks.parts > 1 else k
+    near = materialise(N.nearest_neighbours(blocks, listed))
+    core = N.core_distances(blocks, near, k)
+    placed = materialise(blocks.points.join(core, "pos").select("part", "cell", "pos", "copies", "grid", "core"))
+    if blocks.parts > 1:
+        trees = _tree_of_parts(blocks, placed, near, listed, limit)
+    else:
+        trees = placed.groupBy("part").applyInArrow(_block_tree, EDGES)
     if blocks.total > folded.count():
         # A copy lies at distance 0 from its representative, so their edge weighs the core distance.
         copies = N.copies_of(points, folded).join(placed.select(F.col("pos").alias("rep"), "core"), "rep")

@@ -221,6 +221,55 @@ def test_hierarchy_over_slices_against_the_walk(spark, shape, slice_edges, min_s
     same_partition(got, want)
 
 
+def test_parts_do_not_grow_with_blocks(spark):
+    """Points cross the shuffle once for each part, of which there are few however many the blocks."""
+    x = blobs(9, n=150)
+    blocks = N.lay_out(N.fold_copies(frame(spark, x)), 2)
+    assert blocks.count > 3 * N.PARTS and blocks.parts == N.PARTS
+    assert blocks.points.select("part").distinct().count() > 1
+    got = N.nearest_neighbours(blocks, 2).groupBy("pos").agg(F.max("dist").alias("d")).collect()
+    d = distances(x)
+    for r in got:
+        others = np.sort(d[r.pos][d[r.pos] > 1e-9])
+        assert r.d == pytest.approx(others[1], abs=1e-7)
+
+
+@pytest.mark.parametrize("centres, spread", [(1, 1.0), (4, 0.01)])
+def test_tree_of_parts_is_the_tree_of_all_pairs(spark, centres, spread):
+    """Also for tight clusters, whose points list only their own kind and so must search the parts."""
+    x = blobs(3, n=90, centres=centres, noise=0, spread=spread)
+    lo, hi, _ = S.tree_of_matrix(reach(x, 2)[0])
+    got = S.mutual_reachability_tree(frame(spark, x), 2, 10).collect()
+    assert {(e.lo, e.hi) for e in got} == set(zip(lo.tolist(), hi.tolist())) and len(got) == 89
+
+
+def chain_of_edges(n, slice_edges, seed):
+    import pandas as pd
+
+    rng = np.random.default_rng(seed)
+    rows = [(k, k // slice_edges, 1.0 + k, -1 - int(rng.integers(max(0, k - 6), k + 1)), -2 - k) for k in range(n)]
+    return pd.DataFrame(rows, columns=["number", "slice", "weight", "a", "b"])
+
+
+@pytest.mark.parametrize("task_edges", [10**6, 12, 1])
+def test_names_by_halves_and_by_contraction(spark, monkeypatch, task_edges):
+    edges = chain_of_edges(60, 4, 5)
+    want, names = [], {}
+    for _, part in edges.groupby("slice"):
+        part = part.assign(a=[names.get(x, x) for x in part.a], b=[names.get(x, x) for x in part.b])
+        want += part[["number", "a", "b"]].itertuples(index=False, name=None)
+        moved = dict(H.names_after_slice(part).itertuples(index=False))
+        names = {x: moved.get(y, y) for x, y in (names | {k: k for k in moved}).items()}
+    monkeypatch.setattr(H, "TASK_EDGES", task_edges)
+    got = H._renamed_ends(spark.createDataFrame(edges), 15, 4).select("number", "a", "b").collect()
+    assert sorted(map(tuple, got)) == want
+
+
+def test_halves_that_fit_a_task_need_no_contraction(spark, monkeypatch):
+    monkeypatch.setattr(H, "components", None)
+    assert H._renamed_ends(spark.createDataFrame(chain_of_edges(60, 4, 5)), 15, 4).count() == 60
+
+
 @pytest.mark.parametrize("seed", range(12))
 def test_slices_without_spark(seed):
     """Names, merges and notes of slices, put together in a loop, against the walk."""
