@@ -50,10 +50,14 @@ def kmeans_k(n: int) -> int:
 
 
 def kmeans_model(points: DataFrame, k: int):
-    """(fitted model, unit vectors) on the normalised vectors."""
+    """(fitted model, unit vectors) on the normalised vectors.
+
+    The solver over rows sends the distances of all pairs of centres to the driver in every iteration, k² or about n of them; the
+    one over blocks sends none.
+    """
     wide = points.select("pos", array_to_vector(F.col("vector")).alias("_v"))
     unit = materialise(Normalizer(p=2.0, inputCol="_v", outputCol="features").transform(wide).select("pos", "features"))
-    return KMeans(k=k, seed=KMEANS_SEED, maxIter=50, tol=1e-4).fit(unit), unit
+    return KMeans(k=k, seed=KMEANS_SEED, maxIter=50, tol=1e-4, solver="block").fit(unit), unit
 
 
 def kmeans_clusters(points: DataFrame, k: int | None = None) -> DataFrame:

@@ -381,3 +381,18 @@ def test_all_noise_falls_back_to_kmeans(spark):
     assert {r.cluster_id for r in got} <= {0, 1, 2} and len(got) == 9
     assert C.kmeans_k(4) == 2 and C.kmeans_k(100) == 10
     assert [r.cluster_id for r in C.cluster_points(frame(spark, x[:1])).collect()] == [-1]
+
+
+def test_kmeans_sends_no_distances_of_centres_to_the_driver(spark):
+    x = np.random.default_rng(3).normal(size=(400, 64))
+    context = spark.sparkContext
+    context.setJobGroup("kmeans-sends", "")
+    try:
+        C.kmeans_model(frame(spark, x), 130)
+    finally:
+        for name in ("spark.jobGroup.id", "spark.job.description"):
+            context.setLocalProperty(name, None)
+    tracker = context.statusTracker()
+    stages = [tracker.getStageInfo(s) for j in tracker.getJobIdsForGroup("kmeans-sends") for s in tracker.getJobInfo(j).stageIds]
+    names = {s.name for s in stages if s is not None}
+    assert any("KMeans.scala" in n for n in names) and not any("DistanceMeasure.scala" in n for n in names)
