@@ -15,6 +15,7 @@ from foldwise.operators import batching, clustering, cohesion, embedding, labels
 from foldwise.operators.ordering import with_row_index
 from foldwise.session import configure, materialise, scratch_path
 from foldwise.sources import export, store
+from foldwise.sources.group_log import GroupLog
 
 
 @dataclass
@@ -93,44 +94,68 @@ def embed_missing(
     if texts.isEmpty():
         return cached
 
-    def keep(made: DataFrame) -> None:
-        nonlocal store_path
-        if store_path:
-            try:
-                store.upsert(spark, store_path, texts.join(made, "id"))
-            except Exception as error:
-                if not store.is_store_error(error):
-                    raise
-                print(f"embedding store not written, going on without it: {error}")
-                store_path = None
-
-    made = embed_in_groups(texts, parameters, make_embedder, keep).select("id", "vector")
+    made = embed_in_groups(texts, parameters, make_embedder, store_path, may_fail=True).select("id", "vector")
     return made if cached is None else cached.unionByName(made)
 
 
+#: Text that one task requests, in groups one after another, before the next task goes on.
+RUN_BYTES = 64 << 20
+
+
 def embed_in_groups(
     texts: DataFrame, parameters: PlanParameters, make_embedder: Callable[[], embedding.Embedder],
-    keep: Callable[[DataFrame], None] | None = None,
+    store_path: str | None = None, may_fail: bool = False, run_bytes: int = RUN_BYTES,
 ) -> DataFrame:
     """(id, vector, group_id) of rows (pos, id, text), requested group after group of consecutive batches.
 
-    A group has ``embedding_batch_parallelism`` batches, which are in flight together.  ``keep`` gets a group's (id, vector)
-    before the next one is requested, so that a job that stops has lost one group at most.  Texts are dealt into a folder
-    for each group once; a group reads its own.
+    A group has ``embedding_batch_parallelism`` batches, which are in flight together.  A group is in the store, or in a scratch folder
+    if there is none, before the next one is requested, so that a job that stops has lost one group at most.  Texts are dealt once
+    into runs of consecutive groups, of about ``run_bytes``; a job with one task goes through a run, and the jobs follow each
+    other.  Where tasks can't write to the file system, a run is one group, which Spark stores.  With ``may_fail`` a store that
+    cannot be written is given up with a warning.
     """
     spark = texts.sparkSession
     requests, vectors = scratch_path(spark, "requests"), scratch_path(spark, "vectors")
+    log = None
+
+    def in_store(step: Callable[[], GroupLog | None]) -> GroupLog | None:
+        """The step's result; of a store that is given up, that of a scratch folder."""
+        nonlocal store_path
+        try:
+            return step()
+        except Exception as error:
+            if not (may_fail and store.is_store_error(error)):
+                raise
+            print(f"embedding store not written, going on without it: {error}")
+            store_path = None
+            return store.scratch_log(spark, scratch_path(spark, "groups"))
+
+    if store_path:
+        log = in_store(lambda: store.group_log(spark, store_path, may_fail))
+    else:
+        log = store.scratch_log(spark, scratch_path(spark, "groups"))
     batches = batching.word_batches(texts, parameters.embedding_batch_words, order=("pos",), keep=("id",)).select("id", "batch_id")
-    grouped = batching.batch_groups(batches, parameters.embedding_batch_parallelism)
-    dealt = texts.select("id", "text").join(grouped, "id")
-    dealt.repartition("group_id").write.partitionBy("group_id").parquet(requests)
-    count = spark.read.parquet(requests).agg(F.coalesce(F.max("group_id") + 1, F.lit(0)).alias("n")).first().n
-    for group in range(count):
-        rows = spark.read.schema("id string, text string, batch_id bigint").parquet(f"{requests}/group_id={group}")
-        embedding.embed_batches(rows, make_embedder, tasks=parameters.embedding_batch_parallelism).write.parquet(f"{vectors}/group_id={group}")
-        if keep:
-            keep(spark.read.schema("id string, vector array<float>").parquet(f"{vectors}/group_id={group}"))
-    return spark.read.schema("id string, vector array<float>, group_id bigint").parquet(vectors)
+    grouped = materialise(batching.batch_groups(batches, parameters.embedding_batch_parallelism))
+    count = grouped.agg(F.coalesce(F.max("group_id") + 1, F.lit(0)).alias("n")).first().n
+    size = texts.agg(F.sum(F.octet_length("text")).alias("n")).first().n or 0
+    per_run = max(1, count * run_bytes // max(1, size)) if log else 1
+    kept = [c for c in store.payload(texts) if store_path] or [F.col("id")]
+    dealt = texts.select(*kept, "text").join(grouped, "id").withColumn("run", F.floor(F.col("group_id") / per_run))
+    dealt.repartition("run").write.partitionBy("run").parquet(requests)
+    dealt = spark.read.schema(dealt.schema).parquet(requests)
+    schema = "id string, vector array<float>, group_id bigint, problem string"
+    for run in range(-(-count // per_run)):
+        rows = dealt.where(F.col("run") == run).drop("run")
+        embedding.embed_group_after_group(rows, make_embedder, parameters.embedding_batch_parallelism, log).write.parquet(f"{vectors}/run={run}")
+        made = spark.read.schema(schema).parquet(f"{vectors}/run={run}")
+        if store_path and log is None:
+            upserted = rows.join(made.select("id", "vector"), "id")
+            log = in_store(lambda: store.upsert(spark, store_path, upserted))
+        elif store_path:
+            log = in_store(lambda: store.after_run(log, made))
+    if not count:
+        return spark.createDataFrame([], "id string, vector array<float>, group_id bigint")
+    return spark.read.schema(schema).parquet(vectors).select("id", "vector", "group_id")
 
 
 def assemble(

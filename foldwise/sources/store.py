@@ -9,12 +9,16 @@ from __future__ import annotations
 
 import time
 import uuid
+from dataclasses import replace
 
+import pyarrow as pa
 from pyspark.errors import AnalysisException, PySparkException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from foldwise.sources.group_log import GroupLog, placed
+
 SCHEMA = T.StructType(
     [
         T.StructField("id", T.StringType(), False),
@@ -26,6 +30,11 @@ SCHEMA = T.StructType(
         T.StructField("vectors", T.MapType(T.StringType(), T.ArrayType(T.FloatType()))),
     ]
 )
+_VECTOR = pa.list_(pa.float32())
+_ARROW = pa.schema(
+    [("id", pa.string()), ("vector", _VECTOR), ("title", pa.string()), ("prompt_excerpt", pa.string()), ("create_time", pa.float64()),
+     ("update_time", pa.float64()), ("vectors", pa.map_(pa.string(), _VECTOR))]
+)
 _WRITE = ("step", "write")
 #: Start of Spark's error conditions for files it cannot read.
 UNREADABLE = "FAILED_READ_FILE"
@@ -89,12 +98,46 @@ def next_step(spark: SparkSession, path: str) -> int:
     return 0 if last is None else last + 1
 
 
+def new_write() -> str:
+    return f"{time.time_ns():020d}-{uuid.uuid4().hex}"
+
+
+def payload(rows: DataFrame) -> list[Column]:
+    """The stored columns of rows but for the vector; missing ones are null."""
+    return [(F.col(f.name) if f.name in rows.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in SCHEMA if f.name != "vector"]
+
+
+def group_log(spark: SparkSession, path: str, may_fail: bool = False) -> GroupLog | None:
+    """A folder of one upsert that tasks fill group by group, each with an id of its own; null where they can't write there.
+
+    All vectors must have one dimension.
+    """
+    held = _log(spark, path).where(F.col("vector").isNotNull()).select(F.size("vector").alias("n")).take(1)
+    folder = placed(spark, f"{path.rstrip('/')}/step={next_step(spark, path)}/write={new_write()}")
+    return None if folder is None else GroupLog(folder, _ARROW, held[0].n if held else 0, may_fail)
+
+
+def after_run(log: GroupLog, made: DataFrame) -> GroupLog:
+    """The log for the groups after those of a task, which gave (vector, problem); a problem raises."""
+    failed = made.where(F.col("problem").isNotNull()).select("problem").first()
+    if failed:
+        raise OSError(failed.problem)
+    first = made.select(F.size("vector").alias("n")).first()
+    return replace(log, dim=first.n) if first else log
+
+
+def scratch_log(spark: SparkSession, path: str) -> GroupLog | None:
+    """A folder of ids and vectors that no store keeps."""
+    folder = placed(spark, path)
+    return None if folder is None else GroupLog(folder, pa.schema([_ARROW.field("id"), _ARROW.field("vector")]))
+
+
 def upsert(spark: SparkSession, path: str, rows: DataFrame, step: int | None = None) -> None:
     """Write rows (id, vector, payload); later steps win.  All vectors must have one dimension.
 
     ``step`` names the folder: writing it again replaces it.  Missing payload columns are null.
     """
-    at, write = (next_step(spark, path), f"{time.time_ns():020d}-{uuid.uuid4().hex}") if step is None else (step, "named")
+    at, write = (next_step(spark, path), new_write()) if step is None else (step, "named")
     shaped = rows.select(*[(F.col(f.name) if f.name in rows.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in SCHEMA])
     new, held = (d.where(F.col("vector").isNotNull()).select(F.size("vector").alias("n")) for d in (shaped, _log(spark, path)))
     sizes = {r.n for r in new.distinct().take(2) + held.take(1)}

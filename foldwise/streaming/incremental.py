@@ -27,7 +27,7 @@ def fill_step(
         return 0
     chats = normalize.with_excerpt(todo, parameters.conversation_word_limit)
     texts = materialise(chats.withColumn("text", F.expr(T.embedding_text("title", "prompt_excerpt"))))
-    embed_in_groups(texts, parameters, make_embedder, lambda made: store.upsert(spark, store_path, texts.join(made, "id")))
+    embed_in_groups(texts, parameters, make_embedder, store_path)
     return added
 
 

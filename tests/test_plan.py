@@ -207,3 +207,73 @@ def test_stream_fills_the_store_once(spark, tmp_path):
         (arrivals / name).write_text("\n".join(json.dumps(conversation(i, "Alpha")) for i in numbers))
         incremental.fill_from_stream(spark, str(arrivals), kept, progress, Counting)
     assert sorted(r.id for r in store.read_store(spark, kept).collect()) == ["chat-0", "chat-1", "chat-2"]
+
+
+def numbered(spark, n):
+    return spark.createDataFrame([(k, f"c{k}", f"t{k}", f"A {k}") for k in range(n)], "pos bigint, id string, title string, text string").repartition(3)
+
+
+def test_groups_take_no_job_each(spark, tmp_path):
+    """Forty groups in few jobs; when a group is requested, all before it are in the store."""
+    kept, context = str(tmp_path / "kept"), spark.sparkContext
+    pairs = PlanParameters(embedding_batch_words=4, embedding_batch_parallelism=2)  # two texts of two words in a batch, four in a group
+
+    class Ordered(Topics):
+        def __call__(self, texts):
+            files = (tmp_path / "kept").rglob("group-*.parquet")
+            assert {int(f.stem[6:]) for f in files} >= set(range(int(texts[0].split()[1]) // 4))
+            return super().__call__(texts)
+
+    context.setJobGroup("few-jobs", "")
+    try:
+        made = P.embed_in_groups(numbered(spark, 160), pairs, Ordered, kept, run_bytes=400)
+    finally:
+        for name in ("spark.jobGroup.id", "spark.job.description"):
+            context.setLocalProperty(name, None)
+    assert len(context.statusTracker().getJobIdsForGroup("few-jobs")) < 40
+    assert {(r.id, r.group_id) for r in made.collect()} == {(f"c{k}", k // 4) for k in range(160)}
+    stored = {r.id: (r.title, r.vector) for r in store.read_store(spark, kept).collect()}
+    assert {k: v[0] for k, v in stored.items()} == {f"c{k}": f"t{k}" for k in range(160)}
+    assert {r.id: r.vector for r in made.collect()} == {k: v[1] for k, v in stored.items()}
+
+
+def test_a_repeated_attempt_asks_for_nothing_twice(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    log = store.group_log(spark, str(tmp_path / "kept"))
+    rows = numbered(spark, 24).withColumn("batch_id", F.floor(F.col("pos") / 2)).withColumn("group_id", F.floor(F.col("pos") / 6))
+
+    class Counting(Topics):
+        def __call__(self, texts):
+            for text in texts:
+                assert text != "A 15" or (tmp_path / "mended").exists()
+                with (tmp_path / f"asked-{text[2:]}").open("a") as f:
+                    f.write("x")
+            return super().__call__(texts)
+
+    run = lambda: P.embedding.embed_group_after_group(rows, Counting, 3, log, delay=0).collect()
+    with pytest.raises(Exception, match="AssertionError"):
+        run()
+    (tmp_path / "mended").touch()
+    assert {(r.id, r.group_id, r.problem) for r in run()} == {(f"c{k}", k // 6, None) for k in range(24)}
+    assert all((tmp_path / f"asked-{k}").read_text() == "x" for k in [*range(12), *range(18, 24)])
+
+
+def test_a_store_that_tasks_cannot_write_is_given_up(spark, tmp_path, capsys):
+    kept = str(tmp_path / "kept")
+    store.upsert(spark, kept, spark.createDataFrame([("old", [1.0, 2.0])], "id string, vector array<float>"))
+    texts, p = numbered(spark, 6), PlanParameters(embedding_batch_words=4)
+    made = P.embed_in_groups(texts, p, Topics, kept, may_fail=True, run_bytes=8)
+    assert made.count() == 6 and capsys.readouterr().out.count("different dimensions: [2, 8]") == 1
+    with pytest.raises(Exception, match="different dimensions"):
+        P.embed_in_groups(texts, p, Topics, kept)
+    assert [r.id for r in store.read_store(spark, kept).collect()] == ["old"]
+
+
+def test_groups_where_tasks_know_no_file_system(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(store, "placed", lambda *_: None)
+    kept, p = str(tmp_path / "kept"), PlanParameters(embedding_batch_words=4, embedding_batch_parallelism=2)
+    made = P.embed_in_groups(numbered(spark, 6), p, Topics, kept)
+    assert {(r.id, r.group_id) for r in made.collect()} == {(f"c{k}", k // 4) for k in range(6)}
+    assert {r.id: r.title for r in store.read_store(spark, kept).collect()} == {f"c{k}": f"t{k}" for k in range(6)}
+    assert len(list((tmp_path / "kept").glob("step=*"))) == 2
