@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from foldwise.functions.vectors import grid_distance
 from foldwise.operators import neighbours as N
-from foldwise.session import SINGLE_TASK_ROWS, materialise
+from foldwise.session import SINGLE_TASK_ROWS, written
 
 EDGES = "lo bigint, hi bigint, weight double"
 #: Neighbours listed for each point before the tree is sought.
@@ -107,7 +107,7 @@ def _finish(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def _renamed(labels: DataFrame, names: DataFrame) -> DataFrame:
     """Replace components by the roots they were merged into."""
     to = names.select(F.col("c").alias("component"), "root")
-    return materialise(
+    return written(
         labels.join(to, "component", "left").select("node", F.coalesce("root", "component").alias("component"))
     )
 
@@ -120,32 +120,32 @@ def contract(edges: DataFrame, limit: int = SINGLE_TASK_ROWS) -> tuple[DataFrame
     combined before the shuffle, so a component that holds a third of the graph stays cheap.  Once no
     more than ``limit`` contracted edges are left, one task finishes them.
     """
-    open_ = materialise(
+    open_ = written(
         edges.select(F.col("lo").alias("a"), F.col("hi").alias("b"), "weight", "lo", "hi").where(F.col("lo") != F.col("hi"))
     )
     spark = edges.sparkSession
     forest = [spark.createDataFrame([], EDGES)]
-    labels = materialise(open_.select(F.explode(F.array("a", "b")).alias("node")).distinct().withColumn("component", F.col("node")))
+    labels = written(open_.select(F.explode(F.array("a", "b")).alias("node")).distinct().withColumn("component", F.col("node")))
     rank = F.struct("weight", "lo", "hi")
     while True:
         if open_.count() <= limit:
-            last = materialise(open_.coalesce(1).mapInPandas(_finish, f"{EDGES}, c bigint, root bigint"))
+            last = written(open_.coalesce(1).mapInPandas(_finish, f"{EDGES}, c bigint, root bigint"))
             forest.append(last.where(F.col("c").isNull()).select("lo", "hi", "weight"))
             labels = _renamed(labels, last.where(F.col("c").isNotNull()).select("c", "root"))
             break
         ends = open_.select(F.col("a").alias("c"), F.col("b").alias("to"), "weight", "lo", "hi").unionByName(
             open_.select(F.col("b").alias("c"), F.col("a").alias("to"), "weight", "lo", "hi")
         )
-        best = materialise(ends.groupBy("c").agg(F.min(F.struct("weight", "lo", "hi", "to")).alias("e")))
+        best = written(ends.groupBy("c").agg(F.min(F.struct("weight", "lo", "hi", "to")).alias("e")))
         if best.isEmpty():
             break
-        forest.append(materialise(best.select("e.lo", "e.hi", "e.weight").distinct()))
+        forest.append(written(best.select("e.lo", "e.hi", "e.weight").distinct()))
         up = _hooked(best)
         labels = _renamed(labels, up)
         left = up.select(F.col("c").alias("a"), F.col("root").alias("ra"))
         right = up.select(F.col("c").alias("b"), F.col("root").alias("rb"))
         joined = open_.join(left, "a").join(right, "b").where(F.col("ra") != F.col("rb"))
-        open_ = materialise(
+        open_ = written(
             joined.select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b"), "weight", "lo", "hi")
             .groupBy("a", "b")
             .agg(F.min(rank).alias("e"))
@@ -163,14 +163,14 @@ def _hooked(best: DataFrame) -> DataFrame:
     hop = best.select("c", F.col("e.to").alias("to")).join(back, "to", "left")
     up = hop.select("c", F.when((F.col("back") == F.col("c")) & (F.col("c") < F.col("to")), F.col("c")).otherwise(F.col("to")).alias("root"))
     passive = best.select(F.col("e.to").alias("c")).distinct().join(best.select("c"), "c", "left_anti").select("c", F.col("c").alias("root"))
-    return _to_roots(materialise(up.unionByName(passive)))
+    return _to_roots(written(up.unionByName(passive)))
 
 
 def _to_roots(up: DataFrame) -> DataFrame:
     """Follow (c -> root) pointers to their ends by doubling; rounds grow with the logarithm of depth."""
     while True:
         above = up.select(F.col("c").alias("root"), F.col("root").alias("next"))
-        jumped = materialise(up.join(above, "root").select("c", F.col("next").alias("root"), (F.col("next") != F.col("root")).alias("moved")))
+        jumped = written(up.join(above, "root").select("c", F.col("next").alias("root"), (F.col("next") != F.col("root")).alias("moved")))
         if jumped.where("moved").isEmpty():
             return jumped.select("c", "root")
         up = jumped.select("c", "root")
@@ -181,12 +181,12 @@ def minimum_spanning_forest(edges: DataFrame, limit: int = SINGLE_TASK_ROWS) ->
     return contract(edges, limit)[0]
 
 
-def _merged(best: DataFrame, limit: int) -> tuple[DataFrame, DataFrame]:
-    """(edges, names): the distinct chosen edges, and (c, root) of the components that they join; in one task up to ``limit``."""
-    if best.count() > limit:
-        return best.select("e.lo", "e.hi", "e.weight").distinct(), _hooked(best)
+def _merged(best: DataFrame, single: bool) -> tuple[DataFrame, DataFrame]:
+    """(edges, names): the distinct chosen edges, and (c, root) of the components that they join; in one task if ``single``."""
+    if not single:
+        return written(best.select("e.lo", "e.hi", "e.weight").distinct()), _hooked(best)
     chosen = best.select(F.col("c").alias("a"), F.col("e.to").alias("b"), "e.weight", "e.lo", "e.hi")
-    done = materialise(chosen.coalesce(1).mapInPandas(_finish, f"{EDGES}, c bigint, root bigint"))
+    done = written(chosen.coalesce(1).mapInPandas(_finish, f"{EDGES}, c bigint, root bigint"))
     return done.where(F.col("c").isNull()).select("lo", "hi", "weight"), done.where(F.col("c").isNotNull()).select("c", "root")
 
 
@@ -252,62 +252,65 @@ def _tree_of_parts(blocks: N.Blocks, points: DataFrame, near: DataFrame, listed:
     core = points.select("pos", "core")
     last = near.groupBy("pos").agg(F.max("dist").alias("last"), F.count("*").alias("n"))
     bound = F.when(F.col("n") >= listed, F.greatest("core", "last")).otherwise(F.lit(float("inf")))
-    spots = materialise(
+    spots = written(
         points.select("pos", "part", "cell", "grid", "core").join(last, "pos", "left")
-        .select("pos", "part", "cell", "grid", "core", F.when(F.col("n").isNull(), 0.0).otherwise(bound).alias("bound"), F.col("pos").alias("component"))
+        .select("pos", "part", "cell", "grid", "core", F.when(F.col("n").isNull(), 0.0).otherwise(bound).alias("bound"))
     )
     other = core.select(F.col("pos").alias("nbr"), F.col("core").alias("nbr_core"))
-    open_ = materialise(
+    open_ = written(
         near.select("pos", "nbr", "dist").join(core, "pos").join(other, "nbr")
         .select(F.col("pos").alias("a"), F.col("nbr").alias("b"), F.greatest("dist", "core", "nbr_core").alias("weight"), F.least("pos", "nbr").alias("lo"), F.greatest("pos", "nbr").alias("hi"))
     )
-    labels = materialise(spots.select(F.col("pos").alias("node"), "component"))
+    labels = spots.select(F.col("pos").alias("node"), F.col("pos").alias("component"))
+    # Of each component the number of points and the least bound of any of them.
+    sizes = spots.select(F.col("pos").alias("c"), F.lit(1).cast("bigint").alias("n"), F.col("bound").alias("least")).groupBy("c").agg(F.sum("n").alias("n"), F.min("least").alias("least"))
+    limit_of = F.coalesce("e.weight", F.lit(float("inf")))
+    unsure = F.col("least") <= limit_of
     forest = []
     while True:
-        sizes = materialise(labels.groupBy("component").agg(F.count("*").alias("n")))
-        two = sizes.orderBy(F.desc("n"), "component").take(2)
-        if len(two) < 2:
-            return N.union_all(forest) if forest else points.sparkSession.createDataFrame([], EDGES)
         ends = open_.select(F.col("a").alias("c"), F.struct("weight", "lo", "hi", F.col("b").alias("to")).alias("e")).unionByName(
             open_.select(F.col("b").alias("c"), F.struct("weight", "lo", "hi", F.col("a").alias("to")).alias("e"))
         )
-        best = materialise(ends.groupBy("c").agg(F.min("e").alias("e")))
-        placed = spots.drop("component").join(labels.select(F.col("node").alias("pos"), "component"), "pos")
-        placed = placed.join(best.select(F.col("c").alias("component"), F.col("e.weight").alias("limit")), "component", "left").fillna({"limit": float("inf")})
-        placed = materialise(placed.select("pos", "part", "cell", "grid", "core", "component", "limit", (F.col("bound") <= F.col("limit")).alias("seeks")))
-        unsure = placed.where("seeks")
-        largest = two[0].component
-        seekers = unsure.where(F.col("component") != largest)
-        n = seekers.count()
-        if n:
-            groups = max(1, min(blocks.parts, -(-n * blocks.parts // blocks.total)))
+        state = written(sizes.join(ends.groupBy("c").agg(F.min("e").alias("e")), "c", "left"))
+        facts = state.agg(
+            F.count("*").alias("n"), F.count_if(unsure).alias("unsure"), F.max(F.struct("n", (-F.col("c")).alias("minus_c"), unsure.alias("unsure"))).alias("largest")
+        ).first()
+        if facts.n < 2:
+            return N.union_all(forest) if forest else points.sparkSession.createDataFrame([], EDGES)
+        largest = -facts.largest.minus_c
+        best = state.where(F.col("e").isNotNull()).select("c", "e")
+        if facts.unsure > facts.largest.unsure:
+            located = spots.join(labels.select(F.col("node").alias("pos"), "component"), "pos")
+            limits = state.where(unsure & (F.col("c") != largest)).select(F.col("c").alias("component"), limit_of.alias("limit"))
+            seekers = written(located.join(limits, "component").where(F.col("bound") <= F.col("limit")).select("part", "cell", "pos", "grid", "core", "component", "limit"))
+            groups = max(1, min(blocks.parts, -(-seekers.count() * blocks.parts // blocks.total)))
             queries = seekers.select(F.floor(F.col("part") * groups / blocks.parts).cast("int").alias("i"), "cell", "pos", "grid", "core", "component", "limit")
-            others = placed.select(F.col("part").alias("j"), "cell", "pos", "grid", "core", "component")
+            others = located.select(F.col("part").alias("j"), "cell", "pos", "grid", "core", "component")
             found = N.meet(queries, groups, others, blocks.parts, lambda here, there: _search_outside(here, there, low), CHOSEN)
             searched = found.groupBy("c").agg(F.min(F.struct("weight", "lo", "hi", "to")).alias("e"))
-            best = best.unionByName(searched).groupBy("c").agg(F.min("e").alias("e"))
-        if not unsure.where(F.col("component") == largest).isEmpty():
+            best = written(best.unionByName(searched).groupBy("c").agg(F.min("e").alias("e")))
+        if facts.largest.unsure:
             best = best.where(F.col("c") != largest)
-        edges, names = _merged(materialise(best), limit)
-        forest.append(materialise(edges))
-        names = materialise(names)
+        edges, names = _merged(best, facts.n <= limit)
+        forest.append(edges)
         labels = _renamed(labels, names)
+        sizes = state.select("c", "n", "least").join(names, "c", "left").groupBy(F.coalesce("root", "c").alias("c")).agg(F.sum("n").alias("n"), F.min("least").alias("least"))
         for end in ("a", "b"):
             to = names.select(F.col("c").alias(end), "root")
             open_ = open_.join(to, end, "left").withColumn(end, F.coalesce("root", end)).drop("root")
         smallest = open_.where(F.col("a") != F.col("b")).groupBy(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y")).agg(F.min(F.struct("weight", "lo", "hi")).alias("e"))
-        open_ = materialise(smallest.select(F.col("x").alias("a"), F.col("y").alias("b"), "e.weight", "e.lo", "e.hi"))
+        open_ = written(smallest.select(F.col("x").alias("a"), F.col("y").alias("b"), "e.weight", "e.lo", "e.hi"))
 
 
 def mutual_reachability_tree(points: DataFrame, min_samples: int, block_rows: int | None = None, limit: int = SINGLE_TASK_ROWS) -> DataFrame:
     """(lo, hi, weight): the spanning tree over rows (pos, vector), n - 1 edges for n rows."""
-    folded = materialise(N.fold_copies(points))
+    folded = written(N.fold_copies(points))
     blocks = N.lay_out(folded, block_rows)
     k = max(1, min(int(min_samples), blocks.total - 1))
     listed = max(k, LISTED) if blocks.parts > 1 else k
-    near = materialise(N.nearest_neighbours(blocks, listed))
+    near = written(N.nearest_neighbours(blocks, listed))
     core = N.core_distances(blocks, near, k)
-    placed = materialise(blocks.points.join(core, "pos").select("part", "cell", "pos", "copies", "grid", "core"))
+    placed = written(blocks.points.join(core, "pos").select("part", "cell", "pos", "copies", "grid", "core"))
     if blocks.parts > 1:
         trees = _tree_of_parts(blocks, placed, near, listed, limit)
     else:

@@ -243,6 +243,19 @@ def test_tree_of_parts_is_the_tree_of_all_pairs(spark, centres, spread):
     assert {(e.lo, e.hi) for e in got} == set(zip(lo.tolist(), hi.tolist())) and len(got) == 89
 
 
+def size_bits(frame):
+    return frame._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().bit_length()
+
+
+def test_rounds_do_not_multiply_estimated_sizes(spark):
+    """Sizes estimated for joins of joins have more digits with every round, until planning takes longer than the work."""
+    x = np.random.default_rng(1).normal(size=(300, 6))
+    tree = S.mutual_reachability_tree(frame(spark, x), 2, 10)
+    assert size_bits(tree) < 128 and tree.count() == 299
+    forest, labels = S.contract(tree, limit=0)
+    assert size_bits(forest) < 128 and size_bits(labels) < 128
+
+
 def chain_of_edges(n, slice_edges, seed):
     import pandas as pd
 
