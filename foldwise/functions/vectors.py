@@ -30,10 +30,14 @@ def norm(vector: Column) -> Column:
 
 
 def l2_normalize(vector: Column) -> Column:
-    """Unit vector in double; a zero vector stays zero."""
+    """Unit vector in double; a zero vector stays zero.  The norm is taken once, not for every coordinate."""
     wide = as_doubles(vector)
-    size = norm(wide)
-    return F.when(size > 0, F.transform(wide, lambda x: x / size)).otherwise(wide)
+
+    def unit(square: Column) -> Column:
+        size = F.sqrt(square)
+        return F.when(size > 0, F.transform(wide, lambda x: x / size)).otherwise(wide)
+
+    return F.aggregate(wide, F.lit(0.0), lambda s, x: s + x * x, unit)
 
 
 def cosine(a: Column, b: Column) -> Column:

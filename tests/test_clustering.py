@@ -3,7 +3,7 @@ import pytest
 import walk
 from pyspark.sql import functions as F
 
-from foldwise.functions.vectors import GRID, cosine_to_euclid
+from foldwise.functions.vectors import GRID, cosine_to_euclid, l2_normalize
 from foldwise.operators import clustering as C
 from foldwise.operators import hierarchy as H
 from foldwise.operators import neighbours as N
@@ -409,3 +409,13 @@ def test_kmeans_sends_no_distances_of_centres_to_the_driver(spark):
     stages = [tracker.getStageInfo(s) for j in tracker.getJobIdsForGroup("kmeans-sends") for s in tracker.getJobInfo(j).stageIds]
     names = {s.name for s in stages if s is not None}
     assert any("KMeans.scala" in n for n in names) and not any("DistanceMeasure.scala" in n for n in names)
+
+
+def test_norm_is_taken_once_for_a_vector(spark):
+    """Not for every coordinate, which takes time with the square of the dimension; odd vectors keep their values."""
+    rows = [None, [], [0.0, 0.0], [3.0, 4.0], [None, 1.0], [float("inf"), 1.0]]
+    found = spark.createDataFrame([(i, v) for i, v in enumerate(rows)], "pos bigint, vector array<float>").select("pos", l2_normalize(F.col("vector")).alias("u"))
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("aggregate(") == 1
+    got = [r.u for r in found.orderBy("pos").collect()]
+    assert got[:5] == [None, [], [0.0, 0.0], [0.6, 0.8], [None, 1.0]]
+    assert np.isnan(got[5][0]) and got[5][1] == 0.0
