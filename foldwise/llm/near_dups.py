@@ -92,14 +92,17 @@ def _buckets(heads: DataFrame) -> DataFrame:
     """(bucket, rep, n, centre): the table keys of those sets that share a hash of the first collection.
 
     ``centre`` counts how many sets share the hashes of this one; it is largest for the text that copies stem from.
+    A set is known by ``set_a`` here, as sets whose texts repeat a doc_id have the same rep; it has ``BANDS`` lefts.
     """
-    left = heads.select("rep", F.posexplode("first").alias("i", "left"))
+    left = heads.select("set_a", F.posexplode("first").alias("i", "left"))
     common = left.groupBy("i", "left").agg(F.count("*").alias("sharing")).where("sharing > 1")
-    shared = left.join(common, ["i", "left"])
-    centre = shared.groupBy("rep").agg(F.sum("sharing").alias("centre"))
+    shared = left.join(common, ["i", "left"]).groupBy("set_a").agg(
+        F.sum("sharing").alias("centre"), F.collect_list(F.struct("i", "left")).alias("lefts")
+    )
     return (
-        shared.join(heads.select("rep", "n", "second"), "rep").join(centre, "rep")
-        .select("rep", "n", "centre", "i", "left", F.posexplode("second").alias("j", "right"))
+        heads.select("set_a", "rep", "n", "second").join(shared, "set_a")
+        .select("rep", "n", "centre", "second", F.explode("lefts").alias("of"))
+        .select("rep", "n", "centre", "of.i", "of.left", F.posexplode("second").alias("j", "right"))
         .select(F.xxhash64("i", "left", "j", "right").alias("bucket"), "rep", "n", "centre")
     )
 
@@ -151,25 +154,26 @@ def near_groups(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     and is itself never named; alone its component_id is null.  An empty table gives an empty table.
     """
     sketched = materialise(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_sketches, SKETCH))
-    classes = materialise(sketched.where("n_shingles > 0").groupBy(*_KEY).agg(F.min("doc_id").alias("rep")).where("rep is not null"))
-    heads = materialise(
-        sketched.join(classes.withColumnRenamed("rep", "doc_id"), ["doc_id", *_KEY])
-        .select(F.col("doc_id").alias("rep"), F.col("n_shingles").alias("n"), "first", "second")
+    classes = materialise(
+        sketched.where("n_shingles > 0").groupBy(*_KEY)
+        .agg(F.min("doc_id").alias("rep"), F.first("first").alias("first"), F.first("second").alias("second")).where("rep is not null")
     )
-    buckets = _buckets(heads)
+    buckets = _buckets(classes.withColumnRenamed("n_shingles", "n"))
     peaks = buckets.groupBy("bucket").agg(
-        F.countDistinct("rep").alias("members"), F.max(F.struct("centre", (-F.col("rep")).alias("low"), "n")).alias("top")
+        F.count("*").alias("members"), F.min("rep").alias("least"), F.max("rep").alias("most"),
+        F.max(F.struct("centre", (-F.col("rep")).alias("low"), "n")).alias("top"),
     )
-    peaks = peaks.where("members > 1").select("bucket", "members", (-F.col("top.low")).alias("peak"), F.col("top.n").alias("peak_n"))
+    peaks = peaks.where("least < most").select("bucket", "members", (-F.col("top.low")).alias("peak"), F.col("top.n").alias("peak_n"))
     seats = materialise(buckets.join(peaks, "bucket").select("bucket", "members", "rep", "n", "peak", "peak_n"))
 
     wanted = seats.select(F.col("rep").alias("doc_id")).distinct()
     sets = materialise(
         docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-        .join(wanted, "doc_id", "left_semi").mapInArrow(_sets, "rep bigint, shingles array<bigint>").distinct()
+        .join(wanted, "doc_id", "left_semi").distinct().mapInArrow(_sets, "rep bigint, shingles array<bigint>")
     )
     near_size = 100 * F.least("n", "peak_n") >= percent * F.greatest("n", "peak_n")
-    to_peak = seats.where((F.col("rep") != F.col("peak")) & near_size).select(F.col("rep").alias("a"), F.col("peak").alias("b")).distinct()
+    to_peak = seats.where((F.col("rep") != F.col("peak")) & near_size).select(F.col("rep").alias("a"), F.col("peak").alias("b"))
+    to_peak = to_peak.repartition("a").distinct()
     links = materialise(_verified(to_peak, sets, percent))
     rooted = components(links)
 
@@ -177,10 +181,10 @@ def near_groups(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     seated = seats.where("members > 2").select("bucket", "rep").join(rooted.withColumnRenamed("node", "rep"), "rep", "left").select("bucket", "rep", comp.alias("comp"))
     mixed = seated.groupBy("bucket").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("bucket")
     unsettled = seated.join(mixed, "bucket").select("rep", "comp").distinct()
-    more = _verified(_rest(sets.join(unsettled, "rep"), percent), sets, percent)
-    rooted = components(links.unionByName(more))
+    more = _verified(_rest(materialise(sets.join(unsettled, "rep")), percent), sets, percent)
+    rooted = components(rooted.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more))
 
-    named = classes.join(rooted.withColumnRenamed("node", "rep"), "rep", "left").select(*_KEY, comp.alias("component"))
+    named = classes.select(*_KEY, "rep").join(rooted.withColumnRenamed("node", "rep"), "rep", "left").select(*_KEY, comp.alias("component"))
     return (
         sketched.select("doc_id", *_KEY).join(named, _KEY, "left")
         .select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))

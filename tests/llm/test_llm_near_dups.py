@@ -8,8 +8,9 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from foldwise.llm import bytetext, decontaminate, near_dups
+from foldwise.llm import bytetext, decontaminate, graph, near_dups
 from foldwise.llm.graph import components
+from foldwise.session import materialise
 
 SCHEMA = "doc_id bigint, text string"
 WORDS = [f"w{k}" for k in range(400)]
@@ -105,6 +106,25 @@ def test_components(spark):
     assert 200 not in got and components(spark.createDataFrame([], "a bigint, b bigint")).collect() == []
 
 
+def test_stars_need_no_round(spark, monkeypatch):
+    """Each round is a table on disk, so a graph of stars is told from its edges, and a tree without one more round."""
+    made = []
+    monkeypatch.setattr(graph, "materialise", lambda df: made.append(1) or materialise(df))
+    stars = [(100, k) for k in range(101, 130)] + [(k, 200) for k in range(201, 230)] + [(101, 100), (7, None), (9, 9)]
+    got = {r.node: r.root for r in components(spark.createDataFrame(stars, "a bigint, b bigint")).collect()}
+    assert got == {k: 100 for k in range(101, 130)} | {k: 200 for k in range(201, 230)} and len(made) == 1
+    made.clear()
+    got = {r.node: r.root for r in components(spark.createDataFrame([*stars, (129, 229)], "a bigint, b bigint")).collect()}
+    assert got == {k: 100 for k in [*range(101, 130), *range(200, 230)]} and len(made) <= 4
+
+
+def test_buckets_of_one_id_for_all(spark):
+    """Sets of one doc_id have one rep; each has its own table keys, not those of every pair of them."""
+    rows = [(7, 9, k, list(range(near_dups.BANDS)), [k * 100 + j for j in range(near_dups.BANDS)]) for k in range(20)]
+    heads = spark.createDataFrame(rows, "rep bigint, n bigint, set_a bigint, first array<bigint>, second array<bigint>")
+    assert near_dups._buckets(heads).count() == 20 * near_dups.BANDS**2
+
+
 def brute_leaks(docs, items, similarity):
     out = set()
     for doc_id, text in docs:
