@@ -8,13 +8,14 @@ import uuid
 
 import pandas as pd
 import pyarrow.fs as fs
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foldwise.functions import identifiers as I
 from foldwise.functions import jsonval as J
 from foldwise.operators.ordering import with_row_index
-from foldwise.session import materialise
+from foldwise.session import materialise, shared_dir
+from foldwise.sources.group_log import place, placed
 
 
 def named_conversations(conversations: DataFrame) -> DataFrame:
@@ -40,15 +41,11 @@ def write_conversation_files(named: DataFrame, output_dir: str, indent: int = 2)
     clash = duplicate_names(named).take(1)
     if clash:
         raise ValueError(f"duplicate file name: {clash[0].file_name}")
-    target = output_dir.rstrip("/")
-    if "://" not in target and not target.startswith("file:"):
-        if not named.sparkSession.sparkContext.master.startswith("local"):
-            raise ValueError(f"name the file system of {target}: tasks would write to their own machines")
-        target = os.path.abspath(target)
+    target, uri = _folder(named.sparkSession, output_dir)
     hidden = f"_writing-{uuid.uuid4().hex}"
 
     def write(batches):
-        system, root = _place(target)
+        system, root = place(uri)
         folder = f"{root}/{hidden}/{uuid.uuid4().hex}"
         system.create_dir(folder, recursive=True)
         for pdf in batches:
@@ -58,24 +55,41 @@ def write_conversation_files(named: DataFrame, output_dir: str, indent: int = 2)
             yield pd.DataFrame({"folder": folder.rsplit("/", 1)[1], "file_name": pdf["file_name"]})
 
     def publish(batches):
-        system, root = _place(target)
+        system, root = place(uri)
         for pdf in batches:
             for folder, name in zip(pdf["folder"], pdf["file_name"]):
-                source, path = f"{root}/{hidden}/{folder}/{name}", f"{root}/{name}"
-                if system.get_file_info(source).type == fs.FileType.File:
-                    system.move(source, path)
-                elif system.get_file_info(path).type != fs.FileType.File:
-                    raise FileNotFoundError(source)
+                path = f"{root}/{name}"
+                try:
+                    system.move(f"{root}/{hidden}/{folder}/{name}", path)
+                except FileNotFoundError:  # another attempt moved it, maybe just now
+                    if system.get_file_info(path).type != fs.FileType.File:
+                        raise
             yield pd.DataFrame({"path": target + "/" + pdf["file_name"]})
 
     listed = materialise(named.select("file_name", "raw").mapInPandas(write, "folder string, file_name string"))
     done = materialise(listed.mapInPandas(publish, "path string"))
-    system, root = _place(target)
+    system, root = place(uri)
     if system.get_file_info(f"{root}/{hidden}").type == fs.FileType.Directory:
         system.delete_dir(f"{root}/{hidden}")
     return done
 
 
-def _place(target: str) -> tuple[fs.FileSystem, str]:
-    whole = target.startswith("file:/") and not target.startswith("file://")
-    return fs.FileSystem.from_uri(target.replace("file:/", "file:///", 1) if whole else target)
+def _folder(spark: SparkSession, output_dir: str) -> tuple[str, str]:
+    """The folder as Spark reads it, and its URI for tasks.
+
+    A path without a scheme is one of the cluster's default file system.  Where that is the machines' own, only a folder
+    below the shared one is the same for all tasks.
+    """
+    target = output_dir.rstrip("/")
+    uri = placed(spark, target)
+    if uri is None:
+        raise ValueError(f"tasks can't write to the file system of {target}")
+    if "://" in target or target.startswith("file:"):
+        return target, uri
+    if not uri.startswith("file:"):
+        return uri, uri
+    target = os.path.abspath(target)
+    uri = f"file:{target}"
+    if not spark.sparkContext.master.startswith("local") and not uri.startswith(f"{placed(spark, shared_dir(spark))}/"):
+        raise ValueError(f"name the file system of {target}: tasks would write to their own machines")
+    return target, uri

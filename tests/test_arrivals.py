@@ -12,6 +12,7 @@ from foldwise.operators import normalize as N
 from foldwise.operators import split
 from foldwise.plans.oracles import ORACLES
 from foldwise.plans.queries import QUERIES
+from foldwise.session import scratch_path
 from foldwise.sources import export, split_list
 from foldwise.streaming import latest
 
@@ -114,3 +115,16 @@ def test_chats_without_times_are_written_too(spark, tmp_path):
     found = {r.id: r for r in QUERIES["split_file_contents"](spark, str(tmp_path)).collect()}
     assert sorted(found, key=int) == [str(c) for c in range(24)] and all(r.title.startswith(f"word{c} ") for c, r in found.items())
     assert {int(c) for c, r in found.items() if r.create_time is not None} == {1, 3, 5, 7, 9, 11}
+
+
+def test_files_go_where_spark_reads_on_a_cluster_too(spark, tmp_path, monkeypatch):
+    """Below the shared folder a path needs no scheme, whatever the master; blanks stand in URIs as they are."""
+    named = spark.createDataFrame([(k, f"{k:04d}-x.json", json.dumps({"id": k})) for k in range(9)], "row_index bigint, file_name string, raw string")
+    shared = "/" + scratch_path(spark, "split").removeprefix("file:").lstrip("/")
+    monkeypatch.setattr(spark.sparkContext, "master", "spark://host:7077")
+    for target in (shared, f"file:{tmp_path}/a b", f"file://{tmp_path}/c d/"):
+        paths = {r.path for r in split.write_conversation_files(named, target).collect()}
+        assert paths == {f"{target.rstrip('/')}/{k:04d}-x.json" for k in range(9)}
+        assert spark.read.text(target, wholetext=True).count() == 9
+    with pytest.raises(ValueError, match="name the file system"):
+        split.write_conversation_files(named, str(tmp_path / "own"))
