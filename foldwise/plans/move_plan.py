@@ -110,8 +110,8 @@ def embed_in_groups(
 
     A group has ``embedding_batch_parallelism`` batches, which are in flight together.  A group is in the store, or in a scratch folder
     if there is none, before the next one is requested, so that a job that stops has lost one group at most.  Texts are dealt once
-    into runs of consecutive groups, of about ``run_bytes``; a job with one task goes through a run, and the jobs follow each
-    other.  Where tasks can't write to the file system, a run is one group, which Spark stores.  With ``may_fail`` a store that
+    into runs of consecutive groups, of about ``run_bytes``, each a sorted file; a job of one task reads and goes through a run, and
+    the jobs follow each other.  Where tasks can't write to the file system, a run is one group, which Spark stores.  With ``may_fail`` a store that
     cannot be written is given up with a warning.
     """
     spark = texts.sparkSession
@@ -141,7 +141,8 @@ def embed_in_groups(
     per_run = max(1, count * run_bytes // max(1, size)) if log else 1
     kept = [c for c in store.payload(texts) if store_path] or [F.col("id")]
     dealt = texts.select(*kept, "text").join(grouped, "id").withColumn("run", F.floor(F.col("group_id") / per_run))
-    dealt.repartition("run").write.partitionBy("run").parquet(requests)
+    files = max(1, -(-size // run_bytes))  # a number, else adaptive execution would put many runs into a task
+    dealt.repartition(files, "run").sortWithinPartitions("run", "batch_id").write.partitionBy("run").parquet(requests)
     dealt = spark.read.schema(dealt.schema).parquet(requests)
     schema = "id string, vector array<float>, group_id bigint, problem string"
     for run in range(-(-count // per_run)):

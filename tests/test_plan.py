@@ -1,5 +1,9 @@
 import json
+import re
 import sys
+import threading
+import time
+import zlib
 
 import numpy as np
 import pytest
@@ -277,3 +281,51 @@ def test_groups_where_tasks_know_no_file_system(spark, tmp_path, monkeypatch):
     assert {(r.id, r.group_id) for r in made.collect()} == {(f"c{k}", k // 4) for k in range(6)}
     assert {r.id: r.title for r in store.read_store(spark, kept).collect()} == {f"c{k}": f"t{k}" for k in range(6)}
     assert len(list((tmp_path / "kept").glob("step=*"))) == 2
+
+
+def test_batches_of_a_group_wait_together(spark, tmp_path):
+    """A request is answered when all three of its group are there."""
+    from pyspark.sql import functions as F
+
+    rows = numbered(spark, 12).withColumn("batch_id", F.floor(F.col("pos") / 2)).withColumn("group_id", F.floor(F.col("pos") / 6))
+
+    class Together(Topics):
+        def __call__(self, texts):
+            first = min(int(text[2:]) for text in texts)  # rows of a batch come in any order
+            (tmp_path / f"asked-{first}").write_text("")
+            until = time.time() + 30
+            while not all((tmp_path / f"asked-{first // 6 * 6 + k}").exists() for k in (0, 2, 4)):
+                assert time.time() < until
+                time.sleep(0.01)
+            return super().__call__(texts)
+
+    made = P.embedding.embed_group_after_group(rows, Together, 3, None, attempts=1)
+    assert {(r.id, r.group_id) for r in made.collect()} == {(f"c{k}", k // 6) for k in range(12)}
+
+
+def test_a_model_in_the_task_takes_no_threads(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    class Here(Topics):
+        waits = False
+
+        def __call__(self, texts):
+            assert threading.current_thread() is threading.main_thread()
+            return super().__call__(texts)
+
+    batched = numbered(spark, 24).withColumn("batch_id", F.floor(F.col("pos") / 2)).withColumn("group_id", F.floor(F.col("pos") / 6))
+    batched.write.parquet(str(tmp_path / "rows"))
+    rows = spark.read.parquet(str(tmp_path / "rows"))
+    here, threads = (P.embedding.embed_group_after_group(rows, m, 3, None, attempts=1) for m in (Here, Topics))
+    assert sorted(map(str, here.collect())) == sorted(map(str, threads.collect()))
+    assert "Exchange" not in here._jdf.queryExecution().executedPlan().toString()  # files are read by the task itself
+
+
+def test_hashed_words_end_at_every_blank():
+    blanks = [chr(c) for c in range(0x110000) if re.match(r"\s", chr(c))]
+    assert len(blanks) > 20
+    texts = ["", " ", *blanks, *(f"{b}Ärger{b}{b}in İstanbul{b}ΑΣ 12\u200b{b}" for b in blanks)]
+    found = P.embedding.HashingEmbedder(16)(texts)
+    for text, row in zip(texts, found):
+        words = [zlib.crc32(w.encode()) % 16 for w in re.findall(r"\S+", text.lower())]
+        assert row.tolist() == [words.count(k) for k in range(16)]
